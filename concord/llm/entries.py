@@ -2,18 +2,41 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from concord.llm import bpe, exact_dedup, packing, token_files
+from concord.llm.shared import documents, shared_dir
 
-from concord.llm import exact_dedup
-from concord.llm.shared import documents
+
+def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = bpe.decode(bpe.encode(documents(spark, sf_dir)))
+    return both.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    token_files.write_token_files(documents(spark, sf_dir), folder)
+    return token_files.read_token_files(spark, folder, with_ids=False)
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
+
+
 def queries() -> dict:
-    return {"op6_exact_dedup": op6_exact_dedup}
+    return {f.__name__: f for f in (op3_bpe_round_trip, op6_exact_dedup, op9_token_files, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
