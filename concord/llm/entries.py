@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.llm import bpe, exact_dedup, packing, quality, token_counts, token_files
+from concord.llm import bpe, exact_dedup, jaccard, packing, quality, token_counts, token_files
 from concord.llm.shared import documents, shared_dir
 
 
@@ -26,6 +26,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, documents(spark, sf_dir, "labels")))
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.ShingleJoin(words=4, num=85, den=100).components(documents(spark, sf_dir))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
@@ -45,7 +49,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_bpe_round_trip, op4_quality, op6_exact_dedup, op7_token_counts, op9_token_files, op10_packing)}
+    return {f.__name__: f for f in (op3_bpe_round_trip, op4_quality, op5_ngram_jaccard, op6_exact_dedup, op7_token_counts, op9_token_files, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
