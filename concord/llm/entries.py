@@ -7,10 +7,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.llm import bpe, exact_dedup, jaccard, packing, quality, token_counts, token_files
+from concord.llm import bpe, exact_dedup, jaccard, packing, quality, suffix_dedup, token_counts, token_files
 from concord.llm.shared import documents, shared_dir
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(documents(spark, sf_dir))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = bpe.decode(bpe.encode(documents(spark, sf_dir)))
     return both.select(
@@ -49,7 +54,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_bpe_round_trip, op4_quality, op5_ngram_jaccard, op6_exact_dedup, op7_token_counts, op9_token_files, op10_packing)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op3_bpe_round_trip, op4_quality, op5_ngram_jaccard, op6_exact_dedup, op7_token_counts, op9_token_files, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
