@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.llm import bpe, exact_dedup, jaccard, packing, quality, suffix_dedup, token_counts, token_files
+from concord.llm import bpe, exact_dedup, jaccard, packing, quality, secrets, suffix_dedup, token_counts, token_files
 from concord.llm.shared import documents, shared_dir
 
 
@@ -43,6 +43,12 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.findings(documents(spark, sf_dir)).select(
+        "doc_id", "start", "length", "kind", F.round("score", 6).alias("score"), F.sha2("value", 256).alias("value_sha256")
+    )
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
     token_files.write_token_files(documents(spark, sf_dir), folder)
@@ -54,7 +60,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_suffix_dedup, op3_bpe_round_trip, op4_quality, op5_ngram_jaccard, op6_exact_dedup, op7_token_counts, op9_token_files, op10_packing)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op3_bpe_round_trip, op4_quality, op5_ngram_jaccard, op6_exact_dedup, op7_token_counts, op8_secret_scan, op9_token_files, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
