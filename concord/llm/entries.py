@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.llm import bpe, exact_dedup, jaccard, packing, quality, secrets, suffix_dedup, token_counts, token_files
+from concord.llm import ann, bpe, exact_dedup, jaccard, packing, quality, secrets, suffix_dedup, token_counts, token_files
 from concord.llm.shared import documents, shared_dir
 
 
@@ -16,6 +16,10 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(documents(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = bpe.decode(bpe.encode(documents(spark, sf_dir)))
     return both.select(
@@ -60,7 +64,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_suffix_dedup, op3_bpe_round_trip, op4_quality, op5_ngram_jaccard, op6_exact_dedup, op7_token_counts, op8_secret_scan, op9_token_files, op10_packing)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_nearest_neighbours, op3_bpe_round_trip, op4_quality, op5_ngram_jaccard, op6_exact_dedup, op7_token_counts, op8_secret_scan, op9_token_files, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
