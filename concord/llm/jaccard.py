@@ -422,7 +422,7 @@ class ShingleJoin:
         spark = rows.sparkSession
         own_part = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")
         body = rows.groupBy("doc_id").agg(F.first("text").alias("text")) if _repeated(info) else rows
-        found = body.join(members, "doc_id")
+        found = body.join(members.hint("merge"), "doc_id")  # one plan at every size
 
         def join_group(group: dict) -> pa.RecordBatch:
             forest = connect(Shingler(words)(group["text"]), num, den)
