@@ -316,7 +316,7 @@ class ShingleJoin:
         return frequent, info
 
     def _candidates(self, rows: DataFrame, frequent: np.ndarray) -> DataFrame:
-        """(a, b): a forest over the documents that share a signature, for each bucket."""
+        """(a, b): edges that connect the documents that share a signature."""
         spark = rows.sparkSession
         partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
         buckets, words, num, den = 4 * partitions, self.words, self.num, self.den
@@ -385,10 +385,29 @@ class ShingleJoin:
                 forest.union(a, b)
             roots = np.array([forest.root(k) for k in range(len(names))])
             linked = np.flatnonzero(roots != np.arange(len(names)))
-            yield pa.RecordBatch.from_arrays([pa.array(names[linked]), pa.array(names[roots[linked]])], ["a", "b"])
+            a, b = names[linked], names[roots[linked]]
+            bucket = (mixed(a.astype(np.uint64)) % np.uint64(partitions)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            edges = np.searchsorted(bucket[order], np.arange(partitions + 1))
+            at = [k for k in range(partitions) if edges[k + 1] > edges[k]]
+            blobs = [packed(a[own], b[own]) for own in (order[edges[k] : edges[k + 1]] for k in at)]
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+
+        def merge(batches):
+            """All roots of a document meet: it keeps the least, and so do the others."""
+            parts = [unpacked(blob, ("<i8", 0), ("<i8", 0)) for batch in batches for blob in column_values(batch, "blob")]
+            if not parts:
+                return
+            pairs = np.unique(np.concatenate([np.stack(p, 1) for p in parts]), axis=0)
+            head = np.append(True, pairs[1:, 0] != pairs[:-1, 0])
+            least = pairs[np.maximum.accumulate(np.where(head, np.arange(len(pairs)), 0)), 1]
+            more = np.unique(np.stack([pairs[:, 1], least], 1)[~head], axis=0)
+            out = np.concatenate([pairs[head], more])
+            yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["a", "b"])
 
         filed = arrow_rows(rows).mapInArrow(file, "bucket int, blob binary").repartition(partitions, "bucket")
-        return arrow_rows(filed).mapInArrow(gather, "a long, b long").distinct()
+        forests = arrow_rows(filed).mapInArrow(gather, "bucket int, blob binary").repartition(partitions, "bucket")
+        return arrow_rows(forests).mapInArrow(merge, "a long, b long").distinct()
 
     def _grouped(self, rows: DataFrame, handle, schema: str) -> DataFrame:
         """Calls ``handle`` with the rows, as lists, of each (comp, part); a group is all that is held."""
