@@ -44,7 +44,7 @@ LEAD = 16
 #: Bytes handled at once; longer texts are cut, with windows that cross a cut in the former part.
 SEGMENT = 1 << 22
 #: Bytes of text whose records are combined and sent together.
-BATCH_BYTES = 12 << 20
+BATCH_BYTES = 4 << 20
 SAMPLE_DOCS, SAMPLE_LEADS = 4000, 32
 NULL_ID = -(1 << 63)
 SUB = 40
@@ -65,15 +65,18 @@ class Anchors:
         self.width = self.left + self.right
         self.hash = RangeHash(256, 31)
 
-    def runs(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
-        """Anchor, first and last window start of each run of windows with one anchor. ``starts``, ``ends``: of texts in ``data``."""
+    def runs(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, sums: np.ndarray | None = None):
+        """Anchor, first and last window start of each run of windows with one anchor.
+
+        ``starts``, ``ends``: of texts in ``data``; ``sums``: prefix sums of its hash.
+        """
         none = (np.zeros(0, np.int64),) * 3
         long = ends - starts >= self.length
         starts, counts = starts[long], (ends - starts)[long] - self.length + 1
         if not len(starts):
             return none
         n = len(data) - GRAM + 1
-        sums = self.hash.prefix(data)
+        sums = self.hash.prefix(data) if sums is None else sums
         key = mixed((sums[GRAM:] - sums[:n]) * self.hash.up[:n])
         low = np.uint64((1 << 24) - 1)
         key = (key & ~low) | np.arange(n, dtype=np.uint64)
@@ -99,6 +102,24 @@ class Anchors:
         return out
 
 
+    def _filled(self, left: np.ndarray, size: np.ndarray) -> np.ndarray:
+        column, first = np.arange(self.width, dtype=np.int32), self.left - left.astype(np.int32)
+        return (column >= first[:, None]) & (column < (first + size)[:, None])
+
+    def packed(self, rows, left, size, doc, pos) -> bytes:
+        """Records without their zeros."""
+        fields = packed(left, size, doc, pos, level=1)
+        return len(fields).to_bytes(8, "little") + fields + packed(rows[self._filled(left, size)], level=1)
+
+    def unpacked(self, blob: bytes) -> tuple[np.ndarray, ...]:
+        end = 8 + int.from_bytes(blob[:8], "little")
+        kind = "u1" if self.grams <= 256 else "<u2"
+        left, size, doc, pos = unpacked(blob[8:end], (kind, 0), ("<u2", 0), ("<i8", 0), ("<i8", 0))
+        rows = np.zeros((len(left), self.width), np.uint8)
+        rows[self._filled(left, size)] = unpacked(blob[end:], ("u1", 0))[0]
+        return rows, left, size, doc, pos
+
+
 def segments(raw: bytes, length: int):
     """(offset, bytes) parts of at most ``SEGMENT`` bytes whose windows are the whole's, each once."""
     if len(raw) <= SEGMENT:
@@ -142,9 +163,12 @@ class Bucket:
         middle, gram_words = shape.left // 8, GRAM // 8
         order, gram = multikey_sort(words[:, middle : middle + gram_words], np.arange(len(words)), np.zeros(len(words), np.int64))
         tied = ties(gram)
-        order, gram = order[tied], gram[tied]
-        rest = np.concatenate([words[:, middle + gram_words :], words[:, :middle], (self.left.astype(np.uint64) << np.uint64(16) | self.size.astype(np.uint64))[:, None]], axis=1)
-        order, whole = multikey_sort(rest, order, gram.copy())
+        some, gram = order[tied], gram[tied]
+        words = words[some]
+        ends = self.left[some].astype(np.uint64) << np.uint64(16) | self.size[some].astype(np.uint64)
+        rest = np.concatenate([words[:, middle + gram_words :], words[:, :middle], ends[:, None]], axis=1)
+        order, whole = multikey_sort(rest, np.arange(len(some)), gram.copy())
+        order = some[order]
         by = np.lexsort((self.pos[order], self.doc[order], whole))
         order, gram, whole = order[by], gram[by], whole[by]
         head = np.diff(whole, prepend=-1) != 0
@@ -214,7 +238,8 @@ def _records(shape: Anchors, docs: list[int], raws: list[tuple[int, bytes]]):
     data = np.frombuffer(b"".join(r for _, r in raws), np.uint8)
     sizes = np.array([len(r) for _, r in raws], np.int64)
     starts = np.cumsum(sizes) - sizes
-    anchor, first, last = shape.runs(data, starts, starts + sizes)
+    sums = shape.hash.prefix(data)
+    anchor, first, last = shape.runs(data, starts, starts + sizes, sums)
     text = np.searchsorted(starts, first, "right") - 1
     while len(text) and (bad := sizes[text] == 0).any():  # empty texts share their start with the next
         text[bad] -= 1
@@ -225,6 +250,7 @@ def _records(shape: Anchors, docs: list[int], raws: list[tuple[int, bytes]]):
         (last - first + shape.length).astype(np.uint16),
         np.array(docs, np.int64)[text],
         first - starts[text] + base[text],
+        shape.hash.ranges(sums, first, last + shape.length) + (anchor - first).astype(np.uint64),
     )
 
 
@@ -268,27 +294,29 @@ def repeated_ranges(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     buckets = len(splitters) + 1
 
     def send(held: list) -> pa.RecordBatch:
-        row, left, size, doc, pos = (np.concatenate(x) for x in zip(*held, strict=True))
-        lead = np.ascontiguousarray(row[:, shape.left : shape.left + LEAD]).view(f"S{LEAD}").ravel()
-        words = row.view(">u8").astype(np.uint64)
-        h = (words * shape.hash.codes[: words.shape[1]]).sum(axis=1, dtype=np.uint64)
-        h = mixed(h + (left.astype(np.uint64) << np.uint64(16)) + size)
+        row, left, size, doc, pos, h = (np.concatenate(x) for x in zip(*held, strict=True))
         order = np.lexsort((pos, doc, h))
-        head = np.append(True, h[order][1:] != h[order][:-1]) if len(order) else np.zeros(0, bool)
+        head = np.append(True, h[order][1:] != h[order][:-1])[: len(order)]
         first = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))] if len(order) else order
-        same = ~head & (row[order] == row[first]).all(axis=1) & (left[order] == left[first]) & (size[order] == size[first])
-        gone = order[same & ((doc[order] != doc[first]) | (pos[order] != pos[first]))]
-        stay = order[~same]
-        bucket = np.searchsorted(splitters, lead[stay], "right")
-        by = np.lexsort((words[stay, shape.left // 8], bucket))
-        stay, bucket = stay[by], bucket[by]
+        later = np.flatnonzero(~head)
+        a, b = order[later], first[later]
+        equal = (row[a] == row[b]).all(axis=1) & (left[a] == left[b]) & (size[a] == size[b])
+        a, b = a[equal], b[equal]
+        gone = a[(doc[a] != doc[b]) | (pos[a] != pos[b])]
+        same = np.zeros(len(row), bool)
+        same[a] = True
+        stay = np.flatnonzero(~same)
+        lead = np.ascontiguousarray(row[stay, shape.left : shape.left + LEAD]).view(f"S{LEAD}").ravel()
+        by = np.argsort(lead, kind="stable")
+        stay, lead = stay[by], lead[by]
+        bucket = np.searchsorted(splitters, lead, "right")
         edges = np.searchsorted(bucket, np.arange(buckets + 1))
         at = [k for k in range(buckets) if edges[k + 1] > edges[k]]
         kinds = [0] * len(at)
         blobs = []
         for k in at:
             own = stay[edges[k] : edges[k + 1]]
-            blobs.append(packed(row[own], left[own], size[own], doc[own], pos[own]))
+            blobs.append(shape.packed(row[own], left[own], size[own], doc[own], pos[own]))
         if len(gone):
             d, s, n = joined_ranges(doc[gone], pos[gone], size[gone].astype(np.int64))
             at.append(int(mixed(d[:1].astype(np.uint64))[0]) % buckets)
@@ -315,8 +343,6 @@ def repeated_ranges(rows: DataFrame, length: int = LENGTH) -> DataFrame:
         if held:
             yield send(held)
 
-    left_kind = "u1" if shape.grams <= 256 else "<u2"
-
     def compare(batches):
         def out(doc, start, size):
             return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(size, pa.int64())], ["doc_id", "start", "length"])
@@ -331,7 +357,7 @@ def repeated_ranges(rows: DataFrame, length: int = LENGTH) -> DataFrame:
                     yield out(*Bucket(shape, *(np.concatenate(x) for x in zip(*held, strict=True))).removed())
                     held = []
                 now = bucket
-                held.append(unpacked(blob, ("u1", shape.width), (left_kind, 0), ("<u2", 0), ("<i8", 0), ("<i8", 0)))
+                held.append(shape.unpacked(blob))
         if held:
             yield out(*Bucket(shape, *(np.concatenate(x) for x in zip(*held, strict=True))).removed())
 
