@@ -6,7 +6,7 @@ smaller id, or earlier in the same one) is removed; strings are judged on the in
 * Suffixes. Each window of ``length`` bytes is represented by the suffix at its anchor: the
   position of the least hash among the window's grams (``GRAM`` bytes each, leftmost of equals).
   Equal windows have their anchors at equal places, so it is enough to compare suffixes at
-  anchors, about one in 35 bytes. A record is the suffix, with the bytes before it that the
+  anchors, about one in 39 bytes. A record is the suffix, with the bytes before it that the
   windows of the anchor reach, at most ``2 * length - GRAM`` bytes.
 * Range partition. Sampled splitters cut the order of suffixes by their leading 16 bytes.
 * Local combining. Of equal records in a batch only the earliest travels; the others' bytes are
@@ -39,7 +39,7 @@ from concord.llm.shared import texts
 from concord.llm.words import RangeHash, expand, mixed
 
 LENGTH = 100
-GRAM = 32
+GRAM = 24
 LEAD = 16
 #: Bytes handled at once; longer texts are cut, with windows that cross a cut in the former part.
 SEGMENT = 1 << 22
@@ -108,8 +108,8 @@ class Anchors:
 
     def packed(self, rows, left, size, doc, pos) -> bytes:
         """Records without their zeros."""
-        fields = packed(left, size, doc, pos, level=1)
-        return len(fields).to_bytes(8, "little") + fields + packed(rows[self._filled(left, size)], level=1)
+        fields = packed(left, size, doc, pos, level=3)
+        return len(fields).to_bytes(8, "little") + fields + packed(rows[self._filled(left, size)], level=3)
 
     def unpacked(self, blob: bytes) -> tuple[np.ndarray, ...]:
         end = 8 + int.from_bytes(blob[:8], "little")
