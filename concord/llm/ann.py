@@ -71,20 +71,25 @@ def best(owner: np.ndarray, values: np.ndarray, sims: np.ndarray, k: int):
 
 
 def _best_lists(lists: DataFrame, k: int, partitions: int) -> DataFrame:
-    """(u, vs, sims) with the k best of all lists of each u; combined before and after the shuffle."""
+    """(u, vs, sims) with the k best of all lists of each u.
+
+    What makes lists keeps the best of each batch itself; one Python stage follows the shuffle.
+    """
 
     def combine(batches):
-        parts = []
+        parts, size, most = [], 0, 1 << 19
         for batch in batches:
             counts = np.diff(np.asarray(batch.column(1).offsets))
             parts.append((np.repeat(batch.column(0).to_numpy(zero_copy_only=False), counts), _lists(batch, 1), _lists(batch, 2)))
-            if sum(len(p[0]) for p in parts) > 1 << 20:
+            size += len(parts[-1][0])
+            if size > most:
                 parts = [best(*(np.concatenate(x) for x in zip(*parts, strict=True)), k)]
+                size = len(parts[0][0])
+                most = max(most, 2 * size)
         if parts:
             yield _list_batch(*best(*(np.concatenate(x) for x in zip(*parts, strict=True)), k))
 
-    near = arrow_rows(lists, ROWS).mapInArrow(combine, LISTS)
-    return near.repartition(partitions, "u").mapInArrow(combine, LISTS)
+    return arrow_rows(lists.repartition(partitions, "u"), ROWS).mapInArrow(combine, LISTS)
 
 
 @dataclass
@@ -233,8 +238,7 @@ class NeighbourGraph:
                 member = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), counts)
                 center = _lists(batch, 1)
                 luck = ((member * 2654435761 + center * 40503) % 1000003).astype(np.float32)
-                order = np.argsort(center, kind="stable")
-                yield _list_batch(center[order], member[order], luck[order])
+                yield _list_batch(*best(center, member, luck, reverse))
 
         back = _best_lists(arrow_rows(lists, ROWS).mapInArrow(turn, LISTS), reverse, partitions)
         pairs = lists.select(F.col("u").alias("center"), F.explode(F.array_append("vs", F.col("u"))).alias("member")).unionByName(
