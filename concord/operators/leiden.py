@@ -212,3 +212,43 @@ def run_tasks(graph: Adjacency, tasks: DataFrame, objective: str, iterations: in
         return out(int(row.task), int(row.trial), leiden(shared.value, float(row.gamma), objective, iterations, beta, int(row.seed), first.label.to_numpy()))
 
     return tasks.join(initial, ["task", "trial"]).groupBy("task", "trial").applyInPandas(warm, LABELS)
+
+
+def merged_labels(graph: Adjacency, labels: np.ndarray, min_cluster_size: int) -> np.ndarray:
+    """One run's labels after the merging of small clusters, as ``merge.merged`` has it, while they are in one task anyway."""
+    k = int(labels.max()) + 1 if len(labels) else 0
+    sizes = np.bincount(labels, minlength=k)
+    large = np.flatnonzero(sizes >= min_cluster_size)
+    if min_cluster_size <= 1 or (sizes[sizes > 0] >= min_cluster_size).all():
+        return labels
+    if not len(large):
+        return np.zeros_like(labels)
+    a = labels[np.repeat(np.arange(graph.n), np.diff(graph.start))].astype(np.int64)
+    b = labels[graph.other].astype(np.int64)
+    cross = (sizes[a] < min_cluster_size) & (sizes[b] >= min_cluster_size)
+    keys, at = np.unique(a[cross] * k + b[cross], return_inverse=True)
+    mean = np.bincount(at, graph.weight[cross], minlength=len(keys)) / (sizes[keys // k] * sizes[keys % k])
+    to, best = np.arange(k), np.zeros(k)
+    to[sizes < min_cluster_size] = large[0]
+    for key, value in zip(keys.tolist(), mean.tolist(), strict=True):  # ascending ids: the first of equals stays
+        if value > best[key // k]:
+            best[key // k], to[key // k] = value, key % k
+    return to[labels]
+
+
+def run_probes(graph: Adjacency, tasks: DataFrame, objective: str, iterations: int, beta: float, min_cluster_size: int) -> DataFrame:
+    """(task, gamma, raw_clusters, effective_clusters, final_clusters) of one run for each task; no labels leave the tasks."""
+    shared = tasks.sparkSession.sparkContext.broadcast(graph)
+
+    def run(frames):
+        for frame in frames:
+            out = []
+            for row in frame.itertuples():
+                labels = leiden(shared.value, row.gamma, objective, iterations, beta, int(row.seed))
+                sizes = np.bincount(labels)
+                final = merged_labels(shared.value, labels, min_cluster_size)
+                out.append((row.task, row.gamma, int((sizes > 0).sum()), int((sizes >= min_cluster_size).sum()), len(np.unique(final))))
+            yield pd.DataFrame(out, columns=["task", "gamma", "raw_clusters", "effective_clusters", "final_clusters"])
+
+    schema = "task int, gamma double, raw_clusters int, effective_clusters int, final_clusters int"
+    return tasks.select("task", "gamma", "trial", "seed").repartition(max(1, min(tasks.count(), 4096)), "task").mapInPandas(run, schema)

@@ -142,36 +142,39 @@ def weighted_consistency(table: DataFrame, pairs: DataFrame) -> DataFrame:
     return own.join(F.broadcast(cross)).select((F.col("own") + 2 * F.col("cross")).alias("ic_raw")).withColumn("ic", 1 / F.col("ic_raw"))
 
 
-def element_consistency(trials: DataFrame, found: DataFrame) -> DataFrame:
-    """(cell_idx, mei): the mean over ordered trial pairs of the cell's similarity; computed per pattern."""
-    one = found.agg(F.max(F.size("labels")).alias("t"))
-    named = found.select("labels", "n", "first_cell")
-    exploded = trial_pairs(named.withColumn("n", F.lit(1).cast("long")), []).select("first_cell", "i", "j", "a", "b")
-    scored = exploded.join(contingency(found).select("i", "j", "a", "b", "ecs"), ["i", "j", "a", "b"]).groupBy("first_cell").agg(F.sum("ecs").alias("s"))
-    # one row
-    by_pattern = named.join(scored, "first_cell", "left").join(F.broadcast(one)).select("labels", ((F.col("t") + 2 * F.coalesce("s", F.lit(0.0))) / (F.col("t") * F.col("t"))).alias("mei"))
-    wide = trials.groupBy("cell_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("trial", "label"))), lambda x: x["label"]).alias("labels"))
-    return wide.join(by_pattern, "labels").select("cell_idx", "mei")
-
-
-def best_outcome(table: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(outcome_id, rep_trial, total): the outcome most similar to all outcomes, unweighted; ties to the first."""
-    own = pairs.select(F.col("i").alias("rep_trial"), F.col("j").alias("other"), "ecs")
-    both = own.unionByName(own.select(F.col("other").alias("rep_trial"), F.col("rep_trial").alias("other"), "ecs"))
-    others = table.select(F.col("rep_trial").alias("other"))
-    total = table.join(both.join(others, "other"), "rep_trial", "left").groupBy("outcome_id", "rep_trial").agg((F.lit(1.0) + F.coalesce(F.sum("ecs"), F.lit(0.0))).alias("total"))
-    rank = F.row_number().over(Window.orderBy(F.desc(F.round("total", 12)), "outcome_id"))  # one row for each outcome
+def element_consistency(trials: DataFrame, found: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(keys, cell_idx, mei): the mean over ordered trial pairs of the cell's similarity; computed per pattern."""
+    keys = keys or []
+    exploded = trial_pairs(found, keys).select(*keys, "first_cell", "i", "j", "a", "b")
+    scored = exploded.join(contingency(found, keys).select(*keys, "i", "j", "a", "b", "ecs"), [*keys, "i", "j", "a", "b"]).groupBy(*keys, "first_cell").agg(F.sum("ecs").alias("s"))
+    t = F.size("labels")
+    by_pattern = found.join(scored, [*keys, "first_cell"], "left").select(*keys, "labels", ((t + 2 * F.coalesce("s", F.lit(0.0))) / (t * t)).alias("mei"))
+    wide = trials.groupBy(*keys, "cell_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("trial", "label"))), lambda x: x["label"]).alias("labels"))
+    return wide.join(by_pattern, [*keys, "labels"]).select(*keys, "cell_idx", "mei")
+
+
+def best_outcome(table: DataFrame, pairs: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(keys, outcome_id, rep_trial, total): the outcome most similar to all outcomes, unweighted; ties to the first."""
+    keys = keys or []
+    own = pairs.select(*keys, F.col("i").alias("rep_trial"), F.col("j").alias("other"), "ecs")
+    both = own.unionByName(own.select(*keys, F.col("other").alias("rep_trial"), F.col("rep_trial").alias("other"), "ecs"))
+    others = table.select(*keys, F.col("rep_trial").alias("other"))
+    met = both.join(others, [*keys, "other"])
+    total = table.join(met, [*keys, "rep_trial"], "left").groupBy(*keys, "outcome_id", "rep_trial").agg((F.lit(1.0) + F.coalesce(F.sum("ecs"), F.lit(0.0))).alias("total"))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(F.round("total", 12)), "outcome_id"))  # one row for each outcome
     return total.withColumn("_r", rank).where("_r = 1").drop("_r")
 
 
-def bootstrap(pairs: DataFrame, weights: DataFrame, trials: int) -> DataFrame:
-    """(b, ic) for multiplicities (b, trial, w): each replicate is a weighted sum of one similarity matrix."""
+def bootstrap(pairs: DataFrame, weights: DataFrame, trials: int, keys: list[str] | None = None) -> DataFrame:
+    """(keys, b, ic) for multiplicities (b, trial, w): each replicate is a weighted sum of one similarity matrix."""
+    keys = keys or []
     own = weights.groupBy("b").agg(F.sum(F.col("w") * F.col("w")).alias("own"))
     left = weights.select("b", F.col("trial").alias("i"), F.col("w").alias("w_i"))
     right = weights.select("b", F.col("trial").alias("j"), F.col("w").alias("w_j"))
-    # trials x trials rows
-    cross = left.join(F.broadcast(pairs), "i").join(right, ["b", "j"]).groupBy("b").agg(F.sum(F.col("w_i") * F.col("w_j") * F.col("ecs")).alias("cross"))
-    return own.join(cross, "b", "left").select("b", (F.lit(float(trials * trials)) / (F.col("own") + 2 * F.coalesce("cross", F.lit(0.0)))).alias("ic"))
+    cross = pairs.join(left, "i").join(right, ["b", "j"]).groupBy(*keys, "b").agg(F.sum(F.col("w_i") * F.col("w_j") * F.col("ecs")).alias("cross"))
+    # replicates x keys rows: a draw of one trial only has no pair
+    grid = own.join(F.broadcast(pairs.select(*keys).distinct())) if keys else own
+    return grid.join(cross, [*keys, "b"], "left").select(*keys, "b", (F.lit(float(trials * trials)) / (F.col("own") + 2 * F.coalesce("cross", F.lit(0.0)))).alias("ic"))
 
 
 def bootstrap_weights(spark, replicates: int, trials: int, draw=None) -> DataFrame:

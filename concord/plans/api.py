@@ -7,7 +7,6 @@ import math
 import warnings
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,12 +15,13 @@ from concord.functions.rules import derived_seed, manual_seed
 from concord.operators import counts as C
 from concord.operators import similarity as S
 from concord.operators.graph import GraphData
-from concord.operators.leiden import LABELS, TASKS, adjacency, run_tasks
+from concord.operators.leiden import LABELS, TASKS, adjacency, run_probes, run_tasks
 from concord.operators.merge import merged
 from concord.plans import admission as A
 from concord.plans import results as R
 from concord.plans.params import Params, checked
 from concord.plans.search import Search
+from concord.sources.scratch import stored
 
 logger = logging.getLogger("concord")
 
@@ -37,13 +37,10 @@ class Study:
         self.n = graph.check()
         self.spark: SparkSession = graph.cells.sparkSession
         self.arrays = None if cluster_fn else adjacency(graph.edges, self.n)
-        self.held: list[DataFrame] = []
 
     def keep(self, df: DataFrame) -> DataFrame:
-        """Kept for several readers; lost parts are computed again from the seeds."""
-        df = df.persist(StorageLevel.MEMORY_AND_DISK)
-        self.held.append(df)
-        return df
+        """Written for several readers; what follows starts from the table and not from all steps before."""
+        return stored(df, "study")
 
     def tasks(self, rows: list[tuple[int, float, int, int]]) -> DataFrame:
         return self.spark.createDataFrame(rows, TASKS)
@@ -72,7 +69,11 @@ class Study:
 
     def probe(self, gammas: list[float]) -> DataFrame:
         rows = [(k, g, 1, derived_seed(self.p.seed, "probe", gamma=g)) for k, g in enumerate(gammas)]
-        labels = self.cluster(self.tasks(rows), 3 if self.n >= 200_000 else 5, 0.01)
+        iterations = 3 if self.n >= 200_000 else 5
+        if self.arrays is not None:
+            objective = "modularity" if self.p.objective == "modularity" else "CPM"
+            return run_probes(self.arrays, self.tasks(rows), objective, iterations, 0.01, self.p.min_cluster_size).drop("task")
+        labels = self.cluster(self.tasks(rows), iterations, 0.01)
         named = self.spark.createDataFrame(list(enumerate(gammas)), "task int, gamma double")
         return self.counted(labels).join(F.broadcast(named), "task").select("gamma", "raw_clusters", "effective_clusters", "final_clusters")
 
@@ -86,29 +87,25 @@ class Study:
         )
 
     def finished(self, labels: DataFrame, chosen: dict[int, tuple[int, float]], trials: int, by_hits: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """Bootstrap (task, b, ic), mei (task, cell_idx, mei), and merged labels of the representative trial (task, cell_idx, label)."""
-        boots = meis = best = None
-        drawn = self.keep(S.bootstrap_weights(self.spark, self.p.n_bootstrap, trials, lambda b, s: F.pmod(F.xxhash64(b, s, F.lit(derived_seed(self.p.seed, "bootstrap", i=0))), F.lit(trials))))
-        for task, (k, _) in chosen.items():
-            own = labels.where(F.col("task") == task).select("trial", "cell_idx", "label")
-            found = self.keep(S.patterns(own))
-            pairs = self.keep(S.similarity_matrix(found))
-            boot = S.bootstrap(pairs, drawn, trials).select(F.lit(task).alias("task"), "b", "ic")
-            mei = S.element_consistency(own, found).select(F.lit(task).alias("task"), "cell_idx", "mei")
-            table = S.outcomes(found)
-            if by_hits:
-                counted = self.counted(labels.where(F.col("task") == task))
-                hits = [r.trial for r in counted.where(F.col("final_clusters") == k).select("trial").collect()]
-                if hits:
-                    table = table.where(F.col("rep_trial").isin(hits))
-            rep = S.best_outcome(table, pairs).first().rep_trial
-            final = self.final(labels.where((F.col("task") == task) & (F.col("trial") == rep))).select("task", "cell_idx", "label")
-            boots, meis, best = (x if y is None else y.unionByName(x) for x, y in ((boot, boots), (mei, meis), (final, best)))
-        return boots, meis, best
-
-    def release(self) -> None:
-        for df in self.held:
-            df.unpersist()
+        """Bootstrap (task, b, ic), mei (task, cell_idx, mei), and merged labels of the representative trial (task, cell_idx, label), of all tasks at once."""
+        keys = ["task"]
+        own = labels.where(F.col("task").isin(list(chosen)))
+        found = self.keep(S.patterns(own, keys))
+        pairs = self.keep(S.similarity_matrix(found, keys))
+        drawn = S.bootstrap_weights(self.spark, self.p.n_bootstrap, trials, lambda b, s: F.pmod(F.xxhash64(b, s, F.lit(derived_seed(self.p.seed, "bootstrap", i=0))), F.lit(trials)))
+        if trials > 1:
+            boots = S.bootstrap(pairs, drawn, trials, keys)
+        else:
+            boots = found.select("task").distinct().select("task", F.explode(F.sequence(F.lit(1), F.lit(self.p.n_bootstrap)).cast("array<bigint>")).alias("b"), F.lit(1.0).alias("ic"))
+        table = S.outcomes(found, keys)
+        if by_hits:  # trials with the target's count, where a task has any
+            named = self.spark.createDataFrame([(t, k) for t, (k, _) in chosen.items()], "task int, target int")
+            hits = self.counted(own).join(F.broadcast(named), "task").where(F.col("final_clusters") == F.col("target")).select("task", F.col("trial").alias("rep_trial"), F.lit(1).alias("hit"))
+            some = hits.select("task").distinct().withColumn("some", F.lit(1))
+            table = table.join(hits, ["task", "rep_trial"], "left").join(some, "task", "left").where("some is null or hit = 1").drop("hit", "some")
+        best = S.best_outcome(table, pairs, keys).select("task", F.col("rep_trial").alias("trial"))
+        final = self.final(own.join(F.broadcast(best), ["task", "trial"])).select("task", "cell_idx", "label")  # one row for each task
+        return boots, S.element_consistency(own, found, keys), final
 
 
 def _bounds(p: Params) -> tuple[float, float]:

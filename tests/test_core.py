@@ -12,7 +12,7 @@ from concord.operators import counts as C
 from concord.operators import merge as M
 from concord.operators import similarity as S
 from concord.operators.graph import GraphData
-from concord.operators.leiden import Adjacency, leiden
+from concord.operators.leiden import Adjacency, leiden, merged_labels
 from concord.plans import admission as A
 from concord.plans import results as V
 from concord.plans import search as P
@@ -198,6 +198,15 @@ def test_leiden_recovers_blocks_and_repeats():
     assert len(set(leiden(Adjacency.of(3, np.zeros(0, int), np.zeros(0, int), np.zeros(0)), 1.0).tolist())) == 3
 
 
+def test_merging_in_a_task_equals_the_tables(spark):
+    graph, own = arrays(), np.array([k % 3 if k % 11 else 3 + k % 4 for k in range(60)])
+    src = np.repeat(np.arange(60), np.diff(graph.start)).tolist()
+    edges = spark.createDataFrame(list(zip(src, graph.other.tolist(), graph.weight.tolist())), "src long, dst long, weight double")
+    table = {r.cell_idx: r.label for r in M.merged(edges, labels(spark, own.tolist()), 3, ["trial"]).collect()}
+    ours = merged_labels(graph, own, 3)
+    assert len({(table[k], int(ours[k])) for k in range(60)}) == len(set(table.values())) == len(set(ours.tolist()))
+
+
 def test_evaluation_by_resolution(spark):
     found = evaluate_consistency(planted(spark), resolution=[0.3], n_trials=3, n_bootstrap=20)
     main = found.main.first()
