@@ -45,10 +45,12 @@ from concord.llm.components import components
 from concord.llm.shared import stored, texts
 from concord.llm.words import RangeHash, mixed
 
-CELL_BITS = 20
+CELL_BITS = 21
 CELLS = 1 << CELL_BITS
-#: A cell is frequent from this many times the mean load, and from this count, on.
-FREQUENT_TIMES, FREQUENT_LEAST = 8, 64
+#: A cell is frequent if its count is over the mean load by this many times the mean's root, and by this count.
+FREQUENT_TIMES, FREQUENT_LEAST = 8, 32
+#: Bits of a signature that travel; chance agreement makes a candidate more, never a link.
+KEY_BITS = 48
 ROW_DOCS = 32
 GROUP_DOCS, GROUP_SHINGLES = 1024, 1 << 21
 BATCH_CHARS = 1 << 20
@@ -297,7 +299,7 @@ class ShingleJoin:
         counted = stored(arrow_rows(rows).mapInArrow(count, "doc_id long, n_shingles long, slice int, cells binary"), "shingle-counts")
         info = counted.where("slice is null").select("doc_id", "n_shingles")
         mean = (info.agg(F.sum("n_shingles")).first()[0] or 0) / CELLS
-        least = max(FREQUENT_LEAST, int(FREQUENT_TIMES * mean))
+        least = int(mean + FREQUENT_TIMES * math.sqrt(mean) + FREQUENT_LEAST)
 
         def add(batches):
             sums: dict[int, np.ndarray] = {}
@@ -340,9 +342,10 @@ class ShingleJoin:
                 pairs = np.array(links, np.int64)
                 own = mixed(docs[pairs[:, 0]].astype(np.uint64) ^ np.uint64(0x2545F4914F6CDD1D))
                 keys, owner = np.concatenate([keys, own, own]), np.concatenate([owner, pairs[:, 0], pairs[:, 1]])
+            keys >>= np.uint64(64 - KEY_BITS)
             order = np.argsort(keys)
             keys, owner = keys[order], docs[owner[order]]
-            bucket = ((keys >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
+            bucket = ((keys >> np.uint64(KEY_BITS - 24)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
             edges = np.searchsorted(bucket, np.arange(buckets + 1))
             at = [k for k in range(buckets) if edges[k + 1] > edges[k]]
             blobs = [packed(delta(keys[edges[k] : edges[k + 1]]), owner[edges[k] : edges[k + 1]]) for k in at]
@@ -450,11 +453,11 @@ class ShingleJoin:
             for k, i in enumerate(ids):
                 r = forest.root(k)
                 least[r] = min(i, least.get(r, i))
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([least[forest.root(k)] for k in range(len(ids))], pa.int64()), pa.array(group["parts"], pa.int32()), pa.array(group["comp"], pa.int64())], ["doc_id", "root", "parts", "comp"])
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([least[forest.root(k)] for k in range(len(ids))], pa.int64()), pa.array(group["parts"], pa.int32()), pa.array(group["comp"], pa.int64()), pa.array(group["text"] if group["parts"][0] > 1 else [None] * len(ids), pa.string())], ["doc_id", "root", "parts", "comp", "text"])
 
         where = F.when(F.col("doc_id") == F.col("comp"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(own_part))
         split = found.select("comp", F.explode(where).alias("part"), "doc_id", "text", "parts")
-        joined = stored(self._grouped(split, join_group, "doc_id long, root long, parts int, comp long"), "joined")
+        joined = stored(self._grouped(split, join_group, "doc_id long, root long, parts int, comp long, text string"), "joined")
         done = joined.where("parts = 1").select("doc_id", F.col("root").alias("component_id"))
         if joined.where("parts > 1").isEmpty():
             return done
@@ -467,7 +470,8 @@ class ShingleJoin:
         labelled = stored(labelled, "labelled")
         counts = labelled.groupBy("comp", "label").count()
         largest = counts.groupBy("comp").agg(F.max_by("label", F.struct("count", "label")).alias("top"))
-        sides = labelled.join(largest, "comp").join(body, "doc_id")
+        own_text = large.where((F.col("doc_id") != F.col("comp"))).select("doc_id", "text").unionByName(large.where("doc_id = comp").groupBy("doc_id").agg(F.first("text").alias("text")))
+        sides = labelled.join(largest, "comp").join(own_text, "doc_id")
         query = F.when(F.col("label") != F.col("top"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array().cast("array<int>"))
         both = sides.select("comp", own_part.alias("part"), "doc_id", "text", "label", F.lit(0).alias("asks")).unionByName(
             sides.select("comp", F.explode(query).alias("part"), "doc_id", "text", "label", F.lit(1).alias("asks"))
