@@ -89,7 +89,7 @@ class Study:
     def finished(self, labels: DataFrame, chosen: dict[int, tuple[int, float]], trials: int, by_hits: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
         """Bootstrap (task, b, ic), mei (task, cell_idx, mei), and merged labels of the representative trial (task, cell_idx, label), of all tasks at once."""
         keys = ["task"]
-        own = labels.where(F.col("task").isin(list(chosen)))
+        own = self.keep(labels.where(F.col("task").isin(list(chosen))))
         found = self.keep(S.patterns(own, keys))
         pairs = self.keep(S.similarity_matrix(found, keys))
         drawn = S.bootstrap_weights(self.spark, self.p.n_bootstrap, trials, lambda b, s: F.pmod(F.xxhash64(b, s, F.lit(derived_seed(self.p.seed, "bootstrap", i=0))), F.lit(trials)))
@@ -97,13 +97,13 @@ class Study:
             boots = S.bootstrap(pairs, drawn, trials, keys)
         else:
             boots = found.select("task").distinct().select("task", F.explode(F.sequence(F.lit(1), F.lit(self.p.n_bootstrap)).cast("array<bigint>")).alias("b"), F.lit(1.0).alias("ic"))
-        table = S.outcomes(found, keys)
+        table = self.keep(S.outcomes(found, keys))
         if by_hits:  # trials with the target's count, where a task has any
             named = self.spark.createDataFrame([(t, k) for t, (k, _) in chosen.items()], "task int, target int")
             hits = self.counted(own).join(F.broadcast(named), "task").where(F.col("final_clusters") == F.col("target")).select("task", F.col("trial").alias("rep_trial"), F.lit(1).alias("hit"))
             some = hits.select("task").distinct().withColumn("some", F.lit(1))
             table = table.join(hits, ["task", "rep_trial"], "left").join(some, "task", "left").where("some is null or hit = 1").drop("hit", "some")
-        best = S.best_outcome(table, pairs, keys).select("task", F.col("rep_trial").alias("trial"))
+        best = self.keep(S.best_outcome(table, pairs, keys).select("task", F.col("rep_trial").alias("trial")))
         final = self.final(own.join(F.broadcast(best), ["task", "trial"])).select("task", "cell_idx", "label")  # one row for each task
         return boots, S.element_consistency(own, found, keys), final
 
