@@ -50,19 +50,77 @@ def profile(edges: DataFrame, n_cells: int) -> DataFrame:
     )
 
 
-def nearest_exact(vectors: DataFrame, k: int, most_rows: int = 20_000) -> DataFrame:
-    """(src, dst, rank): the k most similar rows of each (id, vector), itself among them; for small tables only."""
-    n = vectors.count()
-    if n > most_rows:
-        raise ValueError(f"nearest_exact compares all pairs; {n} rows are over {most_rows}. Give a neighbour table instead")
+#: Different vectors of one block; a task compares two blocks.
+BLOCK = 8192
+
+
+def nearest_exact(vectors: DataFrame, k: int) -> DataFrame:
+    """(src, dst, rank): the k most similar rows of each (id, vector), itself first, ties to smaller ids.
+
+    Every row is compared with all rows: identical vectors are grouped, tasks compare two blocks of
+    different vectors, and each found vector stands for its k smallest ids.
+    """
     from pyspark.sql import Window
 
-    a = vectors.select(F.col("id").alias("src"), F.col("vector").alias("a"))
-    b = vectors.select(F.col("id").alias("dst"), F.col("vector").alias("b"))
-    dot = F.aggregate(F.zip_with("a", "b", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    scored = a.join(F.broadcast(b)).select("src", "dst", F.when(F.col("src") == F.col("dst"), F.lit(float("inf"))).otherwise(dot).alias("s"))
-    rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("s"), "dst"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("src", "dst", "rank")
+    rows = vectors.select("id", "vector", F.coalesce(F.sha2(F.col("vector").cast("string"), 256), F.lit("")).alias("key"))
+    groups = rows.groupBy("key").agg(F.min("id").alias("first"), F.any_value("vector").alias("vector"))
+    blocks = max(1, -(-groups.count() // BLOCK))
+    block = F.pmod(F.xxhash64("first"), F.lit(blocks)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = groups.select(block.alias("i"), every.alias("j"), F.lit(True).alias("asks"), "first", "vector")
+    right = groups.select(every.alias("i"), block.alias("j"), F.lit(False).alias("asks"), "first", "vector")
+    best = left.unionByName(right).groupBy("i", "j").applyInArrow(lambda table: _best_of_blocks(table, k), "src long, dst long, s double")
+
+    def top(by, *order):
+        return F.row_number().over(Window.partitionBy(by).orderBy(*order))
+
+    near = best.withColumn("r", top("src", F.desc("s"), "dst")).where(F.col("r") <= k).select("src", F.col("dst").alias("first"), "s")
+    firsts = groups.select("key", "first")
+    members = rows.select("key", "id").withColumn("r", top("key", "id")).where(F.col("r") <= k).join(firsts, "key").select("first", "id")
+    lists = near.join(members, "first").withColumn("r", top("src", F.desc("s"), "id")).where(F.col("r") <= k)
+    lists = lists.groupBy(F.col("src").alias("first")).agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "id"))), lambda x: x["id"]).alias("ids"))
+    others = F.slice(F.filter("ids", lambda x: x != F.col("id")), 1, k - 1)
+    found = rows.select("key", "id").join(firsts, "key").join(lists, "first")
+    return found.select(F.col("id").alias("src"), F.posexplode(F.concat(F.array("id"), others)).alias("rank", "dst")).select("src", "dst", (F.col("rank") + 1).alias("rank"))
+
+
+def _best_of_blocks(table, k: int):
+    """(src, dst, s): for each asking row of a pair of blocks the k best of the other block.
+
+    Matrix products only choose: what comes within rounding of the k-th best is summed in order of the
+    dimensions, so that equal sums are equal numbers.
+    """
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute
+
+    def matrix(rows):
+        vectors = rows.column("vector").combine_chunks()
+        said = vectors.is_valid().to_numpy(zero_copy_only=False)
+        values = vectors.drop_null().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        out = np.full((len(said), len(values) // max(1, said.sum())), np.nan)
+        out[said] = values.reshape(said.sum(), out.shape[1])
+        return rows.column("first").to_numpy(), out
+
+    (own, a), (other, b) = (matrix(table.filter(side)) for side in (table.column("asks"), pa.compute.invert(table.column("asks"))))
+    out = []
+    if len(own) and len(other) and a.shape[1] == b.shape[1]:
+        slack = 1e-12 * (1 + a.shape[1]) * np.sqrt(np.nansum(a * a, axis=1)) * np.sqrt(np.nansum(b * b, axis=1).max())
+        for at in range(0, len(own), 256):
+            rough = a[at : at + 256] @ b.T
+            rough[np.isnan(rough)] = -np.inf
+            last = np.partition(rough, len(other) - k, axis=1)[:, len(other) - k] if len(other) > k else np.full(len(rough), -np.inf)
+            i, j = np.nonzero(rough >= (last - slack[at : at + 256])[:, None])
+            s = np.zeros(len(i))
+            for d in range(a.shape[1]):
+                s += a[at + i, d] * b[j, d]
+            s[np.isnan(s)] = -np.inf
+            order = np.lexsort((other[j], -s, i))
+            i, j, s = i[order], j[order], s[order]
+            keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+            out.append((own[at + i[keep]], other[j[keep]], s[keep]))
+    src, dst, s = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64()), "s": pa.array(s, pa.float64())})
 
 
 def shared_neighbours(nearest: DataFrame, k: int, prune: float = 1 / 15) -> DataFrame:
