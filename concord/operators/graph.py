@@ -26,6 +26,27 @@ class GraphData:
         return said.n
 
 
+def column_ranges(columns: DataFrame) -> DataFrame:
+    """(col, start, stop): half-open ranges of positions, by the running sum of the sizes of (col, n).
+
+    Sums run within ranges of 4,096 numbers, then over the ranges, level by level.
+    """
+    from pyspark.sql import Window
+
+    def starts(sizes: DataFrame, levels: int) -> DataFrame:
+        if not levels:
+            window = Window.orderBy("at")
+            return sizes.select("at", (F.sum("n").over(window) - F.col("n")).alias("start"))
+        placed = sizes.withColumn("up", F.floor(F.col("at") / 4096).cast("long"))
+        above = starts(placed.groupBy(F.col("up").alias("at")).agg(F.sum("n").alias("n")), levels - 1)
+        window = Window.partitionBy("up").orderBy("at")
+        inner = placed.select("at", "up", (F.sum("n").over(window) - F.col("n")).alias("inner"))
+        return inner.join(above.select(F.col("at").alias("up"), "start"), "up").select("at", (F.col("start") + F.col("inner")).alias("start"))
+
+    sizes = columns.select(F.col("col").alias("at"), "n")
+    return starts(sizes, 2).join(sizes, "at").select(F.col("at").alias("col"), "start", (F.col("start") + F.col("n")).alias("stop"))
+
+
 def from_columns(indices: DataFrame, pointers: DataFrame) -> DataFrame:
     """Edges of a compressed-sparse-column matrix.
 

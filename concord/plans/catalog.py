@@ -217,10 +217,8 @@ def graph_profile(spark, sf):
 def csc_to_edges(spark, sf):
     entries = T.read(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("col"), F.col("l_partkey").alias("row")).agg(F.sum("l_quantity").alias("value"))
     within = F.row_number().over(_window("col", "row")) - 1
-    columns = entries.groupBy("col").agg(F.count(F.lit(1)).alias("n"))
-    # positions are blocks of 64 a column: no order over all columns is needed
-    placed = entries.select("row", "value", (F.col("col") * 1024 + within).alias("pos"))
-    pointers = columns.select("col", (F.col("col") * 1024).alias("start"), (F.col("col") * 1024 + F.col("n")).alias("stop"))
+    pointers = N.column_ranges(entries.groupBy("col").agg(F.count(F.lit(1)).alias("n")))
+    placed = entries.withColumn("within", within).join(pointers, "col").select("row", "value", (F.col("start") + F.col("within")).alias("pos"))
     return N.from_columns(placed, pointers)
 
 

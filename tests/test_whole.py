@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from concord.operators import graph as N
+from concord.plans.catalog import QUERIES
 
 
 def test_nearest_exact_in_blocks_and_with_copies(spark, monkeypatch):
@@ -23,3 +24,12 @@ def test_nearest_exact_has_no_limit_of_rows(spark):
     df = spark.range(20_500).select("id", F.array(F.col("id").cast("double") + 1, F.lit(0.5)).alias("vector"))
     out = N.nearest_exact(df, 3).where("src < 3").collect()
     assert sorted((r.src, r["rank"], r.dst) for r in out) == sorted((q, r, d) for q in range(3) for r, d in ((1, q), (2, 20_499), (3, 20_498)))
+
+
+def test_csc_columns_of_any_size(spark, tmp_path):
+    rows = spark.range(3000).selectExpr("1L as l_orderkey", "id as l_partkey", "1.0D as l_quantity")
+    rows = rows.union(spark.range(3).selectExpr("2L", "id", "2.0D")).union(spark.range(3).selectExpr("9000000L", "id", "3.0D"))
+    rows.write.parquet(f"{tmp_path}/lineitem.parquet")
+    out = QUERIES["csc_to_edges"](spark, str(tmp_path))
+    assert out.count() == 3006
+    assert out.exceptAll(rows.selectExpr("l_partkey as src", "l_orderkey as dst", "l_quantity as weight")).isEmpty()
