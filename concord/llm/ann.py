@@ -17,12 +17,14 @@ reverse samples are bounded for each node or query, and nothing of the corpus is
 
 Defined results: vectors that are null, zero, or hold nulls or non-finite numbers take no part, nor
 do those whose dimension is not the most common one. Null ids take no part; of rows with one id the
-least vector counts. Equal scores go by smaller id. With fewer candidates than asked for, all are
+least vector counts. Equal scores go by smaller id: the graph is over different vectors, and each
+found one is expanded to its smallest ids. With fewer candidates than asked for, all are
 returned. An empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -155,7 +157,7 @@ class NeighbourGraph:
     seed: int = 5
 
     def vectors(self, table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-        """(id, vector, small, scale) of the rows that take part."""
+        """(id, vector, small, scale, key) of the rows that take part; equal vectors have equal keys."""
         x = F.col("vector")
         usable = F.col("id").isNotNull() & x.isNotNull() & ~F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists(x, lambda v: v != 0)
         rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector")).where(usable)
@@ -169,9 +171,10 @@ class NeighbourGraph:
                     x = _lists(batch, 1).reshape(batch.num_rows, -1)
                     scale = np.abs(x).max(axis=1) / 127
                     small = np.rint(x / scale[:, None]).astype(np.int8)
-                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r.tobytes() for r in small], pa.binary()), pa.array(scale, pa.float32())], ["id", "vector", "small", "scale"])
+                    keys = [hashlib.blake2b(r.tobytes(), digest_size=24).digest() for r in x + 0.0]
+                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r.tobytes() for r in small], pa.binary()), pa.array(scale, pa.float32()), pa.array(keys, pa.binary())], ["id", "vector", "small", "scale", "key"])
 
-        return stored(arrow_rows(rows, ROWS).mapInArrow(shrink, "id long, vector array<double>, small binary, scale float"), "vectors")
+        return stored(arrow_rows(rows, ROWS).mapInArrow(shrink, "id long, vector array<double>, small binary, scale float, key binary"), "vectors")
 
     def _first_lists(self, vectors: DataFrame, n: int, partitions: int) -> DataFrame:
         every = max(1, n // SAMPLE)
@@ -362,12 +365,15 @@ class NeighbourGraph:
         graph.unpersist()
         top = state.select("q", F.explode(F.slice("vs", 1, max(self.rerank, k))).alias("vec_id"))
         ours, theirs = asked.select("q", F.col("vector").alias("a")), vectors.select(F.col("id").alias("vec_id"), F.col("vector").alias("b"))
-        product = F.aggregate(F.zip_with("a", "b", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-        scored = top.join(theirs, "vec_id").join(ours, "q").select("q", "vec_id", product.alias("score"))
+        scored = top.join(theirs, "vec_id").join(ours, "q").select("q", "vec_id", _product("a", "b").alias("score"))
         rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))
         return scored.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("q").alias("query_id"), F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def _product(a: str, b: str):
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+
 def _dense(batch: pa.RecordBatch, small: int, scale: int) -> np.ndarray:
     raw = np.frombuffer(b"".join(batch.column(small).to_pylist()), np.int8).reshape(batch.num_rows, -1)
     return raw.astype(np.float32) * np.asarray(batch.column(scale))[:, None]
@@ -407,7 +413,25 @@ def _whole_groups(batches, groups: int, dense: bool = True):
 
 
 def nearest(table: DataFrame, k: int = 20, every: int = 20, graph: NeighbourGraph = NeighbourGraph()) -> DataFrame:
-    """The k nearest found of each row whose id is divisible by ``every``."""
-    vectors = graph.vectors(table)
-    lists = graph.build(vectors)
-    return graph.search(lists, vectors, vectors.where(F.col("id") % every == 0).select("id"), k)
+    """The k nearest found of each row whose id is divisible by ``every``.
+
+    The graph is built and searched over different vectors; each found one stands for its k smallest ids.
+    """
+    rows = graph.vectors(table)
+    # every row's key, and the row of the least id for each key
+    groups = rows.groupBy("key").agg(F.min("id").alias("first"))
+    vectors = stored(rows.join(groups.select(F.col("first").alias("id")), "id", "left_semi"), "different")
+    asked = rows.where(F.col("id") % every == 0).select(F.col("id").alias("query_id"), "key")
+    queries = asked.select("key").distinct().join(groups, "key").select(F.col("first").alias("id"))
+    found = graph.search(graph.build(vectors), vectors, queries, k).select("query_id", "vec_id", "score")
+    own = queries.join(vectors, "id").select(F.col("id").alias("query_id"), F.col("id").alias("vec_id"), _product("vector", "vector").alias("score"))
+
+    def top(by, *order):
+        return F.row_number().over(Window.partitionBy(by).orderBy(*order))
+
+    members = rows.select("key", "id").withColumn("r", top("key", "id")).where(F.col("r") <= k + 1).join(groups, "key").select(F.col("first").alias("vec_id"), "id")
+    lists = found.unionByName(own).join(members, "vec_id").withColumn("r", top("query_id", F.desc("score"), "id")).where(F.col("r") <= k + 1)
+    lists = lists.groupBy(F.col("query_id").alias("first")).agg(F.array_sort(F.collect_list(F.struct("r", "id", "score"))).alias("near"))
+    others = F.slice(F.filter("near", lambda x: x["id"] != F.col("query_id")), 1, k)
+    placed = asked.join(groups, "key").join(lists, "first").select("query_id", F.posexplode(others).alias("place", "x"))
+    return placed.select("query_id", (F.col("place") + 1).cast("int").alias("rank"), F.col("x.id").alias("vec_id"), F.col("x.score").alias("score"))

@@ -427,3 +427,17 @@ def test_exact_query_equals_sql(spark):
     said = duckdb.sql(entries.oracle_sql()["op6_exact_dedup"])
     found = entries.queries()["op6_exact_dedup"](spark, folder).select(said.columns)
     assert sorted(map(tuple, found.collect())) == sorted(said.fetchall())
+
+
+def test_copies_go_by_smaller_id(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(900, 16))
+    x[rng.random(900) < 0.6] = x[3]
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    graph = ann.NeighbourGraph(degree=12, trees=2, leaf=150, rounds=2, search_rounds=4, beam=64, opened=16)
+    out = {(r.query_id, r["rank"]): r.vec_id for r in ann.nearest(df, k=10, every=30, graph=graph).collect()}
+    copies = [k for k in range(900) if (x[k] == x[3]).all()]
+    asked = [q for q in copies if q % 30 == 0]
+    assert len(asked) > 5
+    for q in asked:
+        assert [out[q, r] for r in range(1, 11)] == [k for k in copies if k != q][:10]
