@@ -265,6 +265,31 @@ def merge_small_clusters(spark, sf):
     return M.merged(T.planted(_parts(spark, sf)), _small_labels(spark, sf), 5, ["trial"])
 
 
+#: All parts: clusters of three among ten large ones, on the graph of the whole table.
+WHOLE = f"""{COPARTS},
+labels AS (SELECT p_partkey AS cell_idx, 1 AS trial, (CASE WHEN p_partkey % 37 = 0 THEN 20 + p_partkey // 111 ELSE p_partkey % 10 END)::INT AS label FROM part),
+{SMALL[SMALL.index("sizes AS"):]}"""
+
+
+def _whole_labels(spark, sf):
+    key = F.col("p_partkey")
+    label = F.when(key % 37 == 0, 20 + F.floor(key / 111)).otherwise(key % 10).cast("int")
+    return _parts(spark, sf).select(F.lit(1).alias("trial"), key.alias("cell_idx"), label.alias("label"))
+
+
+@query(f"WITH {WHOLE} SELECT 1 AS trial, small, large, round(mean_weight, 6) AS mean_weight FROM conn")
+def small_cluster_connectivity_whole(spark, sf):
+    return rounded(M.connectivity(T.co_parts(T.read(spark, sf, "lineitem")), _whole_labels(spark, sf), 5, ["trial"]), "mean_weight")
+
+
+@query(f"""WITH {WHOLE},
+best AS (SELECT small, large FROM (SELECT *, row_number() OVER (PARTITION BY small ORDER BY mean_weight DESC, large) AS r FROM conn) WHERE r = 1),
+moved AS (SELECT trial, cell_idx, coalesce(large, label) AS label FROM labels LEFT JOIN best ON small = label)
+SELECT trial, cell_idx, (dense_rank() OVER (ORDER BY label) - 1)::INT AS label FROM moved""")
+def merge_small_clusters_whole(spark, sf):
+    return M.merged(T.co_parts(T.read(spark, sf, "lineitem")), _whole_labels(spark, sf), 5, ["trial"])
+
+
 QUALITY = f"{COPARTS}, {TRIALS}, inside AS (SELECT a.trial, sum(weight) AS w FROM edges JOIN trials a ON a.cell_idx = src JOIN trials b ON b.cell_idx = dst AND a.trial = b.trial AND a.label = b.label GROUP BY a.trial)"
 
 
@@ -623,14 +648,15 @@ def secondary_gamma(spark, sf):
 
 @query()
 def leiden_trials(spark, sf):
-    arrays = adjacency(T.planted(_parts(spark, sf)), 200)
+    parts = _parts(spark, sf)
+    arrays = adjacency(T.planted_blocks(parts).edges, parts.count())
     rows = [(k, g, t, 100 * k + t) for k, g in enumerate((0.05, 0.2, 0.3)) for t in range(1, 5)]
     return run_tasks(arrays, spark.createDataFrame(rows, TASKS), "CPM", 10, 0.1)
 
 
 @query()
 def consistency_by_resolution(spark, sf):
-    found = evaluate_consistency(T.planted_graph(_parts(spark, sf)), resolution=[0.05, 0.2, 0.3], n_trials=6, n_bootstrap=20, seed=1)
+    found = evaluate_consistency(T.planted_blocks(_parts(spark, sf)), resolution=[0.05, 0.2, 0.3], n_trials=6, n_bootstrap=20, seed=1)
     return found.resolution_diagnostics
 
 

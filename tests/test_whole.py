@@ -33,3 +33,8 @@ def test_csc_columns_of_any_size(spark, tmp_path):
     out = QUERIES["csc_to_edges"](spark, str(tmp_path))
     assert out.count() == 3006
     assert out.exceptAll(rows.selectExpr("l_partkey as src", "l_orderkey as dst", "l_quantity as weight")).isEmpty()
+
+
+def test_leiden_runs_on_all_parts(spark):
+    out = QUERIES["leiden_trials"](spark, "/root/testdata/sf0.01").groupBy("cell_idx").count().agg(F.count("count"), F.max("cell_idx")).first()
+    assert tuple(out) == (2000, 1999)
