@@ -42,7 +42,10 @@ FORMATS = {
     "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]*(?:-----END [A-Z ]*PRIVATE KEY-----)?",
 }
 NAMES = r"(?i:pass(?:word|wd|phrase)?|pwd|secret|token|credentials?|api[_-]?key|access[_-]?key|auth)"
-ASSIGNED = NAMES + r"""["']?\s{0,3}[:=]\s{0,3}["']?[^\s"',;<>]{6,}"""
+#: A name with further word characters, the sign between blanks of any number, and the value.
+SIGN = r"""[A-Za-z0-9_-]*+["']?\s*+[:=]\s*+["']?"""
+VALUE = r"""[^\s"',;<>]{6,}"""
+ASSIGNED = NAMES + SIGN + VALUE
 LONG = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,64}[0-9])[A-Za-z0-9+/_-]{16,}={0,2}"
 SCAN = "|".join([*FORMATS.values(), ASSIGNED, LONG])
 
@@ -86,14 +89,14 @@ def features_sql(value: str, before: str, after: str, match: str) -> dict[str, s
         "in_path": f"int({before} rlike '(?i)(https?:|/|www[.])[^ ]*$' or {after} rlike '^([.][a-z]{{2,4}}|/)')",
         "named": f"int({match} rlike {_quoted('^' + NAMES)} or {before} rlike {_quoted(NAMES + '[^a-zA-Z]{0,4}$')})",
         "noisy": f"int(lower(concat({before}, ' ', {after})) rlike {_quoted(NOISE)})",
-        "known": f"int({match} rlike {_quoted(known)})",
+        "known": f"int({value} rlike {_quoted(known)})",
     }
     return {k: f"double({v})" for k, v in out.items()}
 
 
 def value_sql(match: str) -> str:
     """The assigned value of a match, or the match."""
-    value = NAMES + r"""["']?\s{0,3}[:=]\s{0,3}["']?([^\s"',;<>]{6,})"""
+    value = f"{NAMES}{SIGN}({VALUE})"
     return f"if({match} rlike {_quoted('^' + value)}, regexp_extract({match}, {_quoted('^' + value)}, 1), {match})"
 
 
@@ -109,8 +112,8 @@ def labelled_findings(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
         "translate(sha2(concat('u', id), 256), '0123456789abcdef', 'ABCDEFGHJKLMN234') as upper_",
     )
     said = pick("v", "of the", "and then in", "see also", "we had", "it was for", "entre le", "und die")
-    name = pick("u", "password", "token", "api_key", "secret", "passwd", "access_key", "auth")
-    sign = pick("v", "=", ": ", " = \"", ":\"", "='", " = ")
+    name = pick("u", "password", "token", "api_key", "secret", "passwd", "access_key", "auth", "secret_key", "password_prod", "authToken")
+    sign = pick("v", "=", ": ", " = \"", ":\"", "='", " = ", "        = ", ":        ")
     plain = pick("u", "changeme123", "your_password_here", "example_value", "insert-token-here", "xxxxxxxx1", "default_user", "test_service_name", "placeholder", "dummyvalue", "${TOKEN_VALUE}")
     noise = pick("v", "commit ", "sha256 ", "md5: ", "checksum ", "uuid ", "revision ", "serial no ")
     slug = pick("u", "the-release-notes-for-version", "image_gallery_page_table", "moduleConfigServiceBuilder", "index_of_data_nodes", "user-admin-test-build")
@@ -226,7 +229,8 @@ def findings(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", te
     # outer: else the optimizer infers a filter that computes the array a second time
     placed = scanned.selectExpr("doc_id", "parts", "matches", "posexplode_outer(found) as (k, f)").where(F.col("f.score") >= threshold)
     before = "aggregate(sequence(0, k), 0, (n, i) -> n + length(parts[i]) + if(i < k, length(matches[i]), 0))"
-    inner = "locate(f.value, f.match)"
+    # the value ends the match; the name before may hold the same string
+    inner = "length(f.match) - length(f.value) + 1"
     return placed.selectExpr("doc_id", f"cast({before} + {inner} as long) as start", "cast(length(f.value) as long) as length", "f.kind as kind", "f.value as value", "f.score as score")
 
 
