@@ -1,22 +1,26 @@
 """Approximate nearest neighbours by inner product: an NN-descent graph and greedy search on it.
 
 Building. First lists come from the leaves of a few random-projection trees, which are cut from a
-bounded sample of vectors; large leaves are dealt to blocks. Then, in each NN-descent round, every
-node joins its neighbours and a bounded sample of those whose neighbour it is: the round is an
-equi-join of (node, neighbour) with the vectors, regrouped by node. All pairs of one node's
-neighbourhood (a bounded number) are scored with numpy, and each keeps what betters its list.
+bounded sample of vectors. A leaf with many vectors is cut further by random planes through its
+sample's mean, as many as its size asks for; what is still large is dealt to blocks. Then, in each
+NN-descent round, every node joins its neighbours and a bounded sample of those whose neighbour it
+is: the round is an equi-join of (node, neighbour) with the vectors, regrouped by node. All pairs of
+one node's neighbourhood (a bounded number) are scored with numpy, and each keeps what betters its
+list. Rounds end when less than ``settled`` of all list entries are new, at every size.
 
 Search. A query starts from its own node. In each round, a query's best nodes that are not yet
 opened are joined with the graph's rows, which are partitioned by node once and for all rounds; the
-neighbours' vectors lie in the row. The best ``BEAM`` candidates stay. The best ``RERANK`` of the
+neighbours' vectors lie in the row. The best candidates stay in the beam, which is wider for larger
+tables, and rounds end when all of every beam is opened. The best ``rerank`` of the
 last beam are scored again in double precision on the original vectors.
 
-The graph holds every vector. Vectors travel as 8-bit integers with a scale; lists, beams and
-reverse samples are bounded for each node or query, and nothing of the corpus is on the driver but
-``SAMPLE`` vectors for the trees.
+The graph holds every vector. Vectors travel as 8-bit integers and their size, as a share of the largest
+one's, in double precision; a node's list is ordered by its own direction's products, so no product overflows.
+Lists, beams and reverse samples are bounded for each node or query, and nothing of the corpus is on the driver
+but ``SAMPLE`` vectors for the trees.
 
-Defined results: vectors that are null, zero, or hold nulls or non-finite numbers take no part, nor
-do those whose dimension is not the most common one. Null ids take no part; of rows with one id the
+Defined results: vectors that are null, zero, or hold nulls or non-finite numbers take no part. Shorter
+vectors than the longest are filled up with zeros. Null ids take no part; of rows with one id the
 least vector counts. Equal scores go by smaller id: the graph is over different vectors, and each
 found one is expanded to its smallest ids. With fewer candidates than asked for, all are
 returned. An empty table gives an empty result; other columns are ignored.
@@ -25,6 +29,7 @@ returned. An empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,8 +38,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from concord.llm.bpe import arrow_rows
-from concord.llm.shared import release, stored
+from concord.llm.shared import bounded, forget, release, stored
 
 SAMPLE = 4096
 ROWS = 4096
@@ -50,12 +54,12 @@ def _list_batch(owner: np.ndarray, values: np.ndarray, sims: np.ndarray) -> pa.R
     heads = np.flatnonzero(np.diff(owner, prepend=owner[:1] - 1)) if len(owner) else np.zeros(0, np.int64)
     ends = pa.array(np.append(heads, len(owner)), pa.int32())
     return pa.RecordBatch.from_arrays(
-        [pa.array(owner[heads], pa.int64()), pa.ListArray.from_arrays(ends, pa.array(values, pa.int64())), pa.ListArray.from_arrays(ends, pa.array(sims, pa.float32()))],
+        [pa.array(owner[heads], pa.int64()), pa.ListArray.from_arrays(ends, pa.array(values, pa.int64())), pa.ListArray.from_arrays(ends, pa.array(sims, pa.float64()))],
         ["u", "vs", "sims"],
     )
 
 
-LISTS = "u long, vs array<long>, sims array<float>"
+LISTS = "u long, vs array<long>, sims array<double>"
 
 
 def best(owner: np.ndarray, values: np.ndarray, sims: np.ndarray, k: int):
@@ -80,7 +84,7 @@ def _best_lists(lists: DataFrame, k: int, partitions: int) -> DataFrame:
 
     def combine(batches):
         parts, size, most = [], 0, 1 << 19
-        for batch in batches:
+        for batch in bounded(batches, ROWS):
             counts = np.diff(np.asarray(batch.column(1).offsets))
             parts.append((np.repeat(batch.column(0).to_numpy(zero_copy_only=False), counts), _lists(batch, 1), _lists(batch, 2)))
             size += len(parts[-1][0])
@@ -91,7 +95,7 @@ def _best_lists(lists: DataFrame, k: int, partitions: int) -> DataFrame:
         if parts:
             yield _list_batch(*best(*(np.concatenate(x) for x in zip(*parts, strict=True)), k))
 
-    return arrow_rows(lists.repartition(partitions, "u"), ROWS).mapInArrow(combine, LISTS)
+    return lists.repartition(partitions, "u").mapInArrow(combine, LISTS)
 
 
 @dataclass
@@ -147,78 +151,88 @@ class NeighbourGraph:
     degree: int = 32
     trees: int = 4
     leaf: int = 600
-    rounds: int = 3
+    rounds: int = 16
+    settled: float = 0.02
     reverse: int = 32
     reverse_kept: int = 16
     beam: int = 320
     opened: int = 48
-    search_rounds: int = 6
+    search_rounds: int = 64
     rerank: int = 100
     seed: int = 5
 
+    def beam_for(self, n: int) -> int:
+        """A quarter more for each doubling of the table beyond 16,384 vectors."""
+        return int(self.beam * max(1.0, 1 + 0.25 * (math.log2(max(1, n)) - 14)))
+
     def vectors(self, table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
         """(id, vector, small, scale, key) of the rows that take part; equal vectors have equal keys."""
         x = F.col("vector")
         usable = F.col("id").isNotNull() & x.isNotNull() & ~F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists(x, lambda v: v != 0)
         rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector")).where(usable)
+        said = rows.agg(F.max(F.size(x)).alias("n"), F.min(F.size(x)).alias("least"), F.max(F.array_max(F.transform(x, F.abs))).alias("top")).first()
+        top = said.top or 1.0
+        if said.n != said.least:
+            rows = rows.withColumn("vector", F.concat(x, F.array_repeat(F.lit(0.0), F.lit(said.n) - F.size(x))))
         rows = rows.groupBy("id").agg(F.min("vector").alias("vector"))
-        size = rows.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
-        rows = rows.where(F.size("vector") == (size.n if size else 0))
 
         def shrink(batches):
-            for batch in batches:
-                if batch.num_rows:
-                    x = _lists(batch, 1).reshape(batch.num_rows, -1)
-                    scale = np.abs(x).max(axis=1) / 127
-                    small = np.rint(x / scale[:, None]).astype(np.int8)
-                    keys = [hashlib.blake2b(r.tobytes(), digest_size=24).digest() for r in x + 0.0]
-                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r.tobytes() for r in small], pa.binary()), pa.array(scale, pa.float32()), pa.array(keys, pa.binary())], ["id", "vector", "small", "scale", "key"])
+            for batch in bounded(batches, ROWS):
+                x = _lists(batch, 1).reshape(batch.num_rows, -1)
+                size = np.abs(x).max(axis=1)
+                small = np.rint(x / size[:, None] * 127).astype(np.int8)
+                keys = [hashlib.blake2b(r.tobytes(), digest_size=24).digest() for r in x + 0.0]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r.tobytes() for r in small], pa.binary()), pa.array(size / top, pa.float64()), pa.array(keys, pa.binary())], ["id", "vector", "small", "scale", "key"])
 
-        return stored(arrow_rows(rows, ROWS).mapInArrow(shrink, "id long, vector array<double>, small binary, scale float, key binary"), "vectors")
+        return stored(rows.mapInArrow(shrink, "id long, vector array<double>, small binary, scale double, key binary"), "vectors")
 
     def _first_lists(self, vectors: DataFrame, n: int, partitions: int) -> DataFrame:
         every = max(1, n // SAMPLE)
-        sample = vectors.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).orderBy(F.xxhash64("id", F.lit(1))).limit(SAMPLE).select("vector").collect()
-        sample = np.array([r.vector for r in sample]) if sample else np.array([r.vector for r in vectors.limit(SAMPLE).select("vector").collect()])
+        sample = vectors.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).orderBy(F.xxhash64("id", F.lit(1))).limit(SAMPLE).select("small", "scale").collect()
+        if not sample:
+            sample = vectors.limit(SAMPLE).select("small", "scale").collect()
+        sample = np.array([np.frombuffer(r.small, np.int8) * r.scale for r in sample])
         rng = np.random.default_rng(self.seed)
         least = max(4, len(sample) * self.leaf // max(1, n))
         trees = [grow(sample, least, rng) for _ in range(self.trees)]
+        centers = [_means(sample, tree.leaves(sample)) if len(sample) else sample for tree in trees]
+        planes = rng.normal(size=(sample.shape[1] if sample.ndim == 2 else 1, 30))
         degree, leaf = self.degree, self.leaf
 
         def plant(batches):
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                x = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int8).reshape(batch.num_rows, -1) * np.asarray(batch.column(2))[:, None]
+            for batch in bounded(batches, ROWS):
+                small, scale = _dense(batch, 1, 2)
+                x = small * scale[:, None]
                 for k, tree in enumerate(trees):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), k), pa.int32()), pa.array(tree.leaves(x), pa.int32()), *batch.columns], ["tree", "leaf", "id", "small", "scale"])
+                    own = tree.leaves(x)
+                    code = ((x - centers[k][own]) @ planes >= 0) @ (1 << np.arange(30))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), k), pa.int32()), pa.array(own, pa.int32()), pa.array(code, pa.int32()), *batch.columns], ["tree", "leaf", "code", "id", "small", "scale"])
 
-        planted = arrow_rows(vectors.select("id", "small", "scale"), ROWS).mapInArrow(plant, "tree int, leaf int, id long, small binary, scale float")
-        planted = stored(planted, "leaves")
-        blocks = planted.groupBy("tree", "leaf").agg(F.ceil(F.count(F.lit(1)) / (2 * leaf)).alias("blocks"))
+        planted = stored(vectors.select("id", "small", "scale").mapInArrow(plant, "tree int, leaf int, code int, id long, small binary, scale double"), "leaves")
         # at most SAMPLE / 4 leaves for each tree
-        dealt = planted.join(F.broadcast(blocks), ["tree", "leaf"]).withColumn("block", F.pmod(F.xxhash64("id", "tree"), "blocks").cast("int"))
-        dealt = dealt.select("tree", "leaf", "block", "id", "small", "scale").repartition(partitions, "tree", "leaf", "block").sortWithinPartitions("tree", "leaf", "block")
+        cuts = planted.groupBy("tree", "leaf").agg(F.greatest(F.ceil(F.log2(F.count(F.lit(1)) / (2 * leaf))), F.lit(0)).cast("int").alias("cuts"))
+        parted = planted.join(F.broadcast(cuts), ["tree", "leaf"]).withColumn("part", F.expr("code & (shiftleft(1, cuts) - 1)"))
+        blocks = parted.groupBy("tree", "leaf", "part").agg(F.ceil(F.count(F.lit(1)) / (2 * leaf)).alias("blocks"))
+        dealt = parted.join(blocks, ["tree", "leaf", "part"]).withColumn("block", F.pmod(F.xxhash64("id", "tree"), "blocks").cast("int"))
+        keys = ["tree", "leaf", "part", "block"]
+        dealt = dealt.select(*keys, "id", "small", "scale").repartition(partitions, *keys).sortWithinPartitions(*keys)
 
         def near(batches):
             def out(held):
-                ids = np.concatenate([h[0] for h in held])
-                x = np.concatenate([h[1] for h in held])
-                sims = x @ x.T
+                ids, x, scale = (np.concatenate(part) for part in zip(*held, strict=True))
+                sims = (x @ x.T).astype(np.float64) * scale
                 np.fill_diagonal(sims, -np.inf)
                 k = min(degree, len(ids) - 1)
                 if k < 1:
                     return None
                 top = np.argpartition(-sims, k - 1, axis=1)[:, :k]
                 own = np.repeat(np.arange(len(ids)), k)
-                return _list_batch(ids[own], ids[top.ravel()], sims[own, top.ravel()].astype(np.float32))
+                return _list_batch(ids[own], ids[top.ravel()], sims[own, top.ravel()])
 
             now, held = None, []
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                keys = np.stack([np.asarray(batch.column(k)) for k in range(3)], 1)
-                ids, x = np.asarray(batch.column(3)), _dense(batch, 4, 5)
+            for batch in bounded(batches, ROWS):
+                keys = np.stack([np.asarray(batch.column(k)) for k in range(4)], 1)
+                ids, (x, scale) = np.asarray(batch.column(4)), _dense(batch, 5, 6)
                 heads = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(axis=1)))
                 for a, b in zip(heads, np.append(heads[1:], len(keys)), strict=True):
                     if now is not None and tuple(keys[a]) != now:
@@ -226,30 +240,30 @@ class NeighbourGraph:
                             yield done
                         held = []
                     now = tuple(keys[a])
-                    held.append((ids[a:b], x[a:b]))
+                    held.append((ids[a:b], x[a:b], scale[a:b]))
             if held and (done := out(held)) is not None:
                 yield done
 
-        return _best_lists(arrow_rows(dealt, ROWS).mapInArrow(near, LISTS), degree, partitions)
+        return _best_lists(dealt.mapInArrow(near, LISTS), degree, partitions)
 
     def _neighbourhoods(self, lists: DataFrame, vectors: DataFrame, reverse: int, partitions: int) -> DataFrame:
         """(center, member, small, scale, floor) sorted by center: neighbours, and a sample of those whose neighbour it is."""
 
         def turn(batches):
-            for batch in batches:
+            for batch in bounded(batches, ROWS):
                 counts = np.diff(np.asarray(batch.column(1).offsets))
                 member = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), counts)
                 center = _lists(batch, 1)
-                luck = ((member * 2654435761 + center * 40503) % 1000003).astype(np.float32)
+                luck = ((member * 2654435761 + center * 40503) % 1000003).astype(np.float64)
                 yield _list_batch(*best(center, member, luck, reverse))
 
-        back = _best_lists(arrow_rows(lists, ROWS).mapInArrow(turn, LISTS), reverse, partitions)
+        back = _best_lists(lists.mapInArrow(turn, LISTS), reverse, partitions)
         pairs = lists.select(F.col("u").alias("center"), F.explode(F.array_append("vs", F.col("u"))).alias("member")).unionByName(
             back.select(F.col("u").alias("center"), F.explode("vs").alias("member"))
         )
-        floor = F.when(F.size("vs") >= self.degree, F.array_min("sims")).otherwise(F.lit(float("-inf")).cast("float"))
+        floor = F.when(F.size("vs") >= self.degree, F.array_min("sims")).otherwise(F.lit(float("-inf")))
         known = vectors.select("id", "small", "scale").join(lists.select(F.col("u").alias("id"), floor.alias("floor")), "id", "left")
-        joined = pairs.distinct().join(known.hint("merge"), pairs["member"] == known["id"]).select("center", "member", "small", "scale", F.coalesce("floor", F.lit(float("-inf")).cast("float")).alias("floor"))
+        joined = pairs.distinct().join(known.hint("merge"), pairs["member"] == known["id"]).select("center", "member", "small", "scale", F.coalesce("floor", F.lit(float("-inf"))).alias("floor"))
         return joined.repartition(partitions, "center").sortWithinPartitions("center", "member")
 
     def _descend(self, lists: DataFrame, vectors: DataFrame, partitions: int) -> DataFrame:
@@ -257,7 +271,7 @@ class NeighbourGraph:
 
         def join(batches):
             for group in _whole_groups(batches, 256):
-                center, member, x, floor = group
+                center, member, x, scale, floor = group
                 heads = np.flatnonzero(np.append(True, center[1:] != center[:-1]))
                 sizes = np.diff(np.append(heads, len(center)))
                 row = np.repeat(np.arange(len(heads)), sizes)
@@ -265,42 +279,48 @@ class NeighbourGraph:
                 shape = (len(heads), int(sizes.max()))
                 dense = np.zeros((*shape, x.shape[1]), np.float32)
                 dense[row, place] = x
-                ids, least = np.full(shape, -1), np.full(shape, np.inf, np.float32)
+                ids, least, size = np.full(shape, -1), np.full(shape, np.inf), np.zeros(shape)
                 real = np.zeros(shape, bool)
-                ids[row, place], least[row, place], real[row, place] = member, floor, True
-                sims = dense @ dense.transpose(0, 2, 1)
+                ids[row, place], least[row, place], size[row, place], real[row, place] = member, floor, scale, True
+                sims = (dense @ dense.transpose(0, 2, 1)).astype(np.float64) * size[:, None, :]
                 better = (sims > least[:, :, None]) & real[:, None, :]
                 better &= ~np.eye(shape[1], dtype=bool)[None]
                 g, i, j = np.nonzero(better)
                 yield _list_batch(*best(ids[g, i], ids[g, j], sims[g, i, j], degree))
 
         near = self._neighbourhoods(lists, vectors, self.reverse, partitions)
-        found = arrow_rows(near, ROWS).mapInArrow(join, LISTS)
+        found = near.mapInArrow(join, LISTS)
         return _best_lists(lists.unionByName(found), degree, partitions)
 
     def build(self, vectors: DataFrame) -> DataFrame:
         """(u, vs, sims): each vector's neighbours, best first; ``vectors`` as of ``vectors()``."""
         spark = vectors.sparkSession
         partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        lists = stored(self._first_lists(vectors, vectors.count(), partitions), "lists")
+        n = vectors.count()
+        lists = stored(self._first_lists(vectors, n, partitions), "lists")
         for _ in range(self.rounds):
-            lists = stored(self._descend(lists, vectors, partitions), "lists")
+            after = stored(self._descend(lists, vectors, partitions), "lists")
+            both = after.join(lists.select("u", F.col("vs").alias("before")), "u", "left")
+            new = both.agg(F.sum(F.size(F.array_except("vs", F.coalesce("before", F.array().cast("array<long>")))))).first()[0] or 0
+            forget(lists)
+            lists = after
             release(spark)
+            if new <= self.settled * n * self.degree:
+                break
         return lists
 
     def _graph_rows(self, lists: DataFrame, vectors: DataFrame, partitions: int) -> DataFrame:
         """(node, ids, smalls, scales): neighbours with their vectors in one row."""
 
         def pack(batches):
-            for center, member, x, _ in _whole_groups(batches, 256, dense=False):
-                small, scale = x
+            for center, member, small, scale, _ in _whole_groups(batches, 256, dense=False):
                 heads = np.flatnonzero(np.append(True, center[1:] != center[:-1]))
                 ends = np.append(heads[1:], len(center))
                 parts = [(member[a:b].tobytes(), b"".join(small[a:b]), scale[a:b].tobytes()) for a, b in zip(heads, ends, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(center[heads], pa.int64()), *(pa.array([p[k] for p in parts], pa.binary()) for k in range(3))], ["node", "ids", "smalls", "scales"])
 
         near = self._neighbourhoods(lists, vectors, self.reverse_kept, partitions)
-        return arrow_rows(near, ROWS).mapInArrow(pack, "node long, ids binary, smalls binary, scales binary")
+        return near.mapInArrow(pack, "node long, ids binary, smalls binary, scales binary")
 
     def search(self, lists: DataFrame, vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         """query_id, rank, vec_id, score: the k nearest found of each row of ``queries`` (id), itself excluded."""
@@ -308,17 +328,17 @@ class NeighbourGraph:
         partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
         graph = stored(self._graph_rows(lists, vectors, partitions), "graph").repartition(partitions, "node").persist(StorageLevel.MEMORY_AND_DISK)
         asked = stored(queries.select("id").distinct().join(vectors, "id").select(F.col("id").alias("q"), "vector", "small", "scale"), "queries")
-        beam, opened = self.beam, self.opened
-        schema = "q long, vs array<long>, sims array<float>, opened array<boolean>, next array<long>, floor float"
-        state = asked.select("q", F.array().cast("array<long>").alias("vs"), F.array().cast("array<float>").alias("sims"), F.array().cast("array<boolean>").alias("opened"), F.array("q").alias("next"), F.lit(float("-inf")).cast("float").alias("floor"))
+        beam, opened = self.beam_for(vectors.count()), self.opened
+        schema = "q long, vs array<long>, sims array<double>, opened array<boolean>, next array<long>, floor double"
+        state = stored(asked.select("q", F.array().cast("array<long>").alias("vs"), F.array().cast("array<double>").alias("sims"), F.array().cast("array<boolean>").alias("opened"), F.array("q").alias("next"), F.lit(float("-inf")).alias("floor")), "beams")
 
         def look(batches):
-            for batch in batches:
+            for batch in bounded(batches, 1024):
                 out = []
-                for q, small, scale, floor, ids, smalls, scales in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    query = np.frombuffer(small, np.int8).astype(np.float32) * np.float32(scale)
+                for q, small, floor, ids, smalls, scales in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    query = np.frombuffer(small, np.int8).astype(np.float32)
                     ids = np.frombuffer(ids, np.int64)
-                    sims = np.frombuffer(smalls, np.int8).reshape(len(ids), -1).astype(np.float32) @ query * np.frombuffer(scales, np.float32)
+                    sims = (np.frombuffer(smalls, np.int8).reshape(len(ids), -1).astype(np.float32) @ query).astype(np.float64) * np.frombuffer(scales, np.float64)
                     keep = (sims > floor) & (ids != q)
                     if keep.any():
                         out.append((q, ids[keep], sims[keep]))
@@ -329,7 +349,7 @@ class NeighbourGraph:
         def keep(batches):
             """Merges new candidates into each query's beam and chooses the nodes to open next."""
             parts = []
-            for batch in batches:
+            for batch in bounded(batches, ROWS):
                 counts = np.diff(np.asarray(batch.column(1).offsets))
                 done = np.asarray(batch.column(3).flatten()) if batch.column(3).null_count == 0 else np.zeros(counts.sum(), bool)
                 parts.append((np.repeat(batch.column(0).to_numpy(zero_copy_only=False), counts), _lists(batch, 1), _lists(batch, 2), done.astype(bool)))
@@ -352,16 +372,20 @@ class NeighbourGraph:
                 floor = float(sims[b - 1]) if b - a == beam else float("-inf")
                 for column, value in zip(out, (int(owner[a]), values[a:b], sims[a:b], flags, values[a:b][next_], floor), strict=True):
                     column.append(value)
-            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float32()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.float32()]
+            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["q", "vs", "sims", "opened", "next", "floor"])
 
-        for _ in range(self.search_rounds + 1):
-            frontier = state.select("q", "floor", F.explode("next").alias("node")).join(asked.select("q", "small", "scale"), "q")
-            seen = frontier.join(graph.hint("shuffle_hash"), "node").select("q", "small", "scale", "floor", "ids", "smalls", "scales")
-            found = arrow_rows(seen, 1024).mapInArrow(look, LISTS)
+        for _ in range(self.search_rounds):
+            frontier = state.select("q", "floor", F.explode("next").alias("node")).join(asked.select("q", "small"), "q")
+            seen = frontier.join(graph.hint("shuffle_hash"), "node").select("q", "small", "floor", "ids", "smalls", "scales")
+            found = seen.mapInArrow(look, LISTS)
             rows = state.select("q", "vs", "sims", "opened").unionByName(found.select(F.col("u").alias("q"), "vs", "sims", F.lit(None).cast("array<boolean>").alias("opened")))
             rows = rows.withColumn("opened", F.coalesce("opened", F.transform("vs", lambda _: F.lit(False))))
-            state = stored(rows.repartition(partitions, "q").mapInArrow(keep, schema), "beams")
+            after = stored(rows.repartition(partitions, "q").mapInArrow(keep, schema), "beams")
+            forget(state)
+            state = after
+            if state.where(F.size("next") > 0).isEmpty():
+                break
         graph.unpersist()
         top = state.select("q", F.explode(F.slice("vs", 1, max(self.rerank, k))).alias("vec_id"))
         ours, theirs = asked.select("q", F.col("vector").alias("a")), vectors.select(F.col("id").alias("vec_id"), F.col("vector").alias("b"))
@@ -374,13 +398,20 @@ def _product(a: str, b: str):
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def _dense(batch: pa.RecordBatch, small: int, scale: int) -> np.ndarray:
+def _dense(batch: pa.RecordBatch, small: int, scale: int) -> tuple[np.ndarray, np.ndarray]:
     raw = np.frombuffer(b"".join(batch.column(small).to_pylist()), np.int8).reshape(batch.num_rows, -1)
-    return raw.astype(np.float32) * np.asarray(batch.column(scale))[:, None]
+    return raw.astype(np.float32), np.asarray(batch.column(scale))
+
+
+def _means(rows: np.ndarray, leaves: np.ndarray) -> np.ndarray:
+    """The mean of each leaf's rows."""
+    sums = np.zeros((leaves.max() + 1, rows.shape[1]))
+    np.add.at(sums, leaves, rows)
+    return sums / np.maximum(np.bincount(leaves, minlength=len(sums)), 1)[:, None]
 
 
 def _whole_groups(batches, groups: int, dense: bool = True):
-    """(center, member, vectors, floor) arrays with all rows of at least ``groups`` centers, from rows sorted by center."""
+    """(center, member, vectors, scale, floor) arrays with all rows of at least ``groups`` centers, from rows sorted by center."""
     held = []
 
     def joined(parts):
@@ -388,13 +419,11 @@ def _whole_groups(batches, groups: int, dense: bool = True):
         center, member, scale, floor = (np.concatenate(x) for x in (center, member, scale, floor))
         small = [s for part in small for s in part]
         if not dense:
-            return center, member, (small, scale), floor
-        return center, member, np.frombuffer(b"".join(small), np.int8).reshape(len(small), -1).astype(np.float32) * scale[:, None], floor
+            return center, member, small, scale, floor
+        return center, member, np.frombuffer(b"".join(small), np.int8).reshape(len(small), -1).astype(np.float32), scale, floor
 
     seen = 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    for batch in bounded(batches, ROWS):
         center = np.asarray(batch.column(0))
         part = (center, np.asarray(batch.column(1)), batch.column(2).to_pylist(), np.asarray(batch.column(3)), np.asarray(batch.column(4)))
         heads = np.flatnonzero(np.append(not held or center[0] != held[-1][0][-1], center[1:] != center[:-1]))

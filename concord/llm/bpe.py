@@ -8,6 +8,9 @@ pre-tokens with an incompatible pair are merged exactly.
 
 Decoding looks up the bytes of all ids of a batch in one table.
 
+Texts of all scripts go this way: the tokenizers library is asked once for its classes of
+characters and for no text.
+
 Defined results: null and empty texts have no ids and decode to the empty text. Texts of any
 length are read whole. A special token's string in a text becomes that token's id, as the
 tokenizers library has it. Rows with equal ids or texts are encoded alike; an empty table
@@ -24,16 +27,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from concord.llm.encoders import BYTE_LEVEL, Library, vocabulary
-from concord.llm.shared import texts
-from concord.llm.words import WordIds, expand, split_spaced
+from concord.llm.encoders import BYTE_LEVEL, vocabulary
+from concord.llm.shared import bounded, column_values, texts
+from concord.llm.words import WordIds, expand, regex_classes, split_spaced
 
 VOCABULARY = "byte_bpe_50k.json"
 NEVER = np.int64(1) << 40
 #: Longer pre-tokens are merged with a heap.
 SHORT = 64
-#: Rows that one Arrow batch holds.
-BATCH_ROWS = 512
 
 
 def byte_letters() -> dict[str, int]:
@@ -235,14 +236,7 @@ def rules(path: str) -> MergeRules:
 @lru_cache(maxsize=2)
 def speculative(path: str) -> WordIds:
     merge = rules(path)
-    return WordIds(split_spaced, merge, Library(path), specials=tuple(merge.specials))
-
-
-def arrow_rows(df: DataFrame, rows: int = BATCH_ROWS) -> DataFrame:
-    """Bounds the rows of the Arrow batches that Python workers get: texts may be long."""
-    conf = df.sparkSession.conf
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    return df
+    return WordIds(split_spaced, merge, regex_classes(), specials=merge.specials)
 
 
 def id_lists(ids: np.ndarray, counts: np.ndarray) -> pa.Array:
@@ -250,20 +244,16 @@ def id_lists(ids: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
 
 
-def column_values(batch: pa.RecordBatch, name: str) -> list:
-    return batch.column(batch.schema.get_field_index(name)).to_pylist()
-
-
 def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids array<int> of each row of ``docs``."""
     path = path or vocabulary(VOCABULARY)
 
     def run(batches):
-        for batch in batches:
+        for batch in bounded(batches):
             ids, counts = speculative(path)(column_values(batch, "text"))
             yield pa.RecordBatch.from_arrays([batch.column(0), id_lists(ids, counts)], ["doc_id", "ids"])
 
-    return arrow_rows(texts(docs, id_col, text_col)).mapInArrow(run, "doc_id long, ids array<int>")
+    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -271,10 +261,10 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     path = path or vocabulary(VOCABULARY)
 
     def run(batches):
-        for batch in batches:
+        for batch in bounded(batches):
             lists = batch.column(1)
             counts = np.diff(np.asarray(lists.offsets))
             decoded = rules(path).decode(np.asarray(lists.flatten()), counts)
             yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
 
-    return arrow_rows(encoded.select("doc_id", "ids")).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded string")

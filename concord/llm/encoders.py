@@ -8,7 +8,7 @@ from functools import lru_cache
 
 import numpy as np
 
-from concord.llm.words import WordIds, split_plain, split_spaced
+from concord.llm.words import WordIds, regex_classes, split_plain, split_spaced
 
 #: What a tokenizer file must say for the vectorised splitters to apply (fixed values).
 BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
@@ -44,16 +44,29 @@ class Library:
         return flattened(self.tokenizer.encode_batch(texts, add_special_tokens=False))
 
 
+def prepared(path: str) -> tuple[Library, object]:
+    """The library for pre-tokens that are normalised already, and its normalizer."""
+    from tokenizers import normalizers
+
+    library = Library(path)
+    normalizer = library.tokenizer.normalizer
+    if normalizer is not None:
+        library.tokenizer.normalizer = normalizers.Sequence([])
+    return library, normalizer
+
+
 @lru_cache(maxsize=4)
 def encoder(path: str) -> WordIds | Library:
     """Of this Python worker; a file with rules unknown here is left to the library as a whole."""
-    library = Library(path)
     with open(path, encoding="utf-8") as f:
         said = json.load(f)
-    specials = tuple(t["content"] for t in said["added_tokens"])
     before, normalizer = said["pre_tokenizer"], said["normalizer"]
+    specials = {t["content"]: t["id"] for t in said["added_tokens"]}
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in said["added_tokens"]):
+        return Library(path)
     if before == BYTE_LEVEL and normalizer is None:
-        return WordIds(split_spaced, library, library, specials=specials)
+        return WordIds(split_spaced, Library(path), regex_classes(), specials=specials)
     if normalizer == WORD_NORMALIZER and before["pretokenizers"][0]["pattern"]["Regex"] == WORD_PATTERN:
-        return WordIds(split_plain, library, library, lower=True, specials=specials)
-    return library
+        library, own = prepared(path)
+        return WordIds(split_plain, library, regex_classes(), own.normalize_str, specials)
+    return Library(path)

@@ -2,9 +2,10 @@
 
 Three combining stages, each of which compares the full text:
 
-1. locally: Spark's map-side aggregation merges equal texts before anything moves;
+1. locally: Spark's map-side aggregation merges equal texts before anything moves. The salt
+   is the reading task's number, so that a task sends each text once, however often it has it;
 2. salted digest groups: the shuffle key is (digest, salt, text), so that a text that
-   fills a third of the table is merged by ``salts`` tasks and not by one;
+   all tasks have is merged by ``salts`` tasks and not by one;
 3. salt winners: the at most ``salts`` survivors of a text are merged globally.
 
 The text is a grouping key in stages 1 to 3, so equal digests alone never merge rows.
@@ -14,7 +15,7 @@ that join's large side holds no text, and adaptive execution splits a hot digest
 Defined results: a null text equals the empty text. A null ``doc_id`` is smaller than
 every other; if all of a group are null, ``keep_id`` is null and all its rows are kept.
 Rows that repeat both ``doc_id`` and text are the same row and are kept or dropped
-together. An empty table gives an empty result. Columns beyond id and text are ignored.
+together; ``drop_copies`` leaves one of them. An empty table gives an empty result. Columns beyond id and text are ignored.
 """
 
 from __future__ import annotations
@@ -42,7 +43,7 @@ def _keyed(docs: DataFrame, normalise) -> DataFrame:
 def combined(rows: DataFrame, salts: int = SALTS) -> DataFrame:
     """One row for each different text of ``rows`` (as of ``_keyed``): its digests, size and keeper."""
     keys = ["text_sha256", "check", "n_bytes"]
-    salt = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(salts)).cast("int")
+    salt = F.pmod(F.spark_partition_id(), F.lit(salts))  # a sum or maximum is the same however rows are salted
     salted = (
         rows.withColumn("salt", salt)
         .groupBy(*keys, "salt", "text")
@@ -82,8 +83,12 @@ def exact_groups(
 def drop_copies(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns (``doc_id`` and ``text``).
 
-    Rows that repeat a kept ``doc_id`` with its text stay as well.
+    Of rows that repeat an id with its text one stays; rows with null ids stay if no other row has their text.
     """
+    if not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        known = docs.withColumn("__key", F.coalesce(F.col("text"), F.lit("")))
+        single = known.where("doc_id is not null").dropDuplicates(["doc_id", "__key"])
+        docs = single.unionByName(known.where("doc_id is null")).drop("__key")
     dropped = exact_groups(docs, **options).where(~F.col("kept")).select(
         F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")
     ).distinct()

@@ -23,16 +23,21 @@ batch. Equal sets within a batch send one document's signatures.
 
 Defined results: ``n_shingles`` counts distinct shingles. Null texts and texts without words have
 none and link with nothing; texts with fewer words than a shingle have one. Equal sets are linked.
-``component_id`` of a document without links is its own id. Rows that repeat a ``doc_id`` are one
-vertex; null ids take no part (their ``component_id`` is null). Shingles are told apart by 64-bit hashes.
+``component_id`` of a document without links is its own id. Rows that repeat a ``doc_id`` have one
+result: each different text of an id is a vertex of its own, and vertices of one id are joined afterwards,
+so no order of rows matters; ``copies`` does not join them. Null ids take no part (their ``component_id`` is null).
 Columns beyond id and text are not read. An empty table gives an empty result.
+
+Signatures are made of 64-bit hashes, which can only make candidates more. Sizes and links are exact: wherever shingles
+are counted or compared, words and shingles of one hash are compared by content, and numbered by it.
 """
 
 from __future__ import annotations
 
 import math
 from bisect import bisect_right
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -40,10 +45,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from concord.llm.blobs import delta, packed, unpacked
-from concord.llm.bpe import arrow_rows, column_values
 from concord.llm.components import components
-from concord.llm.shared import stored, texts
-from concord.llm.words import RangeHash, mixed
+from concord.llm.shared import bounded, column_values, stored, texts
+from concord.llm.words import Ranges, mixed
 
 CELL_BITS = 21
 CELLS = 1 << CELL_BITS
@@ -62,48 +66,100 @@ _WHITE[[32, *range(9, 14)]] = True
 _PLACES = np.random.default_rng(11).integers(1, 1 << 62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-@dataclass
-class Shingler:
-    """Distinct shingle hashes of texts; words are runs without ASCII white space, A-Z lower-cased."""
+class Words:
+    """The words of texts: runs without ASCII white space, A-Z lower-cased; each text's shingles of ``n`` words."""
 
-    words: int
-    hash: RangeHash = field(default_factory=lambda: RangeHash(256, 7))
-
-    def _combined(self, w: np.ndarray, firsts: np.ndarray, n: int) -> np.ndarray:
-        h = np.full(len(firsts), n, np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        for k in range(n):
-            h += w[firsts + k] * _PLACES[k]
-        return mixed(h)
-
-    def _part(self, raws: list[bytes]) -> list[np.ndarray]:
-        data = _LOWER[np.frombuffer(b"\n".join(raws) + b"\n", np.uint8)]
-        white = _WHITE[data]
-        change = np.flatnonzero(np.diff(white, prepend=True))
+    def __init__(self, texts: list[str], n: int):
+        raws = [text.encode("utf-8", "surrogatepass") for text in texts]
+        data = _LOWER[np.frombuffer(b"\n".join(raws) + b"\n" * 9, np.uint8)]
+        change = np.flatnonzero(np.diff(_WHITE[data], prepend=True))
         starts, ends = change[0::2], change[1::2]
-        w = self.hash.ranges(self.hash.prefix(data), starts, ends)
-        stops = np.cumsum([len(r) + 1 for r in raws])
+        self.n, self.ranges, self._hashes = n, Ranges(data, starts, ends), None
+        stops = np.cumsum(np.fromiter(map(len, raws), np.int64, len(raws)) + 1)
         edges = np.concatenate([[0], np.searchsorted(starts, stops)])
-        n, out = self.words, []
-        full = self._combined(w, np.arange(max(0, len(w) - n + 1)), n)
-        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            if b - a >= n:
-                out.append(np.unique(full[a : b - n + 1]))
-            elif b > a:
-                out.append(self._combined(w, np.array([a]), b - a))
-            else:
-                out.append(np.zeros(0, np.uint64))
-        return out
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        out, part, size = [], [], 0
-        for k, text in enumerate(texts):
-            raw = text.encode("utf-8", "surrogatepass")
-            part.append(raw)
-            size += len(raw)
-            if size >= BATCH_CHARS or k == len(texts) - 1:
-                out += self._part(part)
-                part, size = [], 0
-        return out
+        #: First word and number of shingles of each text, and how many words they have.
+        self.firsts, words = edges[:-1], np.diff(edges)
+        self.sizes = np.minimum(words, n)
+        self.counts = np.where(words > 0, np.maximum(words - n + 1, 1), 0)
+
+    def _shingles(self, values: np.ndarray, empty) -> np.ndarray:
+        """One row of ``n`` values for each shingle, text after text; short ones end with ``empty``."""
+        of = np.repeat(np.arange(len(self.counts)), self.counts)
+        at = np.repeat(self.firsts - (np.cumsum(self.counts) - self.counts), self.counts) + np.arange(len(of))
+        place = np.arange(self.n)
+        padded = np.concatenate([values, np.full(self.n, empty, values.dtype)])
+        return np.where(place < self.sizes[of][:, None], padded[at[:, None] + place], empty)
+
+    def hashes(self) -> np.ndarray:
+        if self._hashes is None:
+            self._word_hashes = self.ranges.hashes()
+            h = self._shingles(self._word_hashes, np.uint64(0))
+            total = h[:, 0] * _PLACES[0]
+            for k in range(1, self.n):
+                total += h[:, k] * _PLACES[k]
+            self._hashes = mixed(total)
+        return self._hashes
+
+    def numbers(self) -> tuple[np.ndarray, bool]:
+        """One number for each different shingle of all the texts; whether hashes alone would not tell some apart."""
+        h = self.hashes()
+        rows = self._shingles(self.ranges.numbers(self._word_hashes).astype(np.int32), np.int32(-1))
+        order = np.argsort(h, kind="stable")
+        sorted_, rows = h[order], rows[order]
+        head = np.diff(sorted_, prepend=~sorted_[:1]) != 0
+        number = np.empty(len(h), np.int64)
+        number[order] = np.cumsum(head) - 1
+        differ = ~head
+        differ[1:] &= (rows[1:] != rows[:-1]).any(axis=1)
+        if not differ.any():
+            return number, False
+        seen: dict[tuple, int] = {}
+        for k, row in zip(order.tolist(), map(tuple, rows.tolist()), strict=True):
+            number[k] = seen.setdefault(row, len(seen))
+        return number, True
+
+    def sets(self, shingles: np.ndarray) -> list[np.ndarray]:
+        """The sorted different values of each text."""
+        return [np.unique(x) for x in np.split(shingles, np.cumsum(self.counts)[:-1])] if len(self.counts) else []
+
+
+def hashed_sets(texts: list[str], n: int) -> list[np.ndarray]:
+    """The different shingle hashes of each text."""
+    out = []
+    for part in _parts(texts):
+        words = Words(part, n)
+        out += words.sets(words.hashes())
+    return out
+
+
+def exact_sets(texts: list[str], n: int) -> list[np.ndarray]:
+    """The shingles of each text, as numbers that are equal in all these texts if and only if the shingles are."""
+    words = Words(texts, n)
+    return words.sets(words.numbers()[0])
+
+
+def sized_sets(texts: list[str], n: int) -> tuple[list[np.ndarray], list[int]]:
+    """``hashed_sets``, and the exact number of different shingles of each text."""
+    sets, sizes = [], []
+    for part in _parts(texts):
+        words = Words(part, n)
+        number, hidden = words.numbers()
+        own = words.sets(words.hashes())
+        sets += own
+        sizes += map(len, words.sets(number) if hidden else own)
+    return sets, sizes
+
+
+def _parts(texts: list[str]):
+    part, size = [], 0
+    for text in texts:
+        part.append(text)
+        size += len(text)
+        if size >= BATCH_CHARS:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
 
 
 @dataclass
@@ -141,14 +197,14 @@ class Signatures:
             self._plans[c] = differ + 1 + spare, spare
         return self._plans[c]
 
-    def __call__(self, sets: list[np.ndarray], frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Signatures of non-empty sets, and the index of the set that each is of."""
+    def __call__(self, sets: list[np.ndarray], frequent: np.ndarray, exact: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Signatures of non-empty sets, and the index of the set that each is of. ``exact``: sizes, if hashes hide some."""
         sizes = np.fromiter(map(len, sets), np.int64, len(sets))
         if not len(sets):
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)
         tokens, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
         rare = ~frequent[(tokens >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
-        own = np.array([self.size_class(n) for n in sizes.tolist()])
+        own = np.array([self.size_class(n) for n in exact or sizes.tolist()])
         found, found_of = [], []
         for step in (0, 1):
             classes = own + step
@@ -224,9 +280,11 @@ class TokenGroups:
     def __init__(self, sets: list[np.ndarray], num: int, den: int):
         self.sets, self.num, self.den = sets, num, den
         order = sorted((k for k in range(len(sets)) if len(sets[k])), key=lambda k: (int(sets[k][0]), len(sets[k]), k))
-        self.groups = [order[at : at + ROW_DOCS] for at in range(0, len(order), ROW_DOCS)]
-        self.unions = [np.unique(np.concatenate([sets[k] for k in g])) if len(g) > 1 else sets[g[0]] for g in self.groups]
-        self.sizes = [(min(len(sets[k]) for k in g), max(len(sets[k]) for k in g)) for g in self.groups]
+        self.order = np.array(order, np.int64)
+        self.groups = [self.order[at : at + ROW_DOCS] for at in range(0, len(order), ROW_DOCS)]
+        self.unions = [np.unique(np.concatenate([sets[k] for k in g])) for g in self.groups]
+        sizes = [[len(sets[k]) for k in g] for g in self.groups]
+        self.least, self.most = np.array([min(x) for x in sizes], np.int64), np.array([max(x) for x in sizes], np.int64)
 
     def similar(self, a: np.ndarray, b: np.ndarray) -> bool:
         small, large = sorted((len(a), len(b)))
@@ -235,39 +293,47 @@ class TokenGroups:
         both = shared_count(a, b) if len(a) <= len(b) else shared_count(b, a)
         return self.den * both >= self.num * (len(a) + len(b) - both)
 
-    def link(self, query: np.ndarray, known, linked) -> None:
-        """Compares a query's set with the members that are not ``known`` to be connected with it; calls ``linked(member)``."""
-        n = len(query)
-        for members, union, (least, most) in zip(self.groups, self.unions, self.sizes, strict=True):
-            if self.den * most < self.num * n or self.num * least > self.den * n:
+    def link(self, query: np.ndarray, open_: Callable[[], np.ndarray], linked: Callable[[int], None]) -> None:
+        """Compares a query's set with the members for which ``open_()`` (by member) holds; calls ``linked(member)``."""
+        n, held = len(query), open_()
+        if not len(self.order):
+            return
+        some = np.logical_or.reduceat(held[self.order], np.arange(0, len(self.order), ROW_DOCS))
+        some &= (self.den * self.most >= self.num * n) & (self.num * self.least <= self.den * n)
+        for g in np.flatnonzero(some).tolist():
+            members = self.groups[g]
+            if len(members) > 1 and self.den * shared_count(query, self.unions[g]) < self.num * n:
                 continue
-            left = [k for k in members if not known(k)]
-            if not left:
-                continue
-            if len(members) > 1 and self.den * shared_count(query, union) < self.num * n:
-                continue
-            for k in left:
-                if not known(k) and self.similar(query, self.sets[k]):
+            for k in members.tolist():
+                if held[k] and self.similar(query, self.sets[k]):
                     linked(k)
+                    held = open_()
+
 
+class Labels:
+    """Components of a bounded number of items, as an array of their least members."""
 
-def connect(sets: list[np.ndarray], num: int, den: int) -> Forest:
-    """Components of the links among all sets."""
-    forest, first = Forest(len(sets)), {}
+    def __init__(self, n: int):
+        self.of = np.arange(n)
+
+    def union(self, a: int, b: int) -> None:
+        x, y = self.of[a], self.of[b]
+        if x != y:
+            self.of[self.of == max(x, y)] = min(x, y)
+
+
+def connect(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
+    """The least member of each set's component, by the links among all sets."""
+    labels, first = Labels(len(sets)), {}
+    copy_of = np.arange(len(sets))
     for k, own in enumerate(sets):
         if len(own):
-            other = first.setdefault(own.tobytes(), k)
-            if other != k:
-                forest.union(other, k)
-    alone = sorted(first.values())
-    groups = TokenGroups([sets[k] for k in alone], num, den)
-    for k in alone:
-        groups.link(
-            sets[k],
-            lambda m, k=k: alone[m] <= k or forest.root(alone[m]) == forest.root(k),
-            lambda m, k=k: forest.union(alone[m], k),
-        )
-    return forest
+            copy_of[k] = first.setdefault(own.tobytes(), k)
+    alone = np.array(sorted(first.values()), np.int64)
+    groups = TokenGroups([sets[k] for k in alone.tolist()], num, den)
+    for place, k in enumerate(alone.tolist()):
+        groups.link(sets[k], lambda place=place, k=k: (np.arange(len(alone)) > place) & (labels.of[alone] != labels.of[k]), lambda m, k=k: labels.union(int(alone[m]), k))
+    return labels.of[copy_of]
 
 
 @dataclass(frozen=True)
@@ -276,34 +342,35 @@ class ShingleJoin:
     num: int
     den: int
 
-    def _frequent(self, rows: DataFrame) -> tuple[np.ndarray, DataFrame]:
-        """One bit for each counter: whether its shingles are frequent; and (doc_id, n_shingles)."""
+    def _frequent(self, rows: DataFrame) -> tuple[np.ndarray, DataFrame, bool]:
+        """One bit for each counter: whether its shingles are frequent; (doc_id, n_shingles); whether two shingles of a text have one hash."""
         words, slices = self.words, 16
+        shift = np.uint64(64 - CELL_BITS)
 
         def count(batches):
-            shingler, cells = Shingler(words), np.zeros(CELLS, np.uint32)
-            for batch in batches:
-                sets = shingler(column_values(batch, "text"))
-                sizes = pa.array([len(s) for s in sets], pa.int64())
-                for s in sets:
-                    cells += np.bincount((s >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=CELLS).astype(np.uint32) if len(s) > CELLS // 8 else 0
-                small = [s for s in sets if 0 < len(s) <= CELLS // 8]
-                if small:
-                    cells += np.bincount((np.concatenate(small) >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=CELLS).astype(np.uint32)
+            cells = np.zeros(CELLS, np.uint32)
+            for batch in bounded(batches):
+                texts = column_values(batch, "text")
+                sets, exact = sized_sets(texts, words)
+                for part in _by_size(sets):
+                    cells += np.bincount((part >> shift).astype(np.int64), minlength=CELLS).astype(np.uint32)
                 none = pa.nulls(len(sets))
-                yield pa.RecordBatch.from_arrays([batch.column(0), sizes, none.cast(pa.int32()), none.cast(pa.binary())], ["doc_id", "n_shingles", "slice", "cells"])
+                hidden = pa.array([n - len(s) for n, s in zip(exact, sets, strict=True)], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(exact, pa.int64()), hidden, none.cast(pa.int32()), none.cast(pa.binary())], ["doc_id", "n_shingles", "hidden", "slice", "cells"])
             for k, part in enumerate(np.split(cells, slices)):
                 if part.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([k], pa.int32()), pa.array([packed(part)], pa.binary())], ["doc_id", "n_shingles", "slice", "cells"])
+                    none = pa.array([None], pa.int64())
+                    yield pa.RecordBatch.from_arrays([none, none, none, pa.array([k], pa.int32()), pa.array([packed(part)], pa.binary())], ["doc_id", "n_shingles", "hidden", "slice", "cells"])
 
-        counted = stored(arrow_rows(rows).mapInArrow(count, "doc_id long, n_shingles long, slice int, cells binary"), "shingle-counts")
+        counted = stored(rows.mapInArrow(count, "doc_id long, n_shingles long, hidden long, slice int, cells binary"), "shingle-counts")
         info = counted.where("slice is null").select("doc_id", "n_shingles")
-        mean = (info.agg(F.sum("n_shingles")).first()[0] or 0) / CELLS
+        said = counted.where("slice is null").agg(F.sum("n_shingles").alias("n"), F.sum("hidden").alias("hidden")).first()
+        mean = (said.n or 0) / CELLS
         least = int(mean + FREQUENT_TIMES * math.sqrt(mean) + FREQUENT_LEAST)
 
         def add(batches):
             sums: dict[int, np.ndarray] = {}
-            for batch in batches:
+            for batch in bounded(batches, 16):
                 for k, blob in zip(column_values(batch, "slice"), column_values(batch, "cells"), strict=True):
                     part = unpacked(blob, ("<u4", 0))[0]
                     sums[k] = sums[k] + part if k in sums else part.astype(np.uint64)
@@ -312,105 +379,120 @@ class ShingleJoin:
 
         cells = counted.where("slice is not null").select("slice", "cells").repartition(slices, "slice")
         frequent = np.zeros(CELLS, bool)
-        for row in arrow_rows(cells, 16).mapInArrow(add, "slice int, bits binary").collect():  # CELLS / 8 bytes
+        for row in cells.mapInArrow(add, "slice int, bits binary").collect():  # CELLS / 8 bytes
             at = row.slice * (CELLS // slices)
             frequent[at : at + CELLS // slices] = np.unpackbits(np.frombuffer(row.bits, np.uint8)).astype(bool)
-        return frequent, info
+        return frequent, info, bool(said.hidden)
 
-    def _candidates(self, rows: DataFrame, frequent: np.ndarray) -> DataFrame:
-        """(a, b): edges that connect the documents that share a signature."""
+    def _candidates(self, rows: DataFrame, frequent: np.ndarray, hidden: bool) -> DataFrame:
+        """(a, b): edges that connect the documents that share a signature.
+
+        A batch sends each signature once, with its least document, and a forest of its own documents; a bucket's signatures are
+        merged one bucket at a time.
+        """
         spark = rows.sparkSession
         partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
         buckets, words, num, den = 4 * partitions, self.words, self.num, self.den
         bits = spark.sparkContext.broadcast(np.packbits(frequent).tobytes())
+        schema = "bucket int, kind int, blob binary"
+
+        def sent(at: list[int], kind: int, blobs: list[bytes]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([kind] * len(at), pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "kind", "blob"])
+
+        def dealt(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+            """Edges by the bucket of their first document."""
+            bucket = (mixed(a.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            at = [k for k in range(buckets) if edges[k + 1] > edges[k]]
+            return sent(at, 1, [packed(a[own], b[own]) for own in (order[edges[k] : edges[k + 1]] for k in at)])
 
         def out(pending):
             docs = np.concatenate([p[0] for p in pending])
             first, links, keep = {}, [], []
-            sets = [s for p in pending for s in p[1]]
+            sets, exact = [s for p in pending for s in p[1]], [n for p in pending for n in p[2]]
             for k, s in enumerate(sets):
                 if len(s):
-                    other = first.setdefault(s.tobytes(), k)
+                    other = first.setdefault((s.tobytes(), exact[k]), k)
                     if other == k:
                         keep.append(k)
                     else:
-                        links.append((other, k))
+                        links.append((k, other))
             frequent = np.unpackbits(np.frombuffer(bits.value, np.uint8)).astype(bool)
-            keys, of = Signatures(num, den)([sets[k] for k in keep], frequent)
+            keys, of = Signatures(num, den)([sets[k] for k in keep], frequent, [exact[k] for k in keep])
             owner = np.array(keep, np.int64)[of] if keep else of
-            if links:  # equal sets of this batch: a signature of their own
-                pairs = np.array(links, np.int64)
-                own = mixed(docs[pairs[:, 0]].astype(np.uint64) ^ np.uint64(0x2545F4914F6CDD1D))
-                keys, owner = np.concatenate([keys, own, own]), np.concatenate([owner, pairs[:, 0], pairs[:, 1]])
             keys >>= np.uint64(64 - KEY_BITS)
-            order = np.argsort(keys)
-            keys, owner = keys[order], docs[owner[order]]
+            order = np.lexsort((docs[owner], keys))
+            keys, owner = keys[order], owner[order]
+            head = np.diff(keys, prepend=~keys[:1]) != 0
+            same = owner[np.maximum.accumulate(np.where(head, np.arange(len(keys)), 0))] if len(keys) else owner
+            pairs = np.concatenate([np.stack([owner, same], 1)[~head], np.array(links, np.int64).reshape(-1, 2)])
+            if len(pairs):
+                yield dealt(*_forest(docs[pairs[:, 0]], docs[pairs[:, 1]]))
+            keys, owner = keys[head], docs[owner[head]]
             bucket = ((keys >> np.uint64(KEY_BITS - 24)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
             edges = np.searchsorted(bucket, np.arange(buckets + 1))
             at = [k for k in range(buckets) if edges[k + 1] > edges[k]]
-            blobs = [packed(delta(keys[edges[k] : edges[k + 1]]), owner[edges[k] : edges[k + 1]]) for k in at]
-            return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+            yield sent(at, 0, [packed(delta(keys[edges[k] : edges[k + 1]]), owner[edges[k] : edges[k + 1]]) for k in at])
 
         def file(batches):
-            shingler, pending, size = Shingler(words), [], 0
-            for batch in batches:
-                sets = shingler(column_values(batch, "text"))
+            pending, size = [], 0
+            for batch in bounded(batches):
+                texts = column_values(batch, "text")
+                sets = hashed_sets(texts, words)
+                sizes = sized_sets(texts, words)[1] if hidden else list(map(len, sets))
                 docs = np.asarray(batch.column(0).to_numpy(zero_copy_only=False), np.int64)
-                pending.append((docs, sets))
+                pending.append((docs, sets, sizes))
                 size += sum(map(len, sets))
                 if size >= 1 << 21:
-                    yield out(pending)
+                    yield from out(pending)
                     pending, size = [], 0
             if pending:
-                yield out(pending)
+                yield from out(pending)
+
+        def by_bucket(batches):
+            """(kind, blobs) of each bucket, from rows sorted by bucket and kind."""
+            now, held = None, []
+            for batch in bounded(batches):
+                for bucket, kind, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if (bucket, kind) != now and held:
+                        yield now[1], held
+                        held = []
+                    now = bucket, kind
+                    held.append(blob)
+            if held:
+                yield now[1], held
 
         def gather(batches):
-            keys, docs = [], []
-            for batch in batches:
-                for blob in column_values(batch, "blob"):
-                    k, d = unpacked(blob, ("<u8", 0), ("<i8", 0))
-                    keys.append(np.cumsum(k, dtype=np.uint64))
-                    docs.append(d)
-            if not keys:
-                return
-            keys, docs = np.concatenate(keys), np.concatenate(docs)
-            order = np.argsort(keys)
-            keys, docs = keys[order], docs[order]
-            heads = np.flatnonzero(np.diff(keys, prepend=~keys[:1]))
-            sizes = np.diff(np.append(heads, len(keys)))
-            least = np.repeat(np.minimum.reduceat(docs, heads), sizes)
-            pairs = np.unique(np.stack([docs, least], 1)[least != docs], axis=0)
-            if not len(pairs):
-                return
-            names, at = np.unique(pairs, return_inverse=True)
-            forest, at = Forest(len(names)), at.reshape(pairs.shape)
-            for a, b in at.tolist():
-                forest.union(a, b)
-            roots = np.array([forest.root(k) for k in range(len(names))])
-            linked = np.flatnonzero(roots != np.arange(len(names)))
-            a, b = names[linked], names[roots[linked]]
-            bucket = (mixed(a.astype(np.uint64)) % np.uint64(partitions)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            edges = np.searchsorted(bucket[order], np.arange(partitions + 1))
-            at = [k for k in range(partitions) if edges[k + 1] > edges[k]]
-            blobs = [packed(a[own], b[own]) for own in (order[edges[k] : edges[k + 1]] for k in at)]
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+            for kind, blobs in by_bucket(batches):
+                if kind:
+                    yield sent([0] * len(blobs), 1, blobs).set_column(0, "bucket", pa.array([_bucket_of(b, buckets) for b in blobs], pa.int32()))
+                    continue
+                found = [unpacked(blob, ("<u8", 0), ("<i8", 0)) for blob in blobs]
+                keys, docs = np.concatenate([np.cumsum(k, dtype=np.uint64) for k, _ in found]), np.concatenate([d for _, d in found])
+                order = np.lexsort((docs, keys))
+                keys, docs = keys[order], docs[order]
+                head = np.diff(keys, prepend=~keys[:1]) != 0
+                least = docs[np.maximum.accumulate(np.where(head, np.arange(len(keys)), 0))]
+                other = least != docs
+                if other.any():
+                    yield dealt(*_forest(docs[other], least[other]))
 
         def merge(batches):
             """All roots of a document meet: it keeps the least, and so do the others."""
-            parts = [unpacked(blob, ("<i8", 0), ("<i8", 0)) for batch in batches for blob in column_values(batch, "blob")]
-            if not parts:
-                return
-            pairs = np.unique(np.concatenate([np.stack(p, 1) for p in parts]), axis=0)
-            head = np.append(True, pairs[1:, 0] != pairs[:-1, 0])
-            least = pairs[np.maximum.accumulate(np.where(head, np.arange(len(pairs)), 0)), 1]
-            more = np.unique(np.stack([pairs[:, 1], least], 1)[~head], axis=0)
-            out = np.concatenate([pairs[head], more])
-            yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["a", "b"])
-
-        filed = arrow_rows(rows).mapInArrow(file, "bucket int, blob binary").repartition(partitions, "bucket")
-        forests = arrow_rows(filed).mapInArrow(gather, "bucket int, blob binary").repartition(partitions, "bucket")
-        return arrow_rows(forests).mapInArrow(merge, "a long, b long").distinct()
+            for _, blobs in by_bucket(batches):
+                pairs = np.unique(np.concatenate([np.stack(unpacked(blob, ("<i8", 0), ("<i8", 0)), 1) for blob in blobs]), axis=0)
+                head = np.append(True, pairs[1:, 0] != pairs[:-1, 0])
+                least = pairs[np.maximum.accumulate(np.where(head, np.arange(len(pairs)), 0)), 1]
+                more = np.unique(np.stack([pairs[:, 1], least], 1)[~head], axis=0)
+                out = np.concatenate([pairs[head], more])
+                yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["a", "b"])
+
+        def shuffled(rows: DataFrame) -> DataFrame:
+            return rows.repartition(partitions, "bucket").sortWithinPartitions("bucket", "kind")
+
+        filed = shuffled(rows.mapInArrow(file, schema))
+        return shuffled(filed.mapInArrow(gather, schema)).mapInArrow(merge, "a long, b long").distinct()
 
     def _grouped(self, rows: DataFrame, handle, schema: str) -> DataFrame:
         """Calls ``handle`` with the rows, as lists, of each (comp, part); a group is all that is held."""
@@ -418,7 +500,7 @@ class ShingleJoin:
 
         def run(batches):
             now, held = None, []
-            for batch in batches:
+            for batch in bounded(batches, 256):
                 columns = [c.to_pylist() for c in batch.columns]
                 for row in zip(*columns, strict=True):
                     if row[:2] != now:
@@ -429,31 +511,28 @@ class ShingleJoin:
             if held:
                 yield handle(dict(zip(names, map(list, zip(*held, strict=True)), strict=True)))
 
-        ordered = rows.repartition("comp", "part").sortWithinPartitions("comp", "part", "doc_id")
-        return arrow_rows(ordered, 256).mapInArrow(run, schema)
+        return rows.repartition("comp", "part").sortWithinPartitions("comp", "part", "doc_id").mapInArrow(run, schema)
 
     def _verified(self, rows: DataFrame, groups: DataFrame, info: DataFrame) -> DataFrame:
-        """(doc_id, component_id) of all members of candidate groups. ``groups``: (a, b) as of ``components``."""
+        """(doc_id, component_id) of all members of candidate groups. ``groups``: (a, b) as of ``components``; ids are unique."""
         words, num, den = self.words, self.num, self.den
         members = groups.select(F.col("a").alias("doc_id"), F.col("b").alias("comp"))
         members = members.unionByName(members.select(F.col("comp").alias("doc_id"), "comp").distinct())
-        sizes = members.join(info.groupBy("doc_id").agg(F.max("n_shingles").alias("n")), "doc_id").groupBy("comp").agg(
-            F.greatest(F.ceil(F.count(F.lit(1)) / GROUP_DOCS), F.ceil(F.sum("n") / GROUP_SHINGLES)).cast("int").alias("parts")
+        sizes = members.join(info, "doc_id").groupBy("comp").agg(
+            F.greatest(F.ceil(F.count(F.lit(1)) / GROUP_DOCS), F.ceil(F.sum("n_shingles") / GROUP_SHINGLES)).cast("int").alias("parts")
         )
-        members = stored(members.join(sizes, "comp").select("doc_id", "comp", "parts"), "groups")
-        spark = rows.sparkSession
+        members = _salted_join(members, sizes.where("parts > 1"), "comp").select("doc_id", "comp", F.coalesce("parts", F.lit(1)).alias("parts"))
+        members = stored(members, "groups")
         own_part = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")
-        body = rows.groupBy("doc_id").agg(F.first("text").alias("text")) if _repeated(info) else rows
-        found = body.join(members.hint("merge"), "doc_id")  # one plan at every size
+        found = rows.join(members.hint("merge"), "doc_id")  # one plan at every size
 
         def join_group(group: dict) -> pa.RecordBatch:
-            forest = connect(Shingler(words)(group["text"]), num, den)
-            ids = group["doc_id"]
+            ids, roots = group["doc_id"], connect(exact_sets(group["text"], words), num, den)
             least: dict[int, int] = {}
-            for k, i in enumerate(ids):
-                r = forest.root(k)
+            for i, r in zip(ids, roots.tolist(), strict=True):
                 least[r] = min(i, least.get(r, i))
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([least[forest.root(k)] for k in range(len(ids))], pa.int64()), pa.array(group["parts"], pa.int32()), pa.array(group["comp"], pa.int64()), pa.array(group["text"] if group["parts"][0] > 1 else [None] * len(ids), pa.string())], ["doc_id", "root", "parts", "comp", "text"])
+            split = group["parts"][0] > 1
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([least[r] for r in roots.tolist()], pa.int64()), pa.array(group["parts"], pa.int32()), pa.array(group["comp"], pa.int64()), pa.array(group["text"] if split else [None] * len(ids), pa.string())], ["doc_id", "root", "parts", "comp", "text"])
 
         where = F.when(F.col("doc_id") == F.col("comp"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(own_part))
         split = found.select("comp", F.explode(where).alias("part"), "doc_id", "text", "parts")
@@ -471,44 +550,111 @@ class ShingleJoin:
         counts = labelled.groupBy("comp", "label").count()
         largest = counts.groupBy("comp").agg(F.max_by("label", F.struct("count", "label")).alias("top"))
         own_text = large.where((F.col("doc_id") != F.col("comp"))).select("doc_id", "text").unionByName(large.where("doc_id = comp").groupBy("doc_id").agg(F.first("text").alias("text")))
-        sides = labelled.join(largest, "comp").join(own_text, "doc_id")
+        sides = _salted_join(labelled, largest, "comp").join(own_text, "doc_id")
         query = F.when(F.col("label") != F.col("top"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array().cast("array<int>"))
         both = sides.select("comp", own_part.alias("part"), "doc_id", "text", "label", F.lit(0).alias("asks")).unionByName(
             sides.select("comp", F.explode(query).alias("part"), "doc_id", "text", "label", F.lit(1).alias("asks"))
         )
 
         def ask_group(group: dict) -> pa.RecordBatch:
-            sets, labels = Shingler(words)(group["text"]), group["label"]
-            names = sorted(set(labels))
-            at = {x: k for k, x in enumerate(names)}
-            forest = Forest(len(names))
-            held = [k for k, a in enumerate(group["asks"]) if not a]
-            groups = TokenGroups([sets[k] for k in held], num, den)
+            sets = exact_sets(group["text"], words)
+            names, of = np.unique(np.array(group["label"], np.int64), return_inverse=True)
+            labels = Labels(len(names))
+            held = np.flatnonzero(np.array(group["asks"]) == 0)
+            groups = TokenGroups([sets[k] for k in held.tolist()], num, den)
             for q, asks in enumerate(group["asks"]):
                 if asks and len(sets[q]):
-                    own = at[labels[q]]
-                    groups.link(
-                        sets[q],
-                        lambda m, own=own: forest.root(at[labels[held[m]]]) == forest.root(own),
-                        lambda m, own=own: forest.union(at[labels[held[m]]], own),
-                    )
-            linked = [(names[k], names[forest.root(k)]) for k in range(len(names)) if forest.root(k) != k]
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in linked], pa.int64()), pa.array([x[1] for x in linked], pa.int64())], ["a", "b"])
+                    groups.link(sets[q], lambda q=q: labels.of[of[held]] != labels.of[of[q]], lambda m, q=q: labels.union(int(of[held[m]]), int(of[q])))
+            linked = np.flatnonzero(labels.of != np.arange(len(names)))
+            return pa.RecordBatch.from_arrays([pa.array(names[linked], pa.int64()), pa.array(names[labels.of[linked]], pa.int64())], ["a", "b"])
 
         more = components(self._grouped(both, ask_group, "a long, b long"))
         rest = labelled.join(more.withColumnRenamed("a", "label"), "label", "left").select("doc_id", F.coalesce("b", "label").alias("component_id"))
         return done.unionByName(rest)
 
+    def _linked(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(doc_id, component_id) of the rows whose component is another's, and (doc_id, n_shingles); ids are unique and not null."""
+        frequent, info, hidden = self._frequent(rows)
+        groups = components(self._candidates(rows, frequent, hidden))
+        return self._verified(rows, groups, info).where("doc_id <> component_id"), info
+
     def components(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """doc_id, n_shingles, component_id of each row of ``docs``."""
         rows = texts(docs, id_col, text_col)
-        frequent, info = self._frequent(rows)
         named = rows.where("doc_id is not null")
-        groups = components(self._candidates(named, frequent))
-        linked = self._verified(named, groups, info.where("doc_id is not null")).where("doc_id <> component_id")
+        if not _repeated(named):
+            linked, info = self._linked(named)
+            info = info.unionByName(self._frequent(rows.where("doc_id is null"))[1]) if _any_null(rows) else info
+        else:
+            vertices = _vertices(named)
+            linked, _ = self._linked(vertices.select(F.col("vertex").alias("doc_id"), "text"))
+            roots = linked.join(vertices.select(F.col("vertex").alias("component_id"), F.col("doc_id").alias("b")), "component_id")
+            edges = vertices.select(F.col("vertex").alias("v"), F.col("doc_id").alias("a")).join(roots.select(F.col("doc_id").alias("v"), "b"), "v").select("a", "b")
+            linked = components(edges).select(F.col("a").alias("doc_id"), F.col("b").alias("component_id"))
+            info = self._frequent(rows)[1]
         return info.join(linked, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
+    def without_copies(self, docs: DataFrame) -> DataFrame:
+        """The rows of ``docs`` (``doc_id``, ``text`` and more) without those linked with one of smaller id.
+
+        Where an id has several texts, each is judged by itself, in the order of ids and then of texts.
+        """
+        rows = texts(docs)
+        named = rows.where("doc_id is not null")
+        if not _repeated(named):
+            dropped = self._linked(named)[0].select(F.col("doc_id").alias("__dropped"))
+            return docs.join(dropped, docs["doc_id"] == dropped["__dropped"], "left_anti")
+        vertices = _vertices(named)
+        linked = self._linked(vertices.select(F.col("vertex").alias("doc_id"), "text"))[0].select(F.col("doc_id").alias("vertex"))
+        dropped = vertices.join(linked, "vertex", "left_semi").select(F.col("doc_id").alias("__dropped"), F.col("text").alias("__text"))
+        same = (docs["doc_id"] == dropped["__dropped"]) & (F.coalesce(docs["text"], F.lit("")) == dropped["__text"])
+        return docs.join(dropped, same, "left_anti")
+
+
+def _by_size(sets: list[np.ndarray]):
+    """The non-empty sets, small ones together."""
+    small = [s for s in sets if 0 < len(s) <= CELLS // 8]
+    if small:
+        yield np.concatenate(small)
+    yield from (s for s in sets if len(s) > CELLS // 8)
+
+
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each document of the edges but the least of its component, and that."""
+    names, at = np.unique(np.stack([a, b], 1), return_inverse=True)
+    forest = Forest(len(names))
+    for x, y in at.reshape(-1, 2).tolist():
+        forest.union(x, y)
+    roots = np.array([forest.root(k) for k in range(len(names))], np.int64)
+    linked = np.flatnonzero(roots != np.arange(len(names)))
+    return names[linked], names[roots[linked]]
+
 
-def _repeated(info: DataFrame) -> bool:
+def _bucket_of(blob: bytes, buckets: int) -> int:
+    return int(mixed(unpacked(blob, ("<i8", 0), ("<i8", 0))[0][:1].astype(np.uint64))[0] % np.uint64(buckets))
+
+
+#: Tasks that share one key of a large side.
+SALTS = 64
+
+
+def _salted_join(rows: DataFrame, few: DataFrame, key: str) -> DataFrame:
+    """``rows`` left-joined with ``few``, which has a row for each of its keys: that is repeated for each salt."""
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
+    repeated = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", salt).join(repeated, [key, "salt"], "left").drop("salt")
+
+
+def _repeated(named: DataFrame) -> bool:
     """Whether a doc_id occurs twice."""
-    return not info.groupBy("doc_id").count().where("count > 1").isEmpty()
+    return not named.groupBy("doc_id").count().where("count > 1").isEmpty()
+
+
+def _any_null(rows: DataFrame) -> bool:
+    return not rows.where("doc_id is null").isEmpty()
+
+
+def _vertices(named: DataFrame) -> DataFrame:
+    """(vertex, doc_id, text) of each different row, numbered in the order of ids and then of texts."""
+    ordered = named.distinct().repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    return stored(ordered.select(F.monotonically_increasing_id().alias("vertex"), "doc_id", "text"), "vertices")

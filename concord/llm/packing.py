@@ -4,11 +4,12 @@ Within a block of documents:
 
 * routing: every full ``window`` of a document is a sequence of its own; what is left goes to
   the shortest context-size tier that holds it;
-* packing: from the longest tier to the shortest, each left-over opens a window of its tier,
-  and the window's gap is filled from shorter left-overs, the longest that fits first; if none
-  fits, one is cut and its rest is routed anew;
-* the last window of a block, for which no filler is left, is cut at powers of two, which need
-  no padding;
+* packing: tiers are packed one by one, the longest first. Each left-over of a tier opens a
+  window of the tier's size, and the window's gap is filled from shorter left-overs, the longest
+  that fits first; if none fits, one is cut and its rest is routed anew. What the longer tiers
+  have not used up fills windows of the shortest tier;
+* a block's last window, for which no filler is left, is cut at powers of two, which need
+  no padding: these are the only sequences of other sizes than the tiers'.
 * balancing: the block's sequences are dealt to step groups in turn and back, most costly
   first, so that groups have near-equal token counts and attention costs.
 
@@ -30,9 +31,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from concord.llm.bpe import arrow_rows, column_values
 from concord.llm.encoders import encoder, vocabulary
-from concord.llm.shared import texts
+from concord.llm.shared import bounded, column_values, texts
 
 VOCABULARY = "byte_bpe_50k.json"
 WINDOW = 2048
@@ -55,25 +55,22 @@ def pack_block(lengths: list[int], tiers: tuple[int, ...] = TIERS) -> list[list[
         if n % window:
             rests.append((n % window, k, n - n % window))
     rests.sort()
-    while rests:
-        length, k, start = rests.pop()
-        tier = next(t for t in tiers if t >= length) if length > tiers[0] else window
-        sequence, room = [(k, start, length)], tier - length
-        while room and rests:
-            fit = bisect_right(rests, (room, len(lengths), 0)) - 1
-            if fit >= 0:
-                length, k, start = rests.pop(fit)
-                sequence.append((k, start, length))
-                room -= length
-            else:  # every rest is longer than the room
-                length, k, start = rests.pop(0)
-                sequence.append((k, start, room))
-                insort(rests, (length - room, k, start + room))
-                room = 0
-        if room:
-            sequences += cut(sequence, powers(tier - room))
-        else:
-            sequences.append(sequence)
+    for below, tier in reversed(list(zip((0, *tiers), tiers, strict=False))):
+        while rests and rests[-1][0] > below:
+            length, k, start = rests.pop()
+            sequence, room = [(k, start, length)], tier - length
+            while room and rests:
+                fit = bisect_right(rests, (room, len(lengths), 0)) - 1
+                if fit >= 0:
+                    length, k, start = rests.pop(fit)
+                    sequence.append((k, start, length))
+                    room -= length
+                else:  # every rest is longer than the room
+                    length, k, start = rests.pop(0)
+                    sequence.append((k, start, room))
+                    insort(rests, (length - room, k, start + room))
+                    room = 0
+            sequences += cut(sequence, powers(tier - room)) if room else [sequence]
     return sequences
 
 
@@ -149,10 +146,9 @@ def pack(
         encode = encoder(path)
         base = group_base = TaskContext.get().partitionId() << 40
         names, tokens, size = [], [], 0
-        for batch in batches:
+        for batch in bounded(batches):
             ids, counts = encode(column_values(batch, "text"))
-            parts = np.split(ids, np.cumsum(counts)[:-1])
-            for name, part in zip(column_values(batch, "doc_id"), parts, strict=True):
+            for name, part in zip(column_values(batch, "doc_id"), np.split(ids, np.cumsum(counts)[:-1]), strict=True):
                 names.append(name)
                 tokens.append(np.append(part, np.int32(end_id)))
                 size += len(part) + 1
@@ -164,4 +160,4 @@ def pack(
             yield rows(names, tokens, base, group_base)[0]
 
     schema = SCHEMA + (", ids array<int>" if with_ids else "")
-    return arrow_rows(texts(docs, id_col, text_col)).mapInArrow(run, schema)
+    return texts(docs, id_col, text_col).mapInArrow(run, schema)

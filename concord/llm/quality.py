@@ -28,8 +28,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from concord.llm.bpe import arrow_rows, column_values
-from concord.llm.shared import texts
+from concord.llm.shared import bounded, column_values, texts
 
 CHUNK = 512
 LEVEL = 3
@@ -142,10 +141,10 @@ def score(docs: DataFrame, model: CompressionModel, id_col: str = "doc_id", text
     """doc_id, held_out, score, predicted for every row."""
 
     def run(batches):
-        for batch in batches:
+        for batch in bounded(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.scores(column_values(batch, "text")))], ["doc_id", "score"])
 
-    scored = arrow_rows(texts(docs, id_col, text_col)).mapInArrow(run, "doc_id long, score double")
+    scored = texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -154,11 +153,11 @@ def keep_good(docs: DataFrame, model: CompressionModel) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches):
-        for batch in batches:
+        for batch in bounded(batches):
             scores = model.scores([t or "" for t in batch.column(at).to_pylist()])
             yield batch.filter(pa.array(scores >= 0.5))
 
-    return arrow_rows(docs).mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def crc_of(doc_id: int) -> int:

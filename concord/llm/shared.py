@@ -2,33 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from concord.sources.scratch import clear, forget, shared_dir, stored
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+__all__ = ["ROWS", "bounded", "clear", "column_values", "documents", "forget", "release", "shared_dir", "stored", "texts"]
 
-    Only where the session does not name one (local tests) a local folder is set.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="concord-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` into the shared folder and reads it back, which cuts the lineage.
-
-    The table survives lost executors, unlike a local checkpoint.
-    """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Rows and bytes that an operator's Python code handles at once; a longer row is handled alone.
+ROWS, BYTES = 512, 4 << 20
 
 
 def release(spark: SparkSession) -> None:
@@ -49,3 +35,36 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def column_values(batch: pa.RecordBatch, name: str) -> list:
+    return batch.column(batch.schema.get_field_index(name)).to_pylist()
+
+
+def bounded(batches, rows: int = ROWS, size: int = BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut to at most ``rows`` rows and about ``size`` bytes of strings and binaries.
+
+    Spark bounds its batches by the session's settings, which stay as they are.
+    """
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        if n <= rows and batch.nbytes <= size:
+            yield batch
+            continue
+        weights = np.zeros(n, np.int64)
+        for column in batch.columns:
+            kind = column.type
+            if pa.types.is_string(kind) or pa.types.is_binary(kind) or pa.types.is_list(kind):
+                width = 8 if pa.types.is_list(kind) else 1
+                weights += width * np.diff(np.frombuffer(column.buffers()[1], np.int32, n + 1, column.offset * 4))
+            elif pa.types.is_large_string(kind) or pa.types.is_large_binary(kind):
+                weights += np.diff(np.frombuffer(column.buffers()[1], np.int64, n + 1, column.offset * 8))
+        ends = np.cumsum(weights)
+        at = 0
+        while at < n:
+            before = int(ends[at - 1]) if at else 0
+            to = max(at + 1, min(at + rows, int(np.searchsorted(ends, before + size, "right"))))
+            yield batch.slice(at, to - at)
+            at = to

@@ -34,9 +34,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from concord.llm.blobs import packed, unpacked
-from concord.llm.bpe import arrow_rows, column_values
-from concord.llm.shared import texts
-from concord.llm.words import RangeHash, expand, mixed
+from concord.llm.shared import bounded, column_values, texts
+from concord.llm.words import expand, mixed
 
 LENGTH = 100
 GRAM = 24
@@ -48,6 +47,35 @@ BATCH_BYTES = 4 << 20
 SAMPLE_DOCS, SAMPLE_LEADS = 4000, 32
 NULL_ID = -(1 << 63)
 SUB = 40
+_MULTIPLIER = 0x9E3779B97F4A7C15
+
+
+class PrefixHash:
+    """64-bit hashes of ranges of bytes, from prefix sums modulo 2**64: they choose anchors, and what is compared by content."""
+
+    def __init__(self, seed: int = 31):
+        self.codes = np.random.default_rng(seed).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.step, self.back = np.uint64(_MULTIPLIER), np.uint64(pow(_MULTIPLIER, -1, 1 << 64))
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def powers(self, n: int) -> None:
+        if len(self.up) < n:
+            size = 1 << (n - 1).bit_length()
+            up, down = np.full(size, self.step), np.full(size, self.back)
+            up[0] = down[0] = 1
+            self.up, self.down = np.multiply.accumulate(up), np.multiply.accumulate(down)
+
+    def prefix(self, data: np.ndarray) -> np.ndarray:
+        """Prefix sums with a leading zero."""
+        self.powers(len(data) + 1)
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(self.codes[data] * self.down[: len(data)], out=sums[1:])
+        return sums
+
+    def ranges(self, sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        self.powers(len(sums))
+        h = (sums[ends] - sums[starts]) * self.up[starts]
+        return mixed(h + (ends - starts).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
 
 
 def _up(n: int) -> int:
@@ -63,7 +91,7 @@ class Anchors:
         self.length, self.grams = length, length - GRAM + 1
         self.left, self.right = _up(self.grams - 1), _up(length)
         self.width = self.left + self.right
-        self.hash = RangeHash(256, 31)
+        self.hash = PrefixHash()
 
     def runs(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, sums: np.ndarray | None = None):
         """Anchor, first and last window start of each run of windows with one anchor.
@@ -269,7 +297,7 @@ def _splitters(rows: DataFrame, shape: Anchors, buckets: int) -> np.ndarray:
     length = shape.length
 
     def leads(batches):
-        for batch in batches:
+        for batch in bounded(batches):
             for text in column_values(batch, "text"):
                 for _, raw in segments(text.encode("utf-8", "surrogatepass"), length):
                     data = np.frombuffer(raw, np.uint8)
@@ -281,7 +309,7 @@ def _splitters(rows: DataFrame, shape: Anchors, buckets: int) -> np.ndarray:
 
     every = max(1, n // SAMPLE_DOCS)
     sample = rows.where(F.pmod(F.xxhash64("doc_id", "sub"), F.lit(every)) == 0).select("text")
-    found = sorted(bytes(r.lead) for r in arrow_rows(sample).mapInArrow(leads, "lead binary").collect())
+    found = sorted(bytes(r.lead) for r in sample.mapInArrow(leads, "lead binary").collect())
     at = [found[len(found) * k // buckets] for k in range(1, buckets)] if found else []
     return np.array(sorted(set(at)), f"S{LEAD}")
 
@@ -326,7 +354,7 @@ def repeated_ranges(rows: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def cut(batches):
         held, size, docs, raws, some = [], 0, [], [], 0
-        for batch in batches:
+        for batch in bounded(batches):
             for doc, sub, text in zip(*(column_values(batch, c) for c in ("doc_id", "sub", "text")), strict=True):
                 for at, raw in segments(text.encode("utf-8", "surrogatepass"), length):
                     docs.append(doc)
@@ -348,7 +376,7 @@ def repeated_ranges(rows: DataFrame, length: int = LENGTH) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(size, pa.int64())], ["doc_id", "start", "length"])
 
         now, held = None, []
-        for batch in batches:
+        for batch in bounded(batches, 64):
             for bucket, kind, blob in zip(*(column_values(batch, c) for c in ("bucket", "kind", "blob")), strict=True):
                 if kind:
                     yield out(*unpacked(blob, ("<i8", 0), ("<i8", 0), ("<i8", 0)))
@@ -361,9 +389,9 @@ def repeated_ranges(rows: DataFrame, length: int = LENGTH) -> DataFrame:
         if held:
             yield out(*Bucket(shape, *(np.concatenate(x) for x in zip(*held, strict=True))).removed())
 
-    sent = arrow_rows(rows).mapInArrow(cut, "bucket int, kind int, blob binary")
+    sent = rows.mapInArrow(cut, "bucket int, kind int, blob binary")
     ordered = sent.repartition(partitions, "bucket").sortWithinPartitions("bucket")
-    return arrow_rows(ordered, 64).mapInArrow(compare, "doc_id long, start long, length long")
+    return ordered.mapInArrow(compare, "doc_id long, start long, length long")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -374,7 +402,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     both = rows.join(by_doc, ["doc_id", "sub"], "left").select("doc_id", "text", F.col("ranges.start").alias("starts"), F.col("ranges.length").alias("sizes"))
 
     def apply(batches):
-        for batch in batches:
+        for batch in bounded(batches):
             ids, sizes, removed, counts, spans, kept = [], [], [], [], [], []
             for doc, text, starts, lengths in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
@@ -396,4 +424,4 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept"])
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start: long, length: long>>, kept binary"
-    return arrow_rows(both).mapInArrow(apply, schema)
+    return both.mapInArrow(apply, schema)

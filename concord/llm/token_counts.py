@@ -2,10 +2,11 @@
 
 A pre-token is U+2581 and a maximal run of characters that are not white space. Its best
 segmentation has the greatest sum of piece scores and, of those, the fewest pieces. The
-distinct pre-tokens of a batch are visited in sorted order, which is the depth-first order of
-their trie: the forward scores (best score and piece count of each prefix) stand on a stack,
-a prefix that pre-tokens share is scored once, and each terminal's count is stored. A worker
-keeps stored counts in a table of bounded size, so that a pre-token is scored once per worker.
+distinct pre-tokens of a batch are inserted in a trie. A node's forward scores (best score and
+piece count of its prefix) are computed when the node is made, from its ancestors' scores, so a
+prefix that pre-tokens share is scored once; a pre-token's count is that of its terminal node.
+A trie of ``MOST_NODES`` nodes starts anew. A worker keeps terminal counts in a table of bounded
+size, so that a pre-token is inserted once per worker.
 
 Pieces are those of a public vocabulary file; tokenizers are not trained here. That file gives
 merge ranks and no probabilities, so the score of the piece with rank r is Zipf's
@@ -19,24 +20,21 @@ empty result; only id and text are read.
 
 from __future__ import annotations
 
-import re
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from concord.llm.bpe import arrow_rows, column_values
 from concord.llm.encoders import vocabulary
-from concord.llm.shared import texts
-from concord.llm.words import WordIds, split_words
+from concord.llm.shared import bounded, column_values, texts
+from concord.llm.words import WordIds, space_classes, split_words
 
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
 ZIPF_SHIFT = 2.7
 BYTE_PENALTY = 10.0
-#: White space as in the vectorised splitter: categories Z* and U+0009 to U+000D, U+0085.
-WHITE = re.compile("[\\x09-\\x0D\\x20\\x85\\xA0  -     　]+")
+MOST_NODES = 500_000
 
 
 def piece_scores(path: str) -> dict[str, float]:
@@ -50,59 +48,65 @@ def piece_scores(path: str) -> dict[str, float]:
     return {model.id_to_piece(k): float(s) for k, s in zip(pieces, scores, strict=True)}
 
 
-class TrieCounts:
-    """Piece counts of the best segmentations of distinct pre-tokens."""
+class Trie:
+    """Forward scores of the prefixes of pre-tokens; piece counts of their best segmentations."""
 
     def __init__(self, scores: dict[str, float]):
         self.scores = scores
-        self.longest = max(map(len, scores))
         self.byte = min(scores.values()) - BYTE_PENALTY
         endings: dict[str, set[int]] = {}
         for piece in scores:
             endings.setdefault(piece[-1], set()).add(len(piece))
         #: Lengths of the pieces that end with a character.
         self.endings = {c: sorted(n) for c, n in endings.items()}
+        self._empty()
+
+    def _empty(self) -> None:
+        #: For each node: its children by character, and the best score and piece count of its prefix.
+        self.children: list[dict[str, int]] = [{}]
+        self.best, self.pieces = [0.0], [0]
+
+    def _node(self, word: str, path: list[int], last: str) -> int:
+        """A child of the last node of ``path`` for the character ``last``, which ends the prefix of ``word``."""
+        end, scores = len(path), self.scores
+        n = len(last.encode("utf-8", "surrogatepass"))
+        top, fewest = self.best[path[-1]] + self.byte * n, self.pieces[path[-1]] + n
+        for length in self.endings.get(last, ()):
+            if length > end:
+                break
+            own = scores.get(word[end - length : end])
+            if own is not None:
+                before = path[end - length]
+                own += self.best[before]
+                if own > top or own == top and self.pieces[before] + 1 < fewest:
+                    top, fewest = own, self.pieces[before] + 1
+        self.children[path[-1]][last] = node = len(self.best)
+        self.children.append({})
+        self.best.append(top)
+        self.pieces.append(fewest)
+        return node
+
+    def insert(self, word: str) -> int:
+        """The terminal node of the word."""
+        path = [0]
+        for last in word:
+            node = self.children[path[-1]].get(last)
+            path.append(self._node(word, path, last) if node is None else node)
+        return path[-1]
 
     def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The piece count of each word, one value a word."""
         counts = np.zeros(len(words), np.int32)
-        best, pieces, before = [0.0], [0], ""
-        scores, endings, byte = self.scores, self.endings, self.byte
-        for k in sorted(range(len(words)), key=words.__getitem__):
-            word = MARK + words[k]
-            shared, most = 0, min(len(before), len(word))
-            while shared < most and word[shared] == before[shared]:
-                shared += 1
-            del best[shared + 1 :], pieces[shared + 1 :]
-            for end in range(shared + 1, len(word) + 1):
-                last = word[end - 1]
-                n = len(last.encode("utf-8", "surrogatepass"))
-                top, fewest = best[end - 1] + byte * n, pieces[end - 1] + n
-                for length in endings.get(last, ()):
-                    if length > end:
-                        break
-                    own = scores.get(word[end - length : end])
-                    if own is not None:
-                        own += best[end - length]
-                        if own > top or own == top and pieces[end - length] + 1 < fewest:
-                            top, fewest = own, pieces[end - length] + 1
-                best.append(top)
-                pieces.append(fewest)
-            counts[k] = pieces[len(word)]
-            before = word
+        for k, word in enumerate(words):
+            if len(self.best) > MOST_NODES:
+                self._empty()
+            counts[k] = self.pieces[self.insert(MARK + word)]
         return counts, np.ones(len(words), np.int64)
 
 
 @lru_cache(maxsize=2)
 def counter(path: str) -> WordIds:
-    compute = TrieCounts(piece_scores(path))
-
-    def whole(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [[w for w in WHITE.split(t) if w] for t in texts]
-        distinct = sorted({w for ws in found for w in ws})
-        by = dict(zip(distinct, compute(distinct)[0].tolist(), strict=True))
-        return np.array([by[w] for ws in found for w in ws], np.int32), np.array([len(ws) for ws in found], np.int64)
-
-    return WordIds(split_words, compute, whole)
+    return WordIds(split_words, Trie(piece_scores(path)), space_classes())
 
 
 def token_counts(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -110,10 +114,10 @@ def token_counts(docs: DataFrame, path: str | None = None, id_col: str = "doc_id
     path = path or vocabulary(VOCABULARY)
 
     def run(batches):
-        for batch in batches:
+        for batch in bounded(batches):
             values, words = counter(path)(column_values(batch, "text"))
             sums = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
             tokens = np.diff(sums[np.concatenate([[0], np.cumsum(words)])])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], ["doc_id", "n_words", "n_tokens"])
 
-    return arrow_rows(texts(docs, id_col, text_col)).mapInArrow(run, "doc_id long, n_words long, n_tokens long")
+    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_words long, n_tokens long")

@@ -27,9 +27,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from concord.llm.bpe import arrow_rows, column_values, id_lists
+from concord.llm.bpe import id_lists
 from concord.llm.encoders import encoder, vocabulary
-from concord.llm.shared import texts
+from concord.llm.shared import bounded, column_values, texts
 
 VOCABULARY = "word_bpe_49k.json"
 BLOCK_TOKENS = 1 << 19
@@ -82,30 +82,30 @@ def write_token_files(
     """Encodes all documents and writes them to ``folder`` in ascending ``doc_id`` order."""
     path = path or vocabulary(VOCABULARY)
 
-    def block(part: int, number: int, names: list, parts: list[np.ndarray]) -> pa.RecordBatch:
-        ids = np.concatenate(parts)
+    def block(part: int, number: int, names: list, tokens: list[np.ndarray]) -> pa.RecordBatch:
+        ids = np.concatenate(tokens)
         ranks, control, data = encode_ids(ids)
-        row = {"part": part, "block": number, "n_ids": len(ids), "doc_ids": names, "doc_tokens": list(map(len, parts)), "ranks": ranks, "control": control, "data": data}
+        row = {"part": part, "block": number, "n_ids": len(ids), "doc_ids": names, "doc_tokens": list(map(len, tokens)), "ranks": ranks, "control": control, "data": data}
         schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_tokens", pa.list_(pa.int64())), ("ranks", pa.binary()), ("control", pa.binary()), ("data", pa.binary())])
         return pa.RecordBatch.from_pylist([row], schema)
 
     def run(batches):
         encode, part, number = encoder(path), TaskContext.get().partitionId(), 0
-        names, parts, size = [], [], 0
-        for batch in batches:
+        names, tokens, size = [], [], 0
+        for batch in bounded(batches):
             ids, counts = encode(column_values(batch, "text"))
             for name, own in zip(column_values(batch, "doc_id"), np.split(ids, np.cumsum(counts)[:-1]), strict=True):
                 names.append(name)
-                parts.append(np.append(own, np.int32(end_id)))
+                tokens.append(np.append(own, np.int32(end_id)))
                 size += len(own) + 1
                 if size >= block_tokens:
-                    yield block(part, number, names, parts)
-                    number, names, parts, size = number + 1, [], [], 0
+                    yield block(part, number, names, tokens)
+                    number, names, tokens, size = number + 1, [], [], 0
         if names:
-            yield block(part, number, names, parts)
+            yield block(part, number, names, tokens)
 
     ordered = texts(docs, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    arrow_rows(ordered).mapInArrow(run, SCHEMA).write.option("compression", "none").parquet(folder)
+    ordered.mapInArrow(run, SCHEMA).write.option("compression", "none").parquet(folder)
 
 
 def read_token_files(spark: SparkSession, folder: str, with_ids: bool = True) -> DataFrame:
@@ -125,20 +125,20 @@ def read_token_files(spark: SparkSession, folder: str, with_ids: bool = True) ->
     )
 
     def run(batches):
-        for batch in batches:
+        for batch in bounded(batches, 4):
             for row in batch.to_pylist():
                 ids = decode_ids(row["ranks"], row["control"], row["data"], row["n_ids"])
                 counts = np.array(row["doc_tokens"], np.int64)
                 ends = np.cumsum(counts)
-                parts = np.split(ids, ends[:-1])
-                n = len(parts)
+                own = np.split(ids, ends[:-1])
+                n = len(own)
                 arrays = [
                     pa.array([row["part"]] * n, pa.int32()),
                     pa.array([row["block"]] * n, pa.int32()),
                     pa.array(row["doc_ids"], pa.int64()),
                     pa.array(ends - counts, pa.int64()),
                     pa.array(counts, pa.int64()),
-                    pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in parts], pa.int64()),
+                    pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in own], pa.int64()),
                 ]
                 names = ["part", "block", "doc_id", "inside", "n_tokens", "ids_crc32"]
                 if with_ids:
@@ -147,7 +147,7 @@ def read_token_files(spark: SparkSession, folder: str, with_ids: bool = True) ->
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
     schema = "part int, block int, doc_id long, inside long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
-    decoded = arrow_rows(blocks, 4).mapInArrow(run, schema)
+    decoded = blocks.mapInArrow(run, schema)
     return decoded.join(starts, ["part", "block"]).select(
         "doc_id", (F.col("block_start") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids
     )

@@ -7,7 +7,6 @@ return documents with the same columns.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from concord.llm import exact_dedup, jaccard, packing, quality, secrets
 from concord.llm.shared import documents, stored
@@ -28,9 +27,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents, the one with the smallest id; documents with null ids stay."""
-    found = NEAR.components(docs)
-    dropped = found.where("component_id <> doc_id").select(F.col("doc_id").alias("__dropped"))
-    return docs.join(dropped, docs["doc_id"] == dropped["__dropped"], "left_anti")
+    return NEAR.without_copies(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
