@@ -171,6 +171,8 @@ def modularity_quality(edges: DataFrame, labels: DataFrame, gamma: float, keys:
 
 
 def _inside(edges: DataFrame, labels: DataFrame, keys: list[str]) -> DataFrame:
-    a = labels.select(*keys, F.col("cell_idx").alias("src"), F.col("label").alias("la"))
-    b = labels.select(*keys, F.col("cell_idx").alias("dst"), F.col("label").alias("lb"))
-    return edges.join(a, "src").join(b, [*keys, "dst"]).where("la = lb").groupBy(*keys).agg(F.sum("weight").alias("inside"))
+    """(keys, inside): each end of an edge meets its cell's labels once, as an array over the keys."""
+    own = labels.groupBy("cell_idx").agg(F.collect_list(F.struct(*keys, "label")).alias("l"))  # one item for each trial
+    a, b = own.select(F.col("cell_idx").alias("src"), F.col("l").alias("la")), own.select(F.col("cell_idx").alias("dst"), F.col("l").alias("lb"))
+    both = edges.join(a, "src").join(b, "dst").select("weight", F.explode(F.array_intersect("la", "lb")).alias("m"))
+    return both.groupBy(*[F.col(f"m.{k}").alias(k) for k in keys]).agg(F.sum("weight").alias("inside"))

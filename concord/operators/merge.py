@@ -2,37 +2,51 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from concord.operators.counts import cluster_sizes, reindexed
 
 
-def connectivity(edges: DataFrame, labels: DataFrame, min_cluster_size: int, keys: list[str]) -> DataFrame:
-    """(keys, small, large, mean_weight) of all pairs of a small and a large cluster, zero where no edge joins them."""
+def _split(labels: DataFrame, min_cluster_size: int, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(keys, small, n_small) and (keys, large, n_large)"""
     sizes = cluster_sizes(labels, keys)
     small = sizes.where(F.col("size") < min_cluster_size).select(*keys, F.col("label").alias("small"), F.col("size").alias("n_small"))
     large = sizes.where(F.col("size") >= min_cluster_size).select(*keys, F.col("label").alias("large"), F.col("size").alias("n_large"))
-    # only small clusters' cells need their edges; zero-weight pairs come from the cluster tables
+    return small, large
+
+
+def links(edges: DataFrame, labels: DataFrame, small: DataFrame, large: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, small, large, mean_weight) of the pairs of a small and a large cluster that an edge joins."""
+    # only small clusters' cells need their edges
     few = labels.join(small.select(*keys, F.col("small").alias("label")), [*keys, "label"], "left_semi")
     a = few.select(*keys, F.col("cell_idx").alias("src"), F.col("label").alias("small"))
     b = labels.select(*keys, F.col("cell_idx").alias("dst"), F.col("label").alias("large"))
     weights = edges.join(a, "src").join(b, [*keys, "dst"]).groupBy(*keys, "small", "large").agg(F.sum("weight").alias("w"))
-    pairs = small.join(large, keys)
-    return pairs.join(weights, [*keys, "small", "large"], "left").select(
-        *keys, "small", "large", (F.coalesce("w", F.lit(0.0)) / (F.col("n_small") * F.col("n_large"))).alias("mean_weight")
-    )
+    return weights.join(small, [*keys, "small"]).join(large, [*keys, "large"]).select(*keys, "small", "large", (F.col("w") / (F.col("n_small") * F.col("n_large"))).alias("mean_weight"))
+
+
+def connectivity(edges: DataFrame, labels: DataFrame, min_cluster_size: int, keys: list[str]) -> DataFrame:
+    """(keys, small, large, mean_weight): the matrix of all pairs of a small and a large cluster, zero where no edge joins them."""
+    small, large = _split(labels, min_cluster_size, keys)
+    found = links(edges, labels, small, large, keys)
+    pairs = small.select(*keys, "small").join(large.select(*keys, "large"), keys)
+    return pairs.join(found, [*keys, "small", "large"], "left").select(*keys, "small", "large", F.coalesce("mean_weight", F.lit(0.0)).alias("mean_weight"))
 
 
 def merged(edges: DataFrame, labels: DataFrame, min_cluster_size: int, keys: list[str]) -> DataFrame:
-    """Labels after one merging pass, numbered anew; without a large cluster all cells become one cluster."""
+    """Labels after one merging pass, numbered anew; without a large cluster all cells become one cluster.
+
+    A small cluster without an edge to a large one goes to the large one of the least id, so only joined pairs are formed.
+    """
     if min_cluster_size <= 1:
         return labels
-    found = connectivity(edges, labels, min_cluster_size, keys)
-    rank = F.row_number().over(Window.partitionBy(*keys, "small").orderBy(F.desc("mean_weight"), "large"))
-    target = found.withColumn("_r", rank).where("_r = 1").select(*keys, F.col("small").alias("label"), F.col("large").alias("to"))
+    small, large = _split(labels, min_cluster_size, keys)
+    found = links(edges, labels, small, large, keys).where("mean_weight > 0")
+    target = found.groupBy(*keys, F.col("small").alias("label")).agg(F.max_by("large", F.struct("mean_weight", -F.col("large"))).alias("to"))
     sizes = cluster_sizes(labels, keys)
-    has_large = sizes.groupBy(*keys).agg(F.max((F.col("size") >= min_cluster_size).cast("int")).alias("has_large"))
-    moved = labels.join(target, [*keys, "label"], "left").join(has_large, keys)
-    label = F.when(F.col("has_large") == 0, F.lit(0)).otherwise(F.coalesce("to", "label"))
-    return reindexed(moved.select(*keys, "cell_idx", label.cast("int").alias("label")), keys)
+    least = sizes.groupBy(*keys).agg(F.min(F.when(F.col("size") >= min_cluster_size, F.col("label"))).alias("first"))
+    plan = sizes.join(target, [*keys, "label"], "left").join(least, keys)
+    label = F.when(F.col("first").isNull(), F.lit(0)).when(F.col("size") >= min_cluster_size, F.col("label")).otherwise(F.coalesce("to", "first"))
+    moved = labels.join(plan.select(*keys, "label", label.cast("int").alias("new")), [*keys, "label"])
+    return reindexed(moved.select(*keys, "cell_idx", F.col("new").alias("label")), keys)

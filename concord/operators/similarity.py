@@ -166,22 +166,33 @@ def best_outcome(table: DataFrame, pairs: DataFrame, keys: list[str] | None = No
 
 
 def bootstrap(pairs: DataFrame, weights: DataFrame, trials: int, keys: list[str] | None = None) -> DataFrame:
-    """(keys, b, ic) for multiplicities (b, trial, w): each replicate is a weighted sum of one similarity matrix."""
+    """(keys, b, ic) for multiplicities (b, trial, w): each replicate is a weighted sum of one similarity matrix.
+
+    ``weights`` may have draws of its own for each key.
+    """
     keys = keys or []
-    own = weights.groupBy("b").agg(F.sum(F.col("w") * F.col("w")).alias("own"))
-    left = weights.select("b", F.col("trial").alias("i"), F.col("w").alias("w_i"))
-    right = weights.select("b", F.col("trial").alias("j"), F.col("w").alias("w_j"))
-    cross = pairs.join(left, "i").join(right, ["b", "j"]).groupBy(*keys, "b").agg(F.sum(F.col("w_i") * F.col("w_j") * F.col("ecs")).alias("cross"))
+    shared = [k for k in keys if k in weights.columns]
+    own = weights.groupBy(*shared, "b").agg(F.sum(F.col("w") * F.col("w")).alias("own"))
+    left = weights.select(*shared, "b", F.col("trial").alias("i"), F.col("w").alias("w_i"))
+    right = weights.select(*shared, "b", F.col("trial").alias("j"), F.col("w").alias("w_j"))
+    cross = pairs.join(left, [*shared, "i"]).join(right, [*shared, "b", "j"]).groupBy(*keys, "b").agg(F.sum(F.col("w_i") * F.col("w_j") * F.col("ecs")).alias("cross"))
     # replicates x keys rows: a draw of one trial only has no pair
-    grid = own.join(F.broadcast(pairs.select(*keys).distinct())) if keys else own
+    grid = own.join(F.broadcast(pairs.select(*keys).distinct()), shared or None) if keys else own
     return grid.join(cross, [*keys, "b"], "left").select(*keys, "b", (F.lit(float(trials * trials)) / (F.col("own") + 2 * F.coalesce("cross", F.lit(0.0)))).alias("ic"))
 
 
-def bootstrap_weights(spark, replicates: int, trials: int, draw=None) -> DataFrame:
-    """(b, trial, w); ``draw(b, s)`` is the column of the trial, from 0, drawn for slot s (default: by hash)."""
-    draw = draw or (lambda b, s: F.pmod(F.xxhash64(b, s), F.lit(trials)))
+def bootstrap_weights(spark, replicates: int, trials: int, draw=None, seeds: DataFrame | None = None) -> DataFrame:
+    """(b, trial, w); ``draw(b, s)`` is the column of the trial, from 0, drawn for slot s (default: by hash).
+
+    With ``seeds`` (key columns, seed; a few rows): (keys, b, trial, w), with draws by each key's seed.
+    """
     slots = spark.range(1, replicates + 1).select(F.col("id").alias("b"), F.explode(F.sequence(F.lit(1), F.lit(trials)).cast("array<bigint>")).alias("s"))
-    return slots.select("b", (draw(F.col("b"), F.col("s")) + 1).cast("int").alias("trial")).groupBy("b", "trial").agg(F.count(F.lit(1)).alias("w"))
+    keys = [c for c in seeds.columns if c != "seed"] if seeds is not None else []
+    if seeds is not None:
+        slots = slots.join(F.broadcast(seeds))
+    seed = [F.col("seed")] if keys else []
+    draw = draw or (lambda b, s: F.pmod(F.xxhash64(b, s, *seed), F.lit(trials)))
+    return slots.select(*keys, "b", (draw(F.col("b"), F.col("s")) + 1).cast("int").alias("trial")).groupBy(*keys, "b", "trial").agg(F.count(F.lit(1)).alias("w"))
 
 
 def interval(table: DataFrame, column: str = "ic", keys: list[str] | None = None) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +25,11 @@ def evaluated(medians: DataFrame, min_cluster_size: int) -> DataFrame:
     })
 
 
+def prefiltered(ics: DataFrame, remove_threshold: float) -> DataFrame:
+    """(target, least_ic, excluded) of (target, ic): a target is excluded if no resolution's ic is below the threshold."""
+    return ics.groupBy("target").agg(F.min("ic").alias("least_ic")).withColumn("excluded", F.col("least_ic") >= remove_threshold)
+
+
 def admitted(evaluations: DataFrame) -> DataFrame:
     """The rows of each target's first non-empty admission family, with ``admission_mode``."""
     s, r, rs, rr = (F.col(c) for c in ("strict_valid", "relaxed_valid", "raw_strict_valid", "raw_relaxed_valid"))
@@ -59,6 +66,78 @@ def best_gamma(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_r", rank).where("_r = 1").drop("_r")
 
 
+def kept_candidates(rows: DataFrame) -> DataFrame:
+    """The rows (target, gamma, ic, stable, limit) that a round of refinement goes on with.
+
+    Those up to the median ic, stable ones and the best; if they are over ``limit``: the best, the best stable one, then by ic and gamma.
+    """
+    every = Window.partitionBy("target")
+    ic = F.round("ic", 12)
+    first = F.row_number().over(every.orderBy(ic, "gamma")) == 1
+    steady = F.col("stable") & (F.row_number().over(every.orderBy(F.desc("stable"), ic, "gamma")) == 1)
+    ranked = rows.withColumns({"_ic": ic, "_middle": F.percentile(ic, 0.5).over(every), "_first": first, "_steady": steady})
+    pool = ranked.where((F.col("_ic") <= F.col("_middle")) | F.col("stable") | F.col("_first"))
+    place = F.row_number().over(every.orderBy(F.desc("_first"), F.desc("_steady"), "_ic", "gamma"))
+    return pool.withColumn("_place", place).where("_place <= limit").drop("_ic", "_middle", "_first", "_steady", "_place")
+
+
+HISTORY = 10
+
+
+@dataclass
+class Refinement:
+    """One target's candidates in refinement, in ascending gamma: dicts with task, gamma, ic, hit_count and the last ten ics.
+
+    A history starts with ten copies of the first ic, so a candidate whose ic does not change is stable from its first round on.
+    """
+
+    rows: list[dict]
+    mode: str
+    iterations: int
+    most_iterations: int
+    rounds: int = 0
+    best: dict | None = None
+
+    def __post_init__(self):
+        self.rows = sorted(({**r, "history": [r["ic"]] * HISTORY} for r in self.rows), key=lambda r: r["gamma"])
+        self.prefer_hits = not self.mode.startswith("raw_") and any(r["hit_count"] > 0 for r in self.rows)
+
+    def open(self) -> bool:
+        """Whether another round begins: the limit of iterations holds before a round adds to them."""
+        return self.best is None and self.iterations < self.most_iterations and self.rounds < refinement_cap(self.mode)
+
+    def least(self, rows: list[dict]) -> dict:
+        return min(rows, key=lambda r: (round(r["ic"], 12), r["gamma"]))
+
+    def begin(self) -> None:
+        self.rounds += 1
+        self.iterations += 2
+
+    def take(self, found: list[tuple[int, float, int]]) -> list[tuple[float, float, bool, int]]:
+        """The round's (task, ic, hit_count) of each candidate. Ends the refinement, or gives the rows for ``kept_candidates``."""
+        after = [{**r, "task": t, "ic": ic, "hit_count": hits, "history": [*r["history"][1:], ic]} for r, (t, ic, hits) in zip(self.rows, found, strict=True)]
+        if self.prefer_hits:
+            after = [r for r in after if r["hit_count"] > 0]
+            if not after:  # back to the round before
+                self.best = self.least(self.rows)
+                return []
+        stable = [len({round(x, 12) for x in r["history"]}) == 1 for r in after]
+        perfect = [r for r in after if round(r["ic"], 12) == 1]
+        self.rows = after
+        if perfect or all(stable):
+            self.best = perfect[0] if perfect else self.least(after)
+            return []
+        return [(r["gamma"], r["ic"], s, 4 if self.rounds == 1 else 2) for r, s in zip(after, stable, strict=True)]
+
+    def keep(self, gammas: set[float]) -> None:
+        self.rows = [r for r in self.rows if r["gamma"] in gammas]
+        if len(self.rows) == 1:
+            self.best = self.rows[0]
+
+    def result(self) -> dict:
+        return self.best or self.least(self.rows)
+
+
 def seed_table(intervals: DataFrame, probes: DataFrame) -> DataFrame:
     """(target, gamma, seed_role, final_clusters, raw_clusters): seeds with the counts of the nearest probe within tolerance.
 

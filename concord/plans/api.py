@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 import math
+import time
 import warnings
 from collections.abc import Callable
 
@@ -86,13 +87,15 @@ class Study:
             F.sum((F.col("final_clusters") == F.col("target")).cast("int")).alias("hit_count"), F.sum((F.col("raw_clusters") == F.col("target")).cast("int")).alias("raw_hit_count"),
         )
 
-    def finished(self, labels: DataFrame, chosen: dict[int, tuple[int, float]], trials: int, by_hits: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """Bootstrap (task, b, ic), mei (task, cell_idx, mei), and merged labels of the representative trial (task, cell_idx, label), of all tasks at once."""
+    def finished(self, labels: DataFrame, chosen: dict[int, tuple[int, float]], trials: int, by_hits: bool) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+        """Bootstrap (task, b, ic), mei (task, cell_idx, mei), and of the representative trial the merged labels (task, cell_idx, label)
+        and the number of raw clusters (task, best_raw), of all tasks at once."""
         keys = ["task"]
         own = self.keep(labels.where(F.col("task").isin(list(chosen))))
         found = self.keep(S.patterns(own, keys))
         pairs = self.keep(S.similarity_matrix(found, keys))
-        drawn = S.bootstrap_weights(self.spark, self.p.n_bootstrap, trials, lambda b, s: F.pmod(F.xxhash64(b, s, F.lit(derived_seed(self.p.seed, "bootstrap", i=0))), F.lit(trials)))
+        seeds = self.spark.createDataFrame([(t, derived_seed(self.p.seed + 1000 * k, "bootstrap", i=0)) for t, (k, _) in chosen.items()], "task int, seed long")
+        drawn = S.bootstrap_weights(self.spark, self.p.n_bootstrap, trials, seeds=seeds)  # each target has its own draws
         if trials > 1:
             boots = S.bootstrap(pairs, drawn, trials, keys)
         else:
@@ -104,8 +107,9 @@ class Study:
             some = hits.select("task").distinct().withColumn("some", F.lit(1))
             table = table.join(hits, ["task", "rep_trial"], "left").join(some, "task", "left").where("some is null or hit = 1").drop("hit", "some")
         best = self.keep(S.best_outcome(table, pairs, keys).select("task", F.col("rep_trial").alias("trial")))
-        final = self.final(own.join(F.broadcast(best), ["task", "trial"])).select("task", "cell_idx", "label")  # one row for each task
-        return boots, S.element_consistency(own, found, keys), final
+        chosen_runs = own.join(F.broadcast(best), ["task", "trial"])  # one row for each task
+        raws = C.cluster_counts(chosen_runs, ["task", "trial"], 1).select("task", F.col("raw_clusters").alias("best_raw"))
+        return boots, S.element_consistency(own, found, keys), self.final(chosen_runs).select("task", "cell_idx", "label"), raws
 
 
 def _bounds(p: Params) -> tuple[float, float]:
@@ -127,11 +131,10 @@ def _prefiltered(study: Study, intervals: list, trials: int = 10) -> set[int]:
             rows += [(len(of) - 1, g, t, derived_seed(p.seed, "filter", k=row.target, gamma=g) + t) for t in range(1, trials + 1)]
     if not rows:
         return set()
-    found = study.consistency(study.cluster(study.tasks(rows), 5, 0.01), trials).collect()
-    least: dict[int, float] = {}
-    for r in found:
-        least[of[r.task]] = min(r.ic, least.get(of[r.task], math.inf))
-    return {k for k, ic in least.items() if ic >= p.remove_threshold}
+    found = study.consistency(study.cluster(study.tasks(rows), 5, 0.01), trials)
+    named = study.spark.createDataFrame(list(of.items()), "task int, target int")
+    judged = A.prefiltered(found.join(F.broadcast(named), "task"), p.remove_threshold)  # five tasks for each target
+    return {r.target for r in judged.where("excluded").collect()}
 
 
 def _optimised(study: Study, intervals: list, probes: DataFrame) -> tuple[list[dict], DataFrame | None, dict[int, tuple[int, float]]]:
@@ -146,12 +149,16 @@ def _optimised(study: Study, intervals: list, probes: DataFrame) -> tuple[list[d
     plans = {k: G.batches(r.gamma_left, r.gamma_right, roles.get(k, []), p.objective) for k, r in ends.items()}
     evaluations, all_labels, named = None, None, {}
     pending, modes = set(ends), {}
+    seconds, runs = [0.0, 0.0], {k: 0 for k in ends}
+    counts = {k: [0, 0] for k in ends}
     for phase in (0, 1):
-        tasks = {}
+        tasks, began = {}, time.monotonic()
         for k in sorted(pending):
             for g in plans[k][phase]:
                 tasks[next_task] = (k, g)
                 next_task += 1
+            counts[k][phase] = len(plans[k][phase])
+            runs[k] += trials * counts[k][phase]
         if not tasks:
             break
         rows = [(t, g, trial, derived_seed(p.seed + 1000 * k, "gamma", gamma=g) + trial) for t, (k, g) in tasks.items() for trial in range(1, trials + 1)]
@@ -164,63 +171,71 @@ def _optimised(study: Study, intervals: list, probes: DataFrame) -> tuple[list[d
         hits = {r.target for r in evaluations.where("hit_count > 0").select("target").distinct().collect()}
         modes = {k: [r for r in chosen if r.target == k] for k in ends}
         pending = {k for k in ends if A.expand_secondary(len(modes[k]), modes[k][0].admission_mode if modes[k] else "none", int(k in hits))}
+        seconds[phase] = time.monotonic() - began
         if not pending:
             break
+    exact = {r.target: r.n for r in evaluations.where("hit_count > 0").groupBy("target").agg(F.count(F.lit(1)).alias("n")).collect()} if evaluations is not None else {}
+    notes = {
+        k: {
+            "phase1_primary_gamma_count": counts[k][0], "phase1_secondary_gamma_count": counts[k][1], "phase1_total_gamma_count": sum(counts[k]),
+            "phase1_elapsed_sec": sum(s for s, n in zip(seconds, counts[k], strict=True) if n), "phase1_leiden_runs": runs[k],
+            "secondary_phase1_used": counts[k][1] > 0, "exact_hit_gamma_count": exact.get(k, 0), "phase4_iterations": 0, "phase4_elapsed_sec": 0.0,
+        }
+        for k in ends
+    }
     kept = study.keep(A.exact_hits_first(A.nearest_raw(A.admitted(evaluations), p.min_cluster_size)))
     good = [r.task for r in kept.select("task").collect()]
     ics = {r.task: r.ic for r in study.consistency(all_labels.where(F.col("task").isin(good)), trials).collect()} if good else {}
     rows = [r.asDict() | {"ic": ics[r.task]} for r in kept.collect()]
     out, state = [], {}
     for k in ends:
-        own = sorted((r for r in rows if r["target"] == k), key=lambda r: (round(r["ic"], 12), r["gamma"]))
+        own = [r for r in rows if r["target"] == k]
         if not own:
             failed = evaluations.where(F.col("target") == k).orderBy(F.col("median_gap").asc_nulls_last(), F.col("raw_median_gap").asc_nulls_last(), "gamma").first()
-            out.append({"target": k, "gamma": failed.gamma if failed else None, "ic": None, "task": None, "mode": "none", "iterations": p.n_iterations})
+            out.append({"target": k, "gamma": failed.gamma if failed else None, "ic": None, "task": None, "mode": "none", "iterations": p.n_iterations} | notes[k])
             continue
-        state[k] = {"rows": own, "best": own[0], "mode": own[0]["admission_mode"], "iterations": p.n_iterations, "history": {r["task"]: [r["ic"]] for r in own}}
-    active = {k for k, s in state.items() if round(s["best"]["ic"], 12) != 1 and len(s["rows"]) > 1 and not A.skip_refinement(len(s["rows"]), s["best"]["ic"], sum(r["hit_count"] > 0 for r in s["rows"]))}
-    spare = 0
-    while active:
-        spare += 1
-        active = {k for k in active if spare <= A.refinement_cap(state[k]["mode"]) and state[k]["iterations"] + 2 < p.max_iterations}
-        if not active:
-            break
-        tasks, source = {}, {}
-        for k in sorted(active):
-            state[k]["iterations"] += 2
-            for r in state[k]["rows"]:
+        state[k] = A.Refinement(own, own[0]["admission_mode"], p.n_iterations, p.max_iterations)
+        best = state[k].least(state[k].rows)
+        if round(best["ic"], 12) == 1 or len(own) == 1 or A.skip_refinement(len(own), best["ic"], sum(r["hit_count"] > 0 for r in own)):
+            state[k].best = best
+    while active := sorted(k for k, s in state.items() if s.open()):
+        began, tasks, source = time.monotonic(), {}, {}
+        for k in active:
+            state[k].begin()
+            for r in state[k].rows:
                 tasks[next_task], source[next_task] = (k, r["gamma"]), r["task"]
                 next_task += 1
-        rows = [(t, g, trial, derived_seed(p.seed + 1000 * k, "refine", round=spare, i=trial) + t) for t, (k, g) in tasks.items() for trial in range(1, trials + 1)]
-        links = spark.createDataFrame([(t, trial, source[t], 1 + derived_seed(p.seed, "refine", round=spare, i=trial * 31 + t) % trials) for t in tasks for trial in range(1, trials + 1)], "new_task int, new_trial int, task int, trial int")
+        spare = {k: state[k].rounds for k in active}
+        rows = [(t, g, trial, derived_seed(p.seed + 1000 * k, "refine", round=spare[k], i=trial) + t) for t, (k, g) in tasks.items() for trial in range(1, trials + 1)]
+        links = spark.createDataFrame([(t, trial, source[t], 1 + derived_seed(p.seed, "refine", round=spare[tasks[t][0]], i=trial * 31 + t) % trials) for t in tasks for trial in range(1, trials + 1)], "new_task int, new_trial int, task int, trial int")
         initial = all_labels.join(F.broadcast(links), ["task", "trial"]).select(F.col("new_task").alias("task"), F.col("new_trial").alias("trial"), "cell_idx", "label")
         labels = study.cluster(study.tasks(rows), 2, p.beta, initial)
-        medians = {r.task: r for r in study.medians(labels, tasks, trials).collect()}
+        hits = {r.task: r.hit_count for r in study.medians(labels, tasks, trials).collect()}
         ics = {r.task: r.ic for r in study.consistency(labels, trials).collect()}
         all_labels, named = all_labels.unionByName(labels), named | tasks
-        for k in sorted(active):
-            s = state[k]
-            now = [r | {"task": t, "ic": ics[t], "hit_count": medians[t].hit_count} for r in s["rows"] for t, (k2, g) in tasks.items() if k2 == k and g == r["gamma"] and source[t] == r["task"]]
-            if not s["mode"].startswith("raw_") and any(r["hit_count"] > 0 for r in s["rows"]):
-                now = [r for r in now if r["hit_count"] > 0]
-                if not now:
-                    active.discard(k)
-                    continue
-            for r in now:
-                s["history"][r["task"]] = [*s["history"].get(source[r["task"]], []), r["ic"]][-10:]
-            now.sort(key=lambda r: (round(r["ic"], 12), r["gamma"]))
-            s["best"] = now[0]
-            stable = {r["task"] for r in now if len(s["history"][r["task"]]) == 10 and len({round(x, 12) for x in s["history"][r["task"]]}) == 1}
-            middle = sorted(r["ic"] for r in now)[len(now) // 2] if len(now) % 2 else sum(sorted(r["ic"] for r in now)[len(now) // 2 - 1 : len(now) // 2 + 1]) / 2
-            s["rows"] = [r for r in now if r["ic"] <= middle or r["task"] in stable][: 4 if spare == 1 else 2]
-            if round(s["best"]["ic"], 12) == 1 or len(stable) == len(now) or len(s["rows"]) <= 1:
-                active.discard(k)
+        taken = [(k, *row) for k in active for row in state[k].take([(t, ics[t], hits[t]) for t, (of, _) in tasks.items() if of == k])]
+        if taken:
+            going = spark.createDataFrame(taken, "target int, gamma double, ic double, stable boolean, limit int")
+            stay: dict[int, set[float]] = {}
+            for r in A.kept_candidates(going).collect():
+                stay.setdefault(r.target, set()).add(r.gamma)
+            for k, gammas in stay.items():
+                state[k].keep(gammas)
+        for k in active:
+            notes[k]["phase4_iterations"] += 1
+            notes[k]["phase4_elapsed_sec"] += time.monotonic() - began
     for k, s in state.items():
-        out.append({"target": k, "gamma": s["best"]["gamma"], "ic": s["best"]["ic"], "task": s["best"]["task"], "mode": s["mode"], "iterations": s["iterations"]})
+        best = s.result()
+        out.append({"target": k, "gamma": best["gamma"], "ic": best["ic"], "task": best["task"], "mode": s.mode, "iterations": s.iterations} | notes[k])
     return sorted(out, key=lambda r: r["target"]), all_labels, named
 
 
-RESULTS = "source_target int, gamma double, final_clusters int, raw_clusters int, ic double, admission_mode string, n_iterations int, excluded boolean, exclusion_reason string, task int"
+NOTES = {
+    "effective_cluster_median": "double", "raw_cluster_median": "double", "final_cluster_median": "double", "phase1_primary_gamma_count": "int", "phase1_secondary_gamma_count": "int",
+    "phase1_total_gamma_count": "int", "phase1_elapsed_sec": "double", "phase1_leiden_runs": "int", "secondary_phase1_used": "boolean", "exact_hit_gamma_count": "int",
+    "phase4_iterations": "int", "phase4_elapsed_sec": "double", "phase5_elapsed_sec": "double", "optimization_elapsed_sec": "double",
+}
+RESULTS = "source_target int, gamma double, final_clusters int, raw_clusters int, ic double, admission_mode string, n_iterations int, excluded boolean, exclusion_reason string, task int, " + ", ".join(f"{k} {v}" for k, v in NOTES.items())
 
 
 def _assembled(study: Study, labels: DataFrame | None, rows: list[dict], excluded: set[int], by_hits: bool, manual: bool):
@@ -229,19 +244,27 @@ def _assembled(study: Study, labels: DataFrame | None, rows: list[dict], exclude
     chosen = {r["task"]: (r["target"], r["gamma"]) for r in rows if r["task"] is not None}
     boots = meis = best = None
     by_task: dict[int, tuple] = {}
+    began, medians = time.monotonic(), {}
     if chosen:
-        boots, meis, best = study.finished(labels, chosen, p.n_trials, by_hits)
+        boots, meis, best, raw = study.finished(labels, chosen, p.n_trials, by_hits)
         boots, best = study.keep(boots), study.keep(best)
         middles = {r.task: r.ic_median for r in S.interval(boots, keys=["task"]).collect()}
         finals = {r.task: r.n for r in best.groupBy("task").agg(F.countDistinct("label").alias("n")).collect()}
-        raws = {r.task: int(r.raw) for r in study.counted(labels.where(F.col("task").isin(list(chosen)))).groupBy("task").agg(F.median("raw_clusters").alias("raw")).collect()}
+        raws = {r.task: r.best_raw for r in raw.collect()}
         by_task = {t: (middles[t], finals[t], raws[t]) for t in chosen}
+        names = [f"{c}_clusters" for c in ("effective", "raw", "final")]
+        counted = study.counted(labels.where(F.col("task").isin(list(chosen)))).groupBy("task").agg(*[F.median(c).alias(c) for c in names])
+        medians = {r.task: {c.replace("_clusters", "_cluster_median"): float(r[c]) for c in names} for r in counted.collect()}
+    last = time.monotonic() - began
     table = []
     for r in rows:
         ic, final, raw = by_task.get(r["task"], (None, None, None))
         failed = r["task"] is None
-        table.append((r["target"], r["gamma"], final, raw, ic, r["mode"], r["iterations"], failed, "optimization_admission_failed" if failed else "none", r["task"]))
-    table += [(k, None, None, None, None, "none", None, True, "high_inconsistency", None) for k in sorted(excluded)]
+        said = r | medians.get(r["task"], {}) | ({"phase5_elapsed_sec": last} if "phase4_elapsed_sec" in r and not failed else {})
+        if "phase1_elapsed_sec" in r:
+            said["optimization_elapsed_sec"] = sum(said.get(f"phase{k}_elapsed_sec") or 0.0 for k in (1, 4, 5))
+        table.append((r["target"], r["gamma"], final, raw, ic, r["mode"], r["iterations"], failed, "optimization_admission_failed" if failed else "none", r["task"], *[said.get(c) for c in NOTES]))
+    table += [(k, None, None, None, None, "none", None, True, "high_inconsistency", None, *[None] * len(NOTES)) for k in sorted(excluded)]
     return spark.createDataFrame(table, RESULTS), boots, meis, best
 
 
@@ -272,7 +295,7 @@ def evaluate_consistency(graph: GraphData, cluster_fn: ClusterFn | None = None,
         return _by_resolution(study)
     spark = study.spark
     low, high = _bounds(p)
-    found = Search(spark, study.probe, study.n, p.objective, low, high, p.resolution_tolerance, p.probe_parallelism).run(list(p.cluster_range))
+    found = Search(spark, study.probe, study.n, p.objective, low, high, p.resolution_tolerance, p.probe_parallelism, p.min_cluster_size).run(list(p.cluster_range))
     intervals = study.keep(found.intervals)
     ready = [r for r in intervals.where("bracketed").collect()]
     excluded = _prefiltered(study, ready)
@@ -282,7 +305,7 @@ def evaluate_consistency(graph: GraphData, cluster_fn: ClusterFn | None = None,
         warnings.warn(f"no resolution was found for cluster counts {R.compact_ranges(found.uncovered)}", stacklevel=2)
     targets = spark.createDataFrame([(k,) for k in p.cluster_range], "target int")
     meta = {"analysis_mode": "cluster_range", "coverage_complete": found.coverage_complete, "plateau_stop": found.plateau_stop, "uncovered_targets": found.uncovered, "upper_gamma": found.upper_gamma, "upper_cap_stop_reason": found.stop_reason, "coarse_probe_count": found.coarse_probes, "n_cells": study.n}
-    return _result(study, table, boots, meis, best, lambda chosen: R.target_diagnostics(chosen, targets, intervals), None, found.probes, meta)
+    return _result(study, table, boots, meis, best, lambda chosen: R.full_target_diagnostics(chosen, targets, intervals), None, R.probe_diagnostics(found), meta)
 
 
 def _by_resolution(study: Study) -> R.ConsistencyResult:
@@ -293,4 +316,4 @@ def _by_resolution(study: Study) -> R.ConsistencyResult:
     chosen = [{"target": t, "gamma": g, "ic": None, "task": t, "mode": "manual_resolution", "iterations": p.n_iterations} for t, g in named.items()]
     table, boots, meis, best = _assembled(study, labels, chosen, set(), False, True)
     meta = {"analysis_mode": "resolution", "coverage_complete": True, "plateau_stop": False, "uncovered_targets": [], "n_cells": study.n}
-    return _result(study, table, boots, meis, best, None, lambda t: R.resolution_diagnostics(t.select("gamma", "final_clusters", "raw_clusters", "ic", "n_iterations")), None, meta)
+    return _result(study, table, boots, meis, best, None, R.full_resolution_diagnostics, None, meta)

@@ -17,7 +17,7 @@ from concord.plans import admission as A
 from concord.plans import results as V
 from concord.plans import search as P
 from concord.plans.api import evaluate_consistency
-from concord.plans.params import MULTIPLIERS, SIZE_CLASSES
+from concord.plans.params import recommended_table
 from concord.operators.leiden import TASKS, adjacency, run_tasks
 from concord.sources import tables as T
 
@@ -67,7 +67,7 @@ boot AS (
     SELECT b, 64.0 / sum(x.w * y.w * CASE WHEN x.trial = y.trial THEN 1 ELSE m.ecs END) AS ic
     FROM weights x JOIN weights y USING (b) LEFT JOIN matrix m ON m.i = least(x.trial, y.trial) AND m.j = greatest(x.trial, y.trial) GROUP BY b)"""
 PLANTED = """half AS (
-    SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON a.p_partkey < b.p_partkey AND b.p_partkey < 200
+    SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON a.p_partkey // 200 = b.p_partkey // 200 AND a.p_partkey < b.p_partkey
     WHERE (a.p_partkey*7919 + b.p_partkey*104729) % 100 < CASE WHEN a.p_partkey % 10 = b.p_partkey % 10 THEN 50 ELSE 2 END),
 edges AS (SELECT a AS src, b AS dst, 1.0::DOUBLE AS weight FROM half UNION ALL SELECT b, a, 1.0::DOUBLE FROM half)"""
 COPARTS = """rows_ AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem),
@@ -199,7 +199,7 @@ def hit_counts(spark, sf):
 
 @query(f"WITH {PLANTED} SELECT * FROM edges")
 def planted_graph(spark, sf):
-    return T.planted(_parts(spark, sf))
+    return T.planted_blocks(_parts(spark, sf)).edges
 
 
 @query(f"WITH {COPARTS} SELECT * FROM edges")
@@ -238,8 +238,9 @@ def snn_graph(spark, sf):
     return rounded(N.shared_neighbours(N.nearest_exact(vectors, 20), 20), "weight")
 
 
-SMALL = f"""{PLANTED},
-labels AS (SELECT p_partkey AS cell_idx, 1 AS trial, (CASE WHEN p_partkey % 37 = 0 THEN 20 + p_partkey % 3 ELSE p_partkey % 10 END)::INT AS label FROM part WHERE p_partkey < 200),
+#: Clusters of three among ten large ones, on the graph of all orders.
+SMALL = f"""{COPARTS},
+labels AS (SELECT p_partkey AS cell_idx, 1 AS trial, (CASE WHEN p_partkey % 37 = 0 THEN 20 + p_partkey // 111 ELSE p_partkey % 10 END)::INT AS label FROM part),
 sizes AS (SELECT label, count(*) AS size FROM labels GROUP BY label),
 small AS (SELECT label AS small, size AS n_small FROM sizes WHERE size < 5), large AS (SELECT label AS large, size AS n_large FROM sizes WHERE size >= 5),
 w AS (SELECT a.label AS small, b.label AS large, sum(weight) AS w FROM edges JOIN labels a ON a.cell_idx = src JOIN labels b ON b.cell_idx = dst GROUP BY ALL),
@@ -248,13 +249,13 @@ conn AS (SELECT small, large, coalesce(w, 0) / (n_small * n_large) AS mean_weigh
 
 def _small_labels(spark, sf):
     key = F.col("p_partkey")
-    label = F.when(key % 37 == 0, 20 + key % 3).otherwise(key % 10).cast("int")
-    return _parts(spark, sf).where(key < 200).select(F.lit(1).alias("trial"), key.alias("cell_idx"), label.alias("label"))
+    label = F.when(key % 37 == 0, 20 + F.floor(key / 111)).otherwise(key % 10).cast("int")
+    return _parts(spark, sf).select(F.lit(1).alias("trial"), key.alias("cell_idx"), label.alias("label"))
 
 
 @query(f"WITH {SMALL} SELECT 1 AS trial, small, large, round(mean_weight, 6) AS mean_weight FROM conn")
 def small_cluster_connectivity(spark, sf):
-    return rounded(M.connectivity(T.planted(_parts(spark, sf)), _small_labels(spark, sf), 5, ["trial"]), "mean_weight")
+    return rounded(M.connectivity(T.co_parts(T.read(spark, sf, "lineitem")), _small_labels(spark, sf), 5, ["trial"]), "mean_weight")
 
 
 @query(f"""WITH {SMALL},
@@ -262,32 +263,7 @@ best AS (SELECT small, large FROM (SELECT *, row_number() OVER (PARTITION BY sma
 moved AS (SELECT trial, cell_idx, coalesce(large, label) AS label FROM labels LEFT JOIN best ON small = label)
 SELECT trial, cell_idx, (dense_rank() OVER (ORDER BY label) - 1)::INT AS label FROM moved""")
 def merge_small_clusters(spark, sf):
-    return M.merged(T.planted(_parts(spark, sf)), _small_labels(spark, sf), 5, ["trial"])
-
-
-#: All parts: clusters of three among ten large ones, on the graph of the whole table.
-WHOLE = f"""{COPARTS},
-labels AS (SELECT p_partkey AS cell_idx, 1 AS trial, (CASE WHEN p_partkey % 37 = 0 THEN 20 + p_partkey // 111 ELSE p_partkey % 10 END)::INT AS label FROM part),
-{SMALL[SMALL.index("sizes AS"):]}"""
-
-
-def _whole_labels(spark, sf):
-    key = F.col("p_partkey")
-    label = F.when(key % 37 == 0, 20 + F.floor(key / 111)).otherwise(key % 10).cast("int")
-    return _parts(spark, sf).select(F.lit(1).alias("trial"), key.alias("cell_idx"), label.alias("label"))
-
-
-@query(f"WITH {WHOLE} SELECT 1 AS trial, small, large, round(mean_weight, 6) AS mean_weight FROM conn")
-def small_cluster_connectivity_whole(spark, sf):
-    return rounded(M.connectivity(T.co_parts(T.read(spark, sf, "lineitem")), _whole_labels(spark, sf), 5, ["trial"]), "mean_weight")
-
-
-@query(f"""WITH {WHOLE},
-best AS (SELECT small, large FROM (SELECT *, row_number() OVER (PARTITION BY small ORDER BY mean_weight DESC, large) AS r FROM conn) WHERE r = 1),
-moved AS (SELECT trial, cell_idx, coalesce(large, label) AS label FROM labels LEFT JOIN best ON small = label)
-SELECT trial, cell_idx, (dense_rank() OVER (ORDER BY label) - 1)::INT AS label FROM moved""")
-def merge_small_clusters_whole(spark, sf):
-    return M.merged(T.co_parts(T.read(spark, sf, "lineitem")), _whole_labels(spark, sf), 5, ["trial"])
+    return M.merged(T.co_parts(T.read(spark, sf, "lineitem")), _small_labels(spark, sf), 5, ["trial"])
 
 
 QUALITY = f"{COPARTS}, {TRIALS}, inside AS (SELECT a.trial, sum(weight) AS w FROM edges JOIN trials a ON a.cell_idx = src JOIN trials b ON b.cell_idx = dst AND a.trial = b.trial AND a.label = b.label GROUP BY a.trial)"
@@ -440,13 +416,8 @@ def seed_dedup(spark, sf):
 pos AS (SELECT DISTINCT round_even(k * ((SELECT max(n) FROM r) - 1) / 7.0::DOUBLE, 0)::BIGINT AS i FROM (SELECT unnest(range(0, 8)) AS k))
 SELECT g AS gamma FROM r JOIN pos USING (i)""")
 def even_spacing(spark, sf):
-    from pyspark.sql import Window
-
-    values = _parts(spark, sf).select((F.col("p_size") / 10).alias("gamma")).distinct()
-    ranked = values.withColumn("i", F.row_number().over(Window.orderBy("gamma")) - 1)  # sizes: fifty values
-    n = ranked.agg(F.max("i").alias("last"))
-    places = n.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.bround(k * F.col("last") / 7.0).cast("int"))).alias("i")).distinct()
-    return ranked.join(F.broadcast(places), "i").select("gamma")
+    values = [r.gamma for r in _parts(spark, sf).select((F.col("p_size") / 10).alias("gamma")).distinct().collect()]  # sizes: fifty values
+    return spark.createDataFrame([(v,) for v in G.evenly_selected(values, 8)], "gamma double")
 
 
 EVALS = """evals AS (
@@ -503,8 +474,18 @@ def _gamma_ic(spark, sf):
 
 @query(f"WITH {GIC} SELECT (1 + g // 3)::INT AS target, round(min(ic), 6) AS least_ic, min(ic) >= 1.15::DOUBLE AS excluded FROM gic GROUP BY 1")
 def prefilter_targets(spark, sf):
-    found = _gamma_ic(spark, sf).groupBy((1 + F.floor(F.col("g") / 3)).cast("int").alias("target")).agg(F.min("ic").alias("least_ic"))
-    return rounded(found.withColumn("excluded", F.col("least_ic") >= 1.15), "least_ic")
+    targets = _gamma_ic(spark, sf).select((1 + F.floor(F.col("g") / 3)).cast("int").alias("target"), "ic")
+    return rounded(A.prefiltered(targets, 1.15), "least_ic")
+
+
+@query(f"""WITH {EVALS}, c AS (SELECT target, gamma, ic, id % 4 = 0 AS stable, CASE WHEN target % 2 = 0 THEN 4 ELSE 2 END AS most FROM evals),
+p AS (SELECT *, round(ic, 12) AS r, quantile_cont(round(ic, 12), 0.5) OVER (PARTITION BY target) AS middle, row_number() OVER (PARTITION BY target ORDER BY round(ic, 12), gamma) = 1 AS best,
+    stable AND row_number() OVER (PARTITION BY target ORDER BY stable DESC, round(ic, 12), gamma) = 1 AS steady FROM c),
+k AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY best DESC, steady DESC, r, gamma) AS place FROM p WHERE r <= middle OR stable OR best)
+SELECT target, gamma, round(ic, 6) AS ic, stable FROM k WHERE place <= most""")
+def refinement_keep(spark, sf):
+    rows = _evals(spark, sf).select("target", "gamma", "ic", (F.col("id") % 4 == 0).alias("stable"), F.when(F.col("target") % 2 == 0, 4).otherwise(2).alias("limit"))
+    return rounded(A.kept_candidates(rows).select("target", "gamma", "ic", "stable"), "ic")
 
 
 RES = "res AS (SELECT s_suppkey::INT AS source_target, s_suppkey / 100.0::DOUBLE AS gamma, (2 + s_suppkey % 7)::INT AS final_clusters, CASE WHEN s_suppkey % 13 = 0 THEN NULL ELSE 1 + (s_suppkey * 37 % 101) / 1000.0::DOUBLE END AS ic, s_suppkey % 5 = 0 AS excluded, CASE WHEN s_suppkey % 5 = 0 THEN 'high_inconsistency' ELSE 'none' END AS why FROM supplier)"
@@ -527,12 +508,14 @@ def rekey_results(spark, sf):
 
 
 @query(f"""WITH {REKEYED}, {INTERVALS},
-best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_target ORDER BY CASE WHEN selected_main_result THEN 1 WHEN NOT excluded THEN 2 ELSE 3 END, ic NULLS LAST, gamma NULLS LAST) AS r FROM rekeyed WHERE source_target % 3 <> 0) WHERE r = 1)
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_target ORDER BY CASE WHEN selected_main_result THEN 1 WHEN NOT excluded THEN 2 ELSE 3 END, ic NULLS LAST, gamma NULLS LAST) AS r FROM rekeyed) WHERE r = 1),
+odd AS (SELECT (2 * s_suppkey - 1)::INT AS target FROM supplier)
 SELECT t.target, gamma_left, gamma_right, gamma, final_clusters, round(ic, 6) AS ic, coalesce(selected_main_result, false) AS selected_main_result, coalesce(excluded, true) AS excluded,
 CASE WHEN source_target IS NULL THEN CASE WHEN coalesce(bracketed, false) THEN 'optimization_admission_failed' ELSE 'resolution_search_failed' END WHEN selected_main_result THEN 'selected_main_result' WHEN excluded THEN exclusion_reason ELSE 'candidate' END AS result_status
-FROM targets t LEFT JOIN best ON source_target = t.target LEFT JOIN intervals i ON i.target = t.target""")
+FROM odd t LEFT JOIN best ON source_target = t.target LEFT JOIN intervals i ON i.target = t.target""")
 def target_diagnostics(spark, sf):
-    return rounded(V.target_diagnostics(_rekeyed(spark, sf).where("source_target % 3 <> 0"), _targets(spark), _intervals(spark, sf)), "ic")
+    targets = T.read(spark, sf, "supplier").select((2 * F.col("s_suppkey") - 1).cast("int").alias("target"))  # the upper half has no results
+    return rounded(V.target_diagnostics(_rekeyed(spark, sf), targets, _intervals(spark, sf)), "ic")
 
 
 @query(f"WITH {RES} SELECT gamma, final_clusters, round(ic, 6) AS ic, row_number() OVER (PARTITION BY final_clusters ORDER BY ic NULLS LAST, gamma) = 1 AS selected FROM res")
@@ -597,7 +580,7 @@ def plot_ic_data(spark, sf):
 
 @query(f"WITH {MAIN} SELECT n_cluster, round(ic, 6) AS ic, gamma FROM main")
 def plot_stability_data(spark, sf):
-    return rounded(_main(spark, sf).select("n_cluster", "ic", "gamma"), "ic")
+    return rounded(V.stability_points(_main(spark, sf)), "ic")
 
 
 @query("""WITH v AS (SELECT p_retailprice AS x FROM part), e AS (SELECT min(x) AS lo, max(x) AS hi FROM v)
@@ -610,21 +593,8 @@ def ic_histogram(spark, sf):
 c AS (SELECT n_cells, analysis, m, CASE WHEN n_cells < 1000 THEN [2, 8, 2, 10, 50] WHEN n_cells < 10000 THEN [2, 12, 4, 12, 75] WHEN n_cells < 50000 THEN [3, 20, 6, 10, 50] ELSE [5, 25, 8, 8, 30] END AS p FROM g, a)
 SELECT n_cells, analysis, p[1]::INT AS k_min, p[2]::INT AS k_max, p[3]::INT AS parallelism, greatest(5, round_even(p[4] * m, 0))::INT AS n_trials, greatest(20, round_even(p[5] * m, 0))::INT AS n_bootstrap, CASE WHEN n_cells < 1000 THEN 'modularity' ELSE 'CPM' END AS objective FROM c""")
 def recommended_parameters(spark, sf):
-    n = F.col("n_cells")
     sizes = T.read(spark, sf, "lineitem").select((F.col("l_suppkey") * 700).alias("n_cells")).distinct()
-    kinds = F.explode(F.array(*[F.struct(F.lit(a).alias("analysis"), F.lit(m).alias("m")) for a, m in MULTIPLIERS.items()]))
-    rows = sizes.select("n_cells", kinds.alias("a")).select("n_cells", "a.*")
-
-    def by_size(pick):
-        out = F.lit(pick(SIZE_CLASSES[-1]))
-        for c in reversed(SIZE_CLASSES[:-1]):
-            out = F.when(n < c[0], pick(c)).otherwise(out)
-        return out
-
-    return rows.select(
-        "n_cells", "analysis", by_size(lambda c: c[1][0]).alias("k_min"), by_size(lambda c: c[1][1]).alias("k_max"), by_size(lambda c: c[2]).alias("parallelism"),
-        F.greatest(F.lit(5), F.bround(by_size(lambda c: c[3]) * F.col("m")).cast("int")).alias("n_trials"), F.greatest(F.lit(20), F.bround(by_size(lambda c: c[4]) * F.col("m")).cast("int")).alias("n_bootstrap"), by_size(lambda c: c[5]).alias("objective"),
-    )
+    return recommended_table(sizes)
 
 
 @query("""SELECT 'normalized' AS step, (SELECT count(*) FROM part) AS n_rows, (SELECT count(*) FROM part) > 0 AS ready, '' AS suggestion
@@ -662,5 +632,5 @@ def consistency_by_resolution(spark, sf):
 
 @query()
 def consistency_by_cluster_range(spark, sf):
-    found = evaluate_consistency(T.planted_graph(_parts(spark, sf)), cluster_range=[2, 10], n_trials=5, n_bootstrap=20, seed=1, remove_threshold=float("inf"))
+    found = evaluate_consistency(T.planted_blocks(_parts(spark, sf)), cluster_range=[2, 10], n_trials=5, n_bootstrap=20, seed=1)
     return found.target_diagnostics

@@ -6,6 +6,9 @@ import logging
 import math
 from dataclasses import dataclass
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 logger = logging.getLogger("concord")
 
 #: Fixed values: (cells below, targets, parallelism, trials, bootstraps, objective).
@@ -68,12 +71,37 @@ def checked(**given) -> Params:
             given[name] = _whole(name, given[name])
     if given.get("objective", "CPM") not in ("CPM", "modularity", "cpm_linear"):
         raise ValueError("objective must be CPM, modularity or cpm_linear")
+    for name in ("ic_threshold", "remove_threshold"):
+        if name in given and not (isinstance(given[name], (int, float)) and not isinstance(given[name], bool) and given[name] >= 1):
+            raise ValueError(f"{name} must be a number of at least 1")
+    if "seed" in given:
+        given["seed"] = _whole("seed", given["seed"], 0)
     for name in ("beta", "resolution_tolerance"):
         if name in given and not (math.isfinite(given[name]) and given[name] > 0):
             raise ValueError(f"{name} must be positive and finite")
     return Params(**{k: v for k, v in given.items() if v is not None})
 
 
+def recommended_table(sizes: DataFrame) -> DataFrame:
+    """The recommendations for each row of ``sizes`` (n_cells), one for each kind of analysis."""
+    n, m = F.col("n_cells"), F.col("m")
+    kinds = F.explode(F.array(*[F.struct(F.lit(a).alias("analysis"), F.lit(x).alias("m")) for a, x in MULTIPLIERS.items()]))
+
+    def by_size(pick):
+        out = F.lit(pick(SIZE_CLASSES[-1]))
+        for c in reversed(SIZE_CLASSES[:-1]):
+            out = F.when(n < c[0], pick(c)).otherwise(out)
+        return out
+
+    def scaled(least: int, place: int):
+        return F.greatest(F.lit(least), F.bround(by_size(lambda c: c[place]) * m).cast("int"))
+
+    return sizes.select("n_cells", kinds.alias("a")).select("n_cells", "a.*").select(
+        "n_cells", "analysis", by_size(lambda c: c[1][0]).alias("k_min"), by_size(lambda c: c[1][1]).alias("k_max"), by_size(lambda c: c[2]).alias("parallelism"),
+        scaled(5, 3).alias("n_trials"), scaled(20, 4).alias("n_bootstrap"), by_size(lambda c: c[5]).alias("objective"),
+    )
+
+
 def recommended(n_cells: int, analysis: str = "standard") -> dict:
     """Parameters for a graph of this size, and a rough runtime."""
     if analysis not in MULTIPLIERS:

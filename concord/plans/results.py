@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from concord.functions.rules import search_state
 from concord.operators.similarity import interval
 
 
@@ -68,6 +69,53 @@ def resolution_diagnostics(results: DataFrame) -> DataFrame:
     return results.withColumn("selected", F.row_number().over(order) == 1)
 
 
+def full_target_diagnostics(results: DataFrame, targets: DataFrame, intervals: DataFrame) -> DataFrame:
+    """One row for each requested target with all that is known of its evaluation: medians, phases, seconds, and its fate.
+
+    All targets advance together, so seconds of a phase are those of the job that served all of them.
+    """
+    status = target_diagnostics(results, targets, intervals).select("target", "gamma_left", "gamma_right", "selected_main_result", "excluded", "result_status")
+    order = Window.partitionBy("source_target").orderBy(F.desc("selected_main_result"), "excluded", F.col("ic").asc_nulls_last(), F.col("gamma").asc_nulls_last())
+    best = results.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r", "selected_main_result", "excluded")
+    counts = [f"{a}_cluster_median" for a in ("effective", "raw", "final")]
+    phases = ["phase1_primary_gamma_count", "phase1_secondary_gamma_count", "phase1_total_gamma_count", "phase1_elapsed_sec", "phase1_leiden_runs", "secondary_phase1_used"]
+    ends = ["exact_hit_gamma_count", "phase4_iterations", "phase4_elapsed_sec", "phase5_elapsed_sec", "optimization_elapsed_sec"]
+    return status.join(best, status["target"] == best["source_target"], "left").select(
+        F.col("target").alias("requested_target_cluster"), F.col("target").alias("searched_target_cluster"), F.lit(True).alias("requested_by_user"),
+        "gamma_left", "gamma_right", "gamma", "ic", *counts,
+        F.col("raw_clusters").alias("best_labels_raw_cluster_count"), F.col("final_clusters").alias("best_labels_final_cluster_count"),
+        *phases, *ends, "excluded", F.coalesce("exclusion_reason", "result_status").alias("exclusion_reason"), "selected_main_result", "result_status",
+    )
+
+
+def full_resolution_diagnostics(results: DataFrame) -> DataFrame:
+    """One row for each given resolution: its counts, medians and ic, and whether it stands for its cluster count."""
+    return resolution_diagnostics(results).select(
+        F.col("gamma").alias("resolution"), F.col("final_clusters").alias("cluster_number"), "ic", "effective_cluster_median", "raw_cluster_median", "final_cluster_median",
+        F.col("raw_clusters").alias("best_labels_raw_cluster_count"), F.col("final_clusters").alias("best_labels_final_cluster_count"), F.col("n_iterations").alias("n_iter"), "selected",
+    )
+
+
+def probe_diagnostics(found) -> DataFrame:
+    """One row for each probe of a search (as of ``search.Search.run``): where it lies, what it found, and what it was used for.
+
+    ``raw_class`` and ``over_fragmented`` are of the largest target, which steers the search for the upper end.
+    """
+    used = found.intervals.select(F.explode("seed_gammas").alias("gamma")).distinct().withColumn("_used", F.lit(True))
+    state = search_state(F.col("raw_clusters"), F.col("effective_clusters"), F.lit(found.top_target), found.min_cluster_size)
+    discovered = F.col("probe_stage") == "upper_cap_discovery"
+    rows = found.probes.join(F.broadcast(used), "gamma", "left").withColumn("_s", state)  # seeds: a few for each target
+    return rows.select(
+        "sweep_round", "discovery_round", "probe_stage", "probe_index", F.lit(None).cast("int").alias("probe_pid"), "probe_elapsed_sec", "gamma",
+        F.when(discovered, F.col("gamma")).alias("upper_cap_discovery_gamma"), "degenerate_high_gamma", F.lit(found.parallelism).alias("scheduled_probe_workers"),
+        F.lit(found.coarse_probes).cast("int").alias("coarse_probe_count"), F.lit(found.upper_gamma).cast("double").alias("discovered_upper_gamma"),
+        F.lit(found.stop_reason).cast("string").alias("upper_cap_stop_reason"), "refinement_interval_width", "refinement_interval_id", "refinement_points_per_interval",
+        F.col("effective_clusters").cast("double").alias("effective_cluster_count"), F.col("raw_clusters").cast("double").alias("raw_cluster_count"),
+        F.col("final_clusters").cast("double").alias("final_cluster_count"), F.col("_s.raw_class").alias("raw_class"), F.col("_s.over_fragmented").alias("over_fragmented"),
+        (F.col("probe_stage") == "refinement").alias("selected_for_refinement"), F.coalesce("_used", F.lit(False)).alias("selected_for_target_interval"), "plateau_round",
+    )
+
+
 def robust_labels(main: DataFrame, best_labels: DataFrame, cells: DataFrame, counts: list[int], threshold: float = 1.005) -> DataFrame:
     """cell_id and a column clusters_<k>, from 1, for each consistent count; ``counts``: the counts to pivot, known beforehand."""
     good = main.where(F.col("ic") < threshold).select("n_cluster")
@@ -109,6 +157,38 @@ def consistency_points(main: DataFrame, ic_bootstrap: DataFrame, threshold: floa
     return ic_bootstrap.join(head, "n_cluster").select("n_cluster", F.col("ic"), "is_consistent", "tick_label")
 
 
+@dataclass(frozen=True)
+class ConsistencyPlot:
+    """What a plot of consistency shows: points, the excluded targets, the axis, and a message in place of points."""
+
+    points: DataFrame
+    excluded: list[int]
+    low: float
+    high: float
+    message: str | None
+
+
+def consistency_plot(main: DataFrame, ic_bootstrap: DataFrame, diagnostics: DataFrame | None = None, threshold: float = 1.005) -> ConsistencyPlot:
+    """Points of the counts with a known ic; the axis goes from 0.99 to 1.05 times the largest value."""
+    points = consistency_points(main.where(F.col("ic").isNotNull()), ic_bootstrap, threshold)
+    top = points.agg(F.max("ic")).first()[0]
+    out = excluded_targets(diagnostics).select("searched_target_cluster").distinct().collect() if diagnostics is not None else []
+    return ConsistencyPlot(points, sorted(r[0] for r in out), 0.99, 1.05 * (top if top is not None else 1.0), None if top is not None else "no consistent cluster numbers were found")
+
+
+def stability_points(main: DataFrame) -> DataFrame:
+    """One row for each count: n_cluster, ic, gamma."""
+    return main.select("n_cluster", "ic", "gamma").dropDuplicates(["n_cluster"])
+
+
+def stability_histogram(main: DataFrame, ic_bootstrap: DataFrame, n_cluster: int, bins: int = 30) -> tuple[DataFrame, float]:
+    """The bins of one count's bootstrap values, and their median; raises if the count is not among the results."""
+    if main.where(F.col("n_cluster") == n_cluster).isEmpty():
+        raise ValueError(f"cluster number {n_cluster} is not among the results")
+    own = ic_bootstrap.where(F.col("n_cluster") == n_cluster)
+    return histogram(own, "ic", bins), own.agg(F.median("ic")).first()[0]
+
+
 def histogram(values: DataFrame, column: str = "ic", bins: int = 30) -> DataFrame:
     """bin (from 0), low, high, count: equal bins over the range; the last includes the maximum."""
     ends = values.agg(F.min(column).alias("lo"), F.max(column).alias("hi"))
@@ -161,4 +241,4 @@ def excluded_targets(diagnostics: DataFrame) -> DataFrame:
 
 
 def tested_targets(diagnostics: DataFrame) -> int:
-    return diagnostics.select("target").distinct().count()
+    return diagnostics.select("requested_target_cluster").distinct().count()

@@ -6,6 +6,7 @@ Probes are rows (gamma, raw_clusters, effective_clusters, final_clusters); targe
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -17,7 +18,8 @@ from concord.functions import rules as R
 
 PROBE_SCHEMA = (
     "gamma double, raw_clusters int, effective_clusters int, final_clusters int, probe_stage string, sweep_round int, "
-    "discovery_round int, degenerate_high_gamma boolean"
+    "discovery_round int, degenerate_high_gamma boolean, probe_index int, probe_elapsed_sec double, plateau_round int, "
+    "refinement_interval_width double, refinement_interval_id int, refinement_points_per_interval int"
 )
 
 
@@ -122,6 +124,9 @@ class SearchResult:
     upper_gamma: float | None
     stop_reason: str | None
     coarse_probes: int | None
+    top_target: int | None = None
+    min_cluster_size: int = 1
+    parallelism: int = 1
 
 
 Prober = Callable[[list[float]], DataFrame]
@@ -130,23 +135,28 @@ Prober = Callable[[list[float]], DataFrame]
 class Search:
     """``probe(gammas)`` gives (gamma, raw_clusters, effective_clusters, final_clusters) of one clustering for each gamma."""
 
-    def __init__(self, spark: SparkSession, probe: Prober, n_vertices: int, objective: str, low: float, high: float, tolerance: float = 1e-8, parallelism: int = 4):
+    def __init__(self, spark: SparkSession, probe: Prober, n_vertices: int, objective: str, low: float, high: float, tolerance: float = 1e-8, parallelism: int = 4, min_cluster_size: int = 1):
+        self.min_cluster_size = min_cluster_size
         self.spark, self.probe, self.n, self.objective = spark, probe, n_vertices, objective
         self.low, self.high, self.tolerance, self.parallelism = low, high, tolerance, parallelism
         self.rows: list[dict] = []
 
-    def _run(self, gammas: list[float], stage: str, sweep: int, discovery: int | None = None) -> list[dict]:
+    def _run(self, gammas: list[float], stage: str, sweep: int, discovery: int | None = None, plan: dict[float, dict] | None = None) -> list[dict]:
+        """Probes what is new of the resolutions, in one job: a probe's seconds are its share of the job's."""
         gammas = sorted(set(gammas) - {r["gamma"] for r in self.rows})
         if not gammas:
             return []
+        began = time.monotonic()
         found = self.probe(gammas).withColumn("degenerate_high_gamma", R.degenerate(F.col("raw_clusters"), F.col("effective_clusters"), F.col("final_clusters"), self.n))
-        rows = sorted((r.asDict() | {"probe_stage": stage, "sweep_round": sweep, "discovery_round": discovery} for r in found.collect()), key=lambda r: r["gamma"])
+        rows = sorted((r.asDict() | {"probe_stage": stage, "sweep_round": sweep, "discovery_round": discovery, "plateau_round": 0} for r in found.collect()), key=lambda r: r["gamma"])
+        for k, r in enumerate(rows):
+            r |= {"probe_index": k + 1, "probe_elapsed_sec": (time.monotonic() - began) / len(rows)} | (plan or {}).get(r["gamma"], {})
         self.rows = sorted([*self.rows, *rows], key=lambda r: r["gamma"])
         return rows
 
     def table(self) -> DataFrame:
         names = [c.split()[0] for c in PROBE_SCHEMA.split(", ")]
-        return self.spark.createDataFrame([tuple(r[n] for n in names) for r in self.rows], PROBE_SCHEMA)
+        return self.spark.createDataFrame([tuple(r.get(n) for n in names) for r in self.rows], PROBE_SCHEMA)
 
     def discover(self, target: int) -> tuple[float, str]:
         """The largest resolution worth probing, and why the search for it ended."""
@@ -181,7 +191,7 @@ class Search:
         targets = sorted(set(targets))
         wanted = spark.createDataFrame([(t,) for t in targets], "target int")
         if not targets:
-            return SearchResult(target_intervals(self.table(), wanted, self.low, self.high), self.table(), [], True, False, None, None, None)
+            return SearchResult(target_intervals(self.table(), wanted, self.low, self.high), self.table(), [], True, False, None, None, None, None, self.min_cluster_size, self.parallelism)
         upper, reason = self.high, None
         if self.objective == "CPM":
             upper, reason = self.discover(targets[-1])
@@ -196,13 +206,16 @@ class Search:
             top = max((r["final_clusters"] for r in self.rows if r["final_clusters"] is not None), default=None)
             if sweep > 2:
                 plateau = plateau + 1 if (top, ready) == (before, ready_before) else 0
+                for r in self.rows:
+                    if r["sweep_round"] == sweep - 1:
+                        r["plateau_round"] = plateau
             before, ready_before = top, ready
             if ready == len(rows) or plateau >= 2:
                 break
             plan = refinement_plan(intervals.where(~F.col("optimization_ready")), self.table(), log, self.tolerance, self.parallelism)
-            values = [r.gamma for r in plan.select("gamma").collect()]
-            if not self._run(values, "refinement", sweep):
+            planned = {r.gamma: {"refinement_interval_width": r.width, "refinement_interval_id": r.target, "refinement_points_per_interval": r.points} for r in plan.collect()}
+            if not self._run(list(planned), "refinement", sweep, plan=planned):
                 break
         intervals = target_intervals(self.table(), wanted, self.low, upper)
         uncovered = sorted(r.target for r in intervals.where("not bracketed").collect())
-        return SearchResult(intervals, self.table(), uncovered, not uncovered, plateau >= 2, upper, reason, coarse)
+        return SearchResult(intervals, self.table(), uncovered, not uncovered, plateau >= 2, upper, reason, coarse, targets[-1], self.min_cluster_size, self.parallelism)

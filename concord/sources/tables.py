@@ -71,18 +71,8 @@ def gamma_trials(parts: DataFrame, steps: int = 12, n: int = 8) -> DataFrame:
     return rows.select("g", "trial", F.col("p_partkey").alias("cell_idx"), trial_label(F.col("trial").cast("long"), F.col("g")).alias("label"))
 
 
-def planted(parts: DataFrame, vertices: int = 200) -> DataFrame:
-    """Edges of a graph with ten blocks over the first parts, by an integer rule; the number of vertices is the fixture's."""
-    few = parts.where(F.col("p_partkey") < vertices).select("p_partkey")
-    a, b = few.select(F.col("p_partkey").alias("a")), few.select(F.col("p_partkey").alias("b"))
-    limit = F.when(F.col("a") % 10 == F.col("b") % 10, 50).otherwise(2)
-    half = a.join(F.broadcast(b), F.col("a") < F.col("b")).where((F.col("a") * 7919 + F.col("b") * 104729) % 100 < limit)
-    one = half.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit(1.0).alias("weight"))
-    return one.unionByName(half.select(F.col("b").alias("src"), F.col("a").alias("dst"), F.lit(1.0).alias("weight")))
-
-
 def planted_blocks(parts: DataFrame, size: int = 200) -> GraphData:
-    """The rule of ``planted`` over all parts, sparse: edges lie within blocks of ``size`` neighbouring ids."""
+    """A graph with ten groups in each block of ``size`` neighbouring ids, by an integer rule; edges lie within blocks."""
     block = F.floor(F.col("p_partkey") / size).alias("block")
     a, b = parts.select(block, F.col("p_partkey").alias("a")), parts.select(block, F.col("p_partkey").alias("b"))
     limit = F.when(F.col("a") % 10 == F.col("b") % 10, 50).otherwise(2)
@@ -92,11 +82,6 @@ def planted_blocks(parts: DataFrame, size: int = 200) -> GraphData:
     return GraphData(cells, one.unionByName(half.select(F.col("b").alias("src"), F.col("a").alias("dst"), F.lit(1.0).alias("weight"))))
 
 
-def planted_graph(parts: DataFrame, vertices: int = 200) -> GraphData:
-    cells = parts.where(F.col("p_partkey") < vertices).select(F.col("p_partkey").alias("cell_idx"), F.format_string("cell_%d", "p_partkey").alias("cell_id"))
-    return GraphData(cells, planted(parts, vertices))
-
-
 def co_parts(lineitem: DataFrame) -> DataFrame:
     """Edges between parts of one order, weighted by the number of orders: a sparse graph of the table's size."""
     rows = lineitem.select("l_orderkey", "l_partkey").distinct()
