@@ -152,11 +152,11 @@ class NeighbourGraph:
     trees: int = 4
     leaf: int = 600
     rounds: int = 16
-    settled: float = 0.02
+    settled: float = 0.1
     reverse: int = 32
     reverse_kept: int = 16
-    beam: int = 320
-    opened: int = 48
+    beam: int = 240
+    opened: int = 96
     search_rounds: int = 64
     rerank: int = 100
     seed: int = 5

@@ -46,7 +46,7 @@ NAMES = r"(?i:pass(?:word|wd|phrase)?|pwd|secret|token|credentials?|api[_-]?key|
 SIGN = r"""[A-Za-z0-9_-]*+["']?\s*+[:=]\s*+["']?"""
 VALUE = r"""[^\s"',;<>]{6,}"""
 ASSIGNED = NAMES + SIGN + VALUE
-LONG = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,64}[0-9])[A-Za-z0-9+/_-]{16,}={0,2}"
+LONG = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}={0,2}"
 SCAN = "|".join([*FORMATS.values(), ASSIGNED, LONG])
 
 #: Words that make a random string unlikely (fixed values).
