@@ -6,17 +6,21 @@ smaller id, or earlier in the same one) is removed; strings are judged on the in
 * Suffixes. Each window of ``length`` bytes is represented by the suffix at its anchor: the
   position of the least hash among the window's grams (``GRAM`` bytes each, leftmost of equals).
   Equal windows have their anchors at equal places, so it is enough to compare suffixes at
-  anchors, about one in 39 bytes. A record is the suffix, with the bytes before it that the
-  windows of the anchor reach, at most ``2 * length - GRAM`` bytes.
-* Range partition. Sampled splitters cut the order of suffixes by their leading 16 bytes.
+  anchors, about one in 39 bytes. (Suffixes at all positions would be 100 times the input in shuffles.)
+  A record is the suffix, with the bytes before it that the windows of the anchor reach, at
+  most ``2 * length - GRAM`` bytes; its key is the suffix and then those bytes, backwards.
+* Range partition. Sampled splitters, which are whole keys, cut the order of suffixes into
+  buckets. A gram that many documents have is thus cut at several places.
 * Local combining. Of equal records in a batch only the earliest travels; the others' bytes are
   removed at once. A text that a third of the documents share is sent once a batch.
 * Sort. A bucket is sorted by multikey quicksort whose characters are words of eight bytes:
-  only ties on one word are sorted by the next. Ties on the gram are the only records kept.
-* Comparison. Records that are equal throughout lose all their bytes but in the earliest; where
-  records share the gram and then differ, their windows are compared one by one, by hash and then
-  byte by byte. Records with one gram have one leading word, so no bucket border parts them;
-  and since windows overlap, runs that go on in other buckets are joined when spans are merged.
+  parts equal in a word are sorted by the next, and only records that tie on the gram go on.
+* Comparison within a bucket. Records that are equal throughout lose all their bytes but in the
+  earliest; where records share the gram and then differ, their windows are compared one by one, by
+  hash and then byte by byte.
+* Comparison across boundaries. Equal windows can only lie in several buckets if a splitter between them
+  begins with the same bytes as their suffixes, up to the windows' end. These windows, and only these,
+  go on to a second shuffle by a 128-bit digest of their content, where the earliest of each stays.
 
 Removed ranges return to their documents by an equi-join on the id.
 
@@ -28,6 +32,8 @@ of any length are read whole. Columns beyond id and text are ignored.
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -44,7 +50,9 @@ LEAD = 16
 SEGMENT = 1 << 22
 #: Bytes of text whose records are combined and sent together.
 BATCH_BYTES = 4 << 20
-SAMPLE_DOCS, SAMPLE_LEADS = 4000, 32
+SAMPLE_DOCS, SAMPLE_LEADS = 4000, 8
+#: Parts of a sort with no more rows are compared as whole strings.
+FEW = 48
 NULL_ID = -(1 << 63)
 SUB = 40
 _MULTIPLIER = 0x9E3779B97F4A7C15
@@ -129,6 +137,9 @@ class Anchors:
         out[(column < (self.left - (anchor - first))[:, None]) | (column >= (self.left + last + self.length - anchor)[:, None])] = 0
         return out
 
+    def keys(self, rows: np.ndarray) -> np.ndarray:
+        """The suffix of each record, and then what is before it, backwards."""
+        return np.concatenate([rows[:, self.left :], rows[:, self.left - 1 :: -1]], axis=1)
 
     def _filled(self, left: np.ndarray, size: np.ndarray) -> np.ndarray:
         column, first = np.arange(self.width, dtype=np.int32), self.left - left.astype(np.int32)
@@ -164,19 +175,34 @@ def ties(group: np.ndarray) -> np.ndarray:
     return np.append(same, False) | np.append(False, same)
 
 
-def multikey_sort(words: np.ndarray, order: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorts ties of ``group`` (ascending over ``order``) by the columns of ``words``, each only where all before are equal."""
-    for column in words.T:
-        open_ = np.flatnonzero(ties(group))
-        if not len(open_):
-            break
-        rows, own = order[open_], group[open_]
-        key = column[rows]
-        by = np.lexsort((key, own))
-        order[open_], key = rows[by], key[by]
-        new = np.append(True, (own[1:] != own[:-1]) | (key[1:] != key[:-1]))
-        group[open_] = open_[np.maximum.accumulate(np.where(new, np.arange(len(open_)), 0))]
-    return order, group
+def multikey_quicksort(words: np.ndarray) -> np.ndarray:
+    """The order of rows of big-endian words: three-way partitions by one word; equals go on with the next."""
+    n, width = words.shape
+    order = np.arange(n)
+    open_ = [(0, n, 0)]
+    while open_:
+        low, high, column = open_.pop()
+        if high - low < 2 or column == width:
+            continue
+        rows = order[low:high]
+        if high - low <= FEW:
+            rest = np.ascontiguousarray(words[rows, column:]).astype(">u8").view(f"S{8 * (width - column)}").ravel()
+            order[low:high] = rows[np.argsort(rest, kind="stable")]
+            continue
+        key = words[rows, column]
+        pivot = sorted((key[0], key[len(key) // 2], key[-1]))[1]
+        less, more = key < pivot, key > pivot
+        same = ~(less | more)
+        a, b = low + int(less.sum()), high - int(more.sum())
+        order[low:high] = np.concatenate([rows[less], rows[same], rows[more]])
+        open_ += [(low, a, column), (a, b, column + 1), (b, high, column)]
+    return order
+
+
+def _numbered(words: np.ndarray) -> np.ndarray:
+    """The place of the first equal row, of sorted rows."""
+    head = np.append(True, (words[1:] != words[:-1]).any(axis=1))[: len(words)]
+    return np.maximum.accumulate(np.where(head, np.arange(len(words)), 0))
 
 
 class Bucket:
@@ -185,30 +211,50 @@ class Bucket:
     def __init__(self, shape: Anchors, rows, left, size, doc, pos):
         self.shape, self.rows, self.left, self.size, self.doc, self.pos = shape, rows, left, size, doc, pos
 
-    def removed(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Documents, starts and lengths of ranges that repeat something earlier."""
+    def sorted_groups(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Records in the order of suffixes, equal ones by place; the groups of those with one gram, and of equal ones."""
         shape, words = self.shape, self.rows.view(">u8").astype(np.uint64)
         middle, gram_words = shape.left // 8, GRAM // 8
-        order, gram = multikey_sort(words[:, middle : middle + gram_words], np.arange(len(words)), np.zeros(len(words), np.int64))
-        tied = ties(gram)
-        some, gram = order[tied], gram[tied]
-        words = words[some]
-        ends = self.left[some].astype(np.uint64) << np.uint64(16) | self.size[some].astype(np.uint64)
-        rest = np.concatenate([words[:, middle + gram_words :], words[:, :middle], ends[:, None]], axis=1)
-        order, whole = multikey_sort(rest, np.arange(len(some)), gram.copy())
-        order = some[order]
+        ends = self.left.astype(np.uint64) << np.uint64(16) | self.size.astype(np.uint64)
+        words = np.concatenate([words[:, middle:], words[:, :middle], ends[:, None]], axis=1)
+        order = multikey_quicksort(words)
+        words = words[order]
+        gram, whole = _numbered(words[:, :gram_words]), _numbered(words)
         by = np.lexsort((self.pos[order], self.doc[order], whole))
-        order, gram, whole = order[by], gram[by], whole[by]
-        head = np.diff(whole, prepend=-1) != 0
-        first = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))] if len(order) else order
+        return order[by], gram, whole
+
+    def removed(self) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+        """Documents, starts and lengths of ranges that repeat something earlier; and the different records, the earliest of each."""
+        order, gram, whole = self.sorted_groups()
+        head = whole == np.arange(len(whole))
+        first = order[whole]
         later = order[(self.doc[order] != self.doc[first]) | (self.pos[order] != self.pos[first])]
         out = [(self.doc[later], self.pos[later], self.size[later].astype(np.int64))]
-        keep = head
-        heads, grams = order[keep], gram[keep]
+        heads, grams = order[head], gram[head]
         differ = ties(grams)
         if differ.any():
             out.append(self._windows(heads[differ]))
-        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True)), heads
+
+    def across(self, heads: np.ndarray, borders: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Digests, documents and starts of the windows of records that may also lie beyond a border (a key), the earliest of each."""
+        shape, length = self.shape, self.shape.length
+        suffixes = self.rows[heads, shape.left : shape.left + length]
+        shared = np.zeros(len(heads), np.int64)
+        for border in borders:
+            alike = np.flatnonzero((suffixes[:, :GRAM] == border[:GRAM]).all(axis=1))
+            differ = suffixes[alike] != border[:length]
+            shared[alike] = np.maximum(shared[alike], np.where(differ.any(axis=1), differ.argmax(axis=1), length))
+        left, size = self.left[heads].astype(np.int64), self.size[heads].astype(np.int64)
+        counts = np.clip(np.minimum(size - length + 1, shared - length + left + 1), 0, None)
+        of, inner = np.repeat(heads, counts), expand(np.zeros(len(heads), np.int64), counts)
+        if not len(of):
+            return np.zeros((0, 2), np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        column = shape.left - self.left[of].astype(np.int64) + inner
+        raw = self.rows.tobytes()
+        at = (of * shape.width + column).tolist()
+        digests = np.frombuffer(b"".join(blake2b(raw[k : k + length], digest_size=16).digest() for k in at), "<u8").reshape(-1, 2)
+        return earliest(digests, self.doc[of], self.pos[of] + inner)[0]
 
     def _windows(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of different records that share a gram: the windows that occur earlier."""
@@ -228,13 +274,16 @@ class Bucket:
         of, inner, column, h, doc, pos = (x[order] for x in (of, inner, column, h, doc, pos))
         head = np.append(True, h[1:] != h[:-1])
         first = np.maximum.accumulate(np.where(head, np.arange(len(h)), 0))
-        later = np.flatnonzero(~head & ((doc != doc[first]) | (pos != pos[first])))
         view = np.lib.stride_tricks.sliding_window_view(data, length, axis=1)
-        for at in range(0, len(later), 1 << 16):
-            some = later[at : at + (1 << 16)]
-            same = (view[of[some], column[some]] == view[of[first[some]], column[first[some]]]).all(axis=1)
-            if not same.all():  # different windows with one hash
-                raise ArithmeticError("two windows have one 64-bit hash; use another seed")
+        others = np.flatnonzero(~head)
+        apart = np.zeros(len(h), bool)
+        for at in range(0, len(others), 1 << 16):
+            some = others[at : at + (1 << 16)]
+            apart[some] = (view[of[some], column[some]] != view[of[first[some]], column[first[some]]]).any(axis=1)
+        seen: dict[tuple[int, bytes], int] = {}
+        for k in np.flatnonzero(apart).tolist():  # different windows with one hash: by content
+            first[k] = seen.setdefault((int(first[k]), view[of[k], column[k]].tobytes()), k)
+        later = np.flatnonzero((doc != doc[first]) | (pos != pos[first]))
         by = np.lexsort((inner[later], of[later]))
         of, inner = of[later][by], inner[later][by]
         new = np.append(True, (of[1:] != of[:-1]) | (inner[1:] != inner[:-1] + 1)) if len(of) else np.zeros(0, bool)
@@ -244,6 +293,16 @@ class Bucket:
         return self.doc[own], self.pos[own] + inner[heads], inner[tails] - inner[heads] + length
 
 
+def earliest(digests: np.ndarray, doc: np.ndarray, pos: np.ndarray):
+    """(digests, doc, pos) of the earliest of each digest; and (doc, pos) of the others that start elsewhere."""
+    order = np.lexsort((pos, doc, digests[:, 1], digests[:, 0]))
+    digests, doc, pos = digests[order], doc[order], pos[order]
+    first = _numbered(digests)
+    head = first == np.arange(len(first))
+    later = (doc != doc[first]) | (pos != pos[first])
+    return (digests[head], doc[head], pos[head]), (doc[later], pos[later])
+
+
 def joined_ranges(doc: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Overlapping and touching ranges of each document as one."""
     if not len(doc):
@@ -292,26 +351,26 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _splitters(rows: DataFrame, shape: Anchors, buckets: int) -> np.ndarray:
-    """Leading bytes that cut a bounded sample of suffixes evenly."""
+    """Keys that cut a bounded sample of suffixes evenly."""
     n = rows.count()
     length = shape.length
 
-    def leads(batches):
+    def sampled(batches):
         for batch in bounded(batches):
             for text in column_values(batch, "text"):
-                for _, raw in segments(text.encode("utf-8", "surrogatepass"), length):
-                    data = np.frombuffer(raw, np.uint8)
-                    anchor, _, _ = shape.runs(data, np.array([0]), np.array([len(data)]))
-                    if len(anchor):
-                        some = anchor[:: max(1, len(anchor) // SAMPLE_LEADS)][:SAMPLE_LEADS]
-                        yield pa.RecordBatch.from_arrays([pa.array([raw[a : a + LEAD] for a in some.tolist()], pa.binary())], ["lead"])
-                    break
+                raw = next((raw for _, raw in segments(text.encode("utf-8", "surrogatepass"), length)), b"")
+                data = np.frombuffer(raw, np.uint8)
+                anchor, first, last = shape.runs(data, np.array([0]), np.array([len(data)]))
+                some = np.arange(0, len(anchor), max(1, len(anchor) // SAMPLE_LEADS))[:SAMPLE_LEADS]
+                if len(some):
+                    keys = shape.keys(shape.rows(data, anchor[some], first[some], last[some]))
+                    yield pa.RecordBatch.from_arrays([pa.array([k.tobytes() for k in keys], pa.binary())], ["key"])
 
     every = max(1, n // SAMPLE_DOCS)
     sample = rows.where(F.pmod(F.xxhash64("doc_id", "sub"), F.lit(every)) == 0).select("text")
-    found = sorted(bytes(r.lead) for r in sample.mapInArrow(leads, "lead binary").collect())
+    found = sorted(bytes(r.key) for r in sample.mapInArrow(sampled, "key binary").collect())  # about SAMPLE_DOCS * SAMPLE_LEADS keys
     at = [found[len(found) * k // buckets] for k in range(1, buckets)] if found else []
-    return np.array(sorted(set(at)), f"S{LEAD}")
+    return np.array(sorted(set(at)), f"S{shape.width}")
 
 
 def repeated_ranges(rows: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -335,9 +394,9 @@ def repeated_ranges(rows: DataFrame, length: int = LENGTH) -> DataFrame:
         same[a] = True
         stay = np.flatnonzero(~same)
         lead = np.ascontiguousarray(row[stay, shape.left : shape.left + LEAD]).view(f"S{LEAD}").ravel()
-        by = np.argsort(lead, kind="stable")
-        stay, lead = stay[by], lead[by]
-        bucket = np.searchsorted(splitters, lead, "right")
+        bucket = np.searchsorted(splitters, shape.keys(row[stay]).view(f"S{shape.width}").ravel(), "right")
+        by = np.lexsort((lead, bucket))
+        stay, bucket = stay[by], bucket[by]
         edges = np.searchsorted(bucket, np.arange(buckets + 1))
         at = [k for k in range(buckets) if edges[k + 1] > edges[k]]
         kinds = [0] * len(at)
@@ -371,27 +430,57 @@ def repeated_ranges(rows: DataFrame, length: int = LENGTH) -> DataFrame:
         if held:
             yield send(held)
 
-    def compare(batches):
-        def out(doc, start, size):
-            return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(size, pa.int64())], ["doc_id", "start", "length"])
+    borders = [np.frombuffer(k.ljust(shape.width, b"\0"), np.uint8) for k in splitters.tolist()]
+    schema = "bucket int, kind int, blob binary"
 
+    def by_bucket(batches):
+        """(bucket, kind, blobs), from rows sorted by bucket and kind; ranges one blob at a time."""
         now, held = None, []
         for batch in bounded(batches, 64):
-            for bucket, kind, blob in zip(*(column_values(batch, c) for c in ("bucket", "kind", "blob")), strict=True):
-                if kind:
-                    yield out(*unpacked(blob, ("<i8", 0), ("<i8", 0), ("<i8", 0)))
-                    continue
-                if bucket != now and held:
-                    yield out(*Bucket(shape, *(np.concatenate(x) for x in zip(*held, strict=True))).removed())
+            for bucket, kind, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and ((bucket, kind) != now or kind == 1):
+                    yield *now, held
                     held = []
-                now = bucket
-                held.append(shape.unpacked(blob))
+                now = bucket, kind
+                held.append(blob)
         if held:
-            yield out(*Bucket(shape, *(np.concatenate(x) for x in zip(*held, strict=True))).removed())
+            yield *now, held
 
-    sent = rows.mapInArrow(cut, "bucket int, kind int, blob binary")
-    ordered = sent.repartition(partitions, "bucket").sortWithinPartitions("bucket")
-    return ordered.mapInArrow(compare, "doc_id long, start long, length long")
+    def compare(batches):
+        for bucket, kind, blobs in by_bucket(batches):
+            if kind:
+                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([kind], pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "kind", "blob"])
+                continue
+            held = Bucket(shape, *(np.concatenate(x) for x in zip(*map(shape.unpacked, blobs), strict=True)))
+            ranges, heads = held.removed()
+            at, kinds, out = ([bucket], [1], [packed(*joined_ranges(*ranges))]) if len(ranges[0]) else ([], [], [])
+            digests, doc, pos = held.across(heads, borders[max(0, bucket - 1) : bucket + 1])
+            to = (digests[:, 0] % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(to, kind="stable")
+            edges = np.searchsorted(to[order], np.arange(buckets + 1))
+            for k in np.flatnonzero(np.diff(edges)).tolist():
+                own = order[edges[k] : edges[k + 1]]
+                at.append(k)
+                kinds.append(2)
+                out.append(packed(digests[own, 0], digests[own, 1], doc[own], pos[own]))
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(kinds, pa.int32()), pa.array(out, pa.binary())], ["bucket", "kind", "blob"])
+
+    def settle(batches):
+        for _, kind, blobs in by_bucket(batches):
+            if kind == 1:
+                doc, start, size = unpacked(blobs[0], ("<i8", 0), ("<i8", 0), ("<i8", 0))
+            else:
+                a, b, doc, start = (np.concatenate(x) for x in zip(*(unpacked(blob, ("<u8", 0), ("<u8", 0), ("<i8", 0), ("<i8", 0)) for blob in blobs), strict=True))
+                doc, start = earliest(np.stack([a, b], 1), doc, start)[1]
+                size = np.full(len(doc), length)
+                doc, start, size = joined_ranges(doc, start, size)
+            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(size, pa.int64())], ["doc_id", "start", "length"])
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.repartition(partitions, "bucket").sortWithinPartitions("bucket", "kind")
+
+    compared = dealt(rows.mapInArrow(cut, schema)).mapInArrow(compare, schema)
+    return dealt(compared).mapInArrow(settle, "doc_id long, start long, length long")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -113,13 +113,40 @@ def test_long_texts_are_cut_without_loss(spark, monkeypatch):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in out} == brute_spans(rows, 100)
 
 
-def test_multikey_sort():
+def test_multikey_quicksort(monkeypatch):
     rng = np.random.default_rng(2)
-    words = rng.integers(0, 3, (300, 5)).astype(np.uint64)
-    order, group = suffix_dedup.multikey_sort(words, np.arange(300), np.zeros(300, np.int64))
-    said = [tuple(w) for w in words[order].tolist()]
-    assert said == sorted(said)
-    assert all((group[k] == group[k - 1]) == (said[k] == said[k - 1]) for k in range(1, 300))
+    for few in (1, 7, 48):
+        monkeypatch.setattr(suffix_dedup, "FEW", few)
+        for top in (2, 3, 1 << 63):
+            words = rng.integers(0, top, (700, 5), dtype=np.uint64) * np.uint64(1 if top > 9 else 3 << 61)
+            said = [tuple(w) for w in words[suffix_dedup.multikey_quicksort(words)].tolist()]
+            assert said == sorted(tuple(w) for w in words.tolist())
+
+
+@pytest.mark.parametrize("passage", [24, 60, 99, 130, 400])
+def test_one_passage_in_half_of_the_documents(spark, monkeypatch, passage):
+    """Buckets are cut within one gram: what is equal on both sides of a border is found all the same."""
+    monkeypatch.setattr(suffix_dedup, "BATCH_BYTES", 2000)
+    rng = random.Random(passage)
+    hot = prose(rng, 120)[:passage]
+    sides = [prose(rng, 12) for _ in range(8)]
+    rows = [(k, prose(rng, 4) + rng.choice(sides) + hot + rng.choice(sides) + prose(rng, 4)) for k in range(150)] + [(200 + k, prose(rng, 40)) for k in range(100)]
+    out = suffix_dedup.remove_repeats(table(spark, rows)).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in out} == brute_spans(rows, 100)
+
+
+def test_windows_of_one_hash_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "mixed", lambda h: h % np.uint64(97))
+    rng = random.Random(6)
+    shape = suffix_dedup.Anchors()
+    raws = [prose(rng, 30).encode() for _ in range(20)]
+    raws += [r[: 150] + b"?" + r[151:] for r in raws]
+    parts = [suffix_dedup._records(shape, [k], [(0, r)]) for k, r in enumerate(raws)]
+    row, left, size, doc, pos, _ = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.random.default_rng(1).permutation(len(row))
+    d, s, n = suffix_dedup.joined_ranges(*suffix_dedup.Bucket(shape, *(x[order] for x in (row, left, size, doc, pos))).removed()[0])
+    want = brute_spans([(k, r.decode()) for k, r in enumerate(raws)], 100)
+    assert {k: int(n[d == k].sum()) for k in range(40)} == {k: v[1] for k, v in want.items()}
 
 
 # --- nearest neighbours
