@@ -304,8 +304,8 @@ class WordIds:
         return np.arange(first, n, dtype=np.int32)
 
     def _codes(self, texts: list[str]) -> np.ndarray:
-        """The code points of the texts, a zero after each; two more at the end."""
-        joined = "\0".join(texts) + "\0\0\0"
+        """The code points of the texts, a zero after each; eight more at the end."""
+        joined = "\0".join(texts) + "\0" * 9
         return np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
 
     def rows_of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -322,15 +322,21 @@ class WordIds:
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
         firsts = np.cumsum(lengths + 1) - lengths - 1
         kinds = self.classes[codes]
-        kinds[firsts + lengths], kinds[-2:] = BREAK, BREAK
+        kinds[firsts + lengths], kinds[-9:] = BREAK, BREAK
         starts, ends = self.split(codes, kinds)
-        ranges = Ranges(codes.view(np.uint8), starts * 4, ends * 4)
+        if codes.max() < 0x80:
+            raw, at = codes.astype(np.uint8), None
+        else:
+            raw = np.frombuffer(codes.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass"), np.uint8)
+            widths = (codes > 0x7F).astype(np.int64) + (codes > 0x7FF) + (codes > 0xFFFF)
+            at = np.cumsum(widths + 1) - widths - 1
+        byte_starts, byte_ends = (starts, ends) if at is None else (at[starts], at[ends])
+        ranges = Ranges(raw, byte_starts, byte_ends)
         h = np.maximum(ranges.hashes(), np.uint64(1))
         rows = self.table.find(h)
 
         def words(which: np.ndarray) -> list[str]:
-            raw = codes.tobytes()
-            return [raw[4 * s : 4 * e].decode("utf-32-le", "surrogatepass") for s, e in zip(starts[which].tolist(), ends[which].tolist(), strict=True)]
+            return [raw[s:e].tobytes().decode("utf-8", "surrogatepass") for s, e in zip(byte_starts[which].tolist(), byte_ends[which].tolist(), strict=True)]
 
         missing = np.flatnonzero(rows < 0)
         if len(missing):
