@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 FINDINGS = 3000
 TREES, DEPTH, LEAF = 15, 5, 8
 NEAR = 40
+BLOCK = 512
 MARK = "<SECRET>"
 
 #: Known key formats (fixed values, from their issuers' documentation).
@@ -227,11 +228,30 @@ def findings(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", te
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     scanned = _scanned(rows, threshold)
     # outer: else the optimizer infers a filter that computes the array a second time
-    placed = scanned.selectExpr("doc_id", "parts", "matches", "posexplode_outer(found) as (k, f)").where(F.col("f.score") >= threshold)
-    before = "aggregate(sequence(0, k), 0, (n, i) -> n + length(parts[i]) + if(i < k, length(matches[i]), 0))"
+    each = scanned.selectExpr("doc_id", f"explode_outer({_placed()}) as f").where(F.col("f.score") >= threshold)
+    return each.select("doc_id", "f.*")
+
+
+def _placed() -> str:
+    """SQL of the array of start, length, kind, value, score of ``found``.
+
+    Positions are running sums by blocks, so that a text of very many candidates costs far less than their square; they are
+    taken before the array is exploded, so that no row of a finding carries its text. An array of one struct binds a value that a
+    lambda reads often: a column would be computed again for each element.
+    """
+    total = "0L, (n, x) -> n + x"
+    sizes = "transform(sequence(0, size(matches) - 1), k -> cast(length(parts[k]) + length(matches[k]) as long))"
+    blocks = f"transform(sequence(0, (size(matches) - 1) div {BLOCK}), k -> aggregate(slice(s.sizes, cast(k * {BLOCK} + 1 as int), {BLOCK}), {total}))"
+    bases = f"transform(sequence(0, size(b.blocks) - 1), k -> aggregate(slice(b.blocks, 1, k), {total}))"
     # the value ends the match; the name before may hold the same string
-    inner = "length(f.match) - length(f.value) + 1"
-    return placed.selectExpr("doc_id", f"cast({before} + {inner} as long) as start", "cast(length(f.value) as long) as length", "f.kind as kind", "f.value as value", "f.score as score")
+    start = (
+        f"c.bases[cast(k div {BLOCK} as int)] + aggregate(slice(s.sizes, cast(k - k % {BLOCK} + 1 as int), k % {BLOCK}), {total}) "
+        "+ length(parts[k]) + length(found[k].match) - length(found[k].value) + 1"
+    )
+    row = f"named_struct('start', {start}, 'length', cast(length(found[k].value) as long), 'kind', found[k].kind, 'value', found[k].value, 'score', found[k].score)"
+    inner = f"transform(array(named_struct('bases', {bases})), c -> transform(sequence(0, size(found) - 1), k -> {row}))[0]"
+    middle = f"transform(array(named_struct('blocks', {blocks})), b -> {inner})[0]"
+    return f"if(found is null, null, transform(array(named_struct('sizes', {sizes})), s -> {middle})[0])"
 
 
 def redact(docs: DataFrame, threshold: float = 0.5, mark: str = MARK) -> DataFrame:
@@ -241,7 +261,7 @@ def redact(docs: DataFrame, threshold: float = 0.5, mark: str = MARK) -> DataFra
     scanned = _scanned(rows, threshold)
     clean = (
         f"transform(sequence(0, size(matches)), k -> concat(parts[k], if(k < size(matches), "
-        f"if(found[k].score >= {threshold}D, replace(found[k].match, found[k].value, '{mark}'), matches[k]), '')))"
+        f"if(found[k].score >= {threshold}D, concat(left(found[k].match, length(found[k].match) - length(found[k].value)), '{mark}'), matches[k]), '')))"
     )
     text = F.expr(f"if(exists(found, f -> f.score >= {threshold}D), concat_ws('', {clean}), text)")
     text = F.when(F.col("found").isNotNull(), text).otherwise(F.col("text"))
