@@ -1,7 +1,8 @@
 """Community detection by the Leiden algorithm (Traag, Waltman and van Eck 2019), as Spark tasks.
 
-The graph of one study is broadcast as column arrays; its size is checked against ``MOST_ENTRIES``
-first. Each (gamma, trial) is one task row; ``mapInPandas`` runs them and returns long labels.
+The graph of one study is broadcast as column arrays, and runs read them in place; its size is checked
+against the executors' memory first. Each (gamma, trial) is one task row; ``mapInPandas`` runs them and
+returns long labels.
 Seeds come with the rows, so results do not depend on partitioning.
 """
 
@@ -13,39 +14,58 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-#: 16 bytes an entry: a broadcast of at most 3.2 GB.
-MOST_ENTRIES = 200_000_000
+#: Bytes of an entry in the arrays, with the room to receive them.
+ENTRY = 24
 
 
 @dataclass(frozen=True)
 class Adjacency:
+    """Neighbours of each node in a row of arrays, without self-loops; ``degree`` counts those too."""
+
     n: int
     start: np.ndarray
     other: np.ndarray
     weight: np.ndarray
+    degree: np.ndarray
 
     @classmethod
     def of(cls, n: int, src: np.ndarray, dst: np.ndarray, weight: np.ndarray) -> Adjacency:
+        degree = np.bincount(src, weight, n).astype(np.float64) if len(src) else np.zeros(n)
+        apart = src != dst
+        src, dst, weight = src[apart], dst[apart], weight[apart]
         order = np.argsort(src, kind="stable")
-        return cls(n, np.searchsorted(src[order], np.arange(n + 1)), dst[order].astype(np.int32), weight[order].astype(np.float64))
+        return cls(n, np.searchsorted(src[order], np.arange(n + 1)), dst[order].astype(np.int32), weight[order].astype(np.float64), degree)
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __getitem__(self, v: int) -> list[tuple[int, float]]:
+        low, high = self.start[v], self.start[v + 1]
+        return list(zip(self.other[low:high].tolist(), self.weight[low:high].tolist(), strict=True))
+
+
+def most_entries(spark: SparkSession) -> int:
+    """How many entries each Python worker may hold: an executor's memory, shared by its cores."""
+    context = spark.sparkContext
+    local = context.master.startswith("local")
+    memory = context._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(context.getConf().get("spark.driver.memory" if local else "spark.executor.memory", "1g"))
+    cores = context.defaultParallelism if local else int(context.getConf().get("spark.executor.cores", "1"))
+    return memory // (ENTRY * max(1, cores))
 
 
-def adjacency(edges: DataFrame, n: int, most_entries: int = MOST_ENTRIES) -> Adjacency:
+def adjacency(edges: DataFrame, n: int, most: int | None = None) -> Adjacency:
     """The graph as arrays; both directions as stored, so every undirected edge counts twice."""
+    most = most_entries(edges.sparkSession) if most is None else most
     entries = edges.count()
-    if entries > most_entries:
-        raise ValueError(f"the graph has {entries} entries; at most {most_entries} are broadcast")
-    table = edges.orderBy("src", "dst").select("src", "dst", "weight").toPandas()
+    if entries > most:
+        raise ValueError(f"the graph has {entries} entries; at most {most} fit each worker's share of an executor's memory")
+    table = edges.orderBy("src", "dst").select(F.col("src").cast("int"), F.col("dst").cast("int"), "weight").toPandas()
     return Adjacency.of(n, table.src.to_numpy(), table.dst.to_numpy(), table.weight.to_numpy())
 
 
-def _neighbours(graph: Adjacency) -> list[list[tuple[int, float]]]:
-    other, weight, start = graph.other.tolist(), graph.weight.tolist(), graph.start.tolist()
-    return [[(other[e], weight[e]) for e in range(start[v], start[v + 1]) if other[e] != v] for v in range(graph.n)]
-
-
 def _moved(near, size, of: list[int], factor: float, rng: random.Random) -> bool:
     """Local moves until no node gains: the gain is twice the weight to a cluster less factor * size * cluster size * 2."""
     n = len(near)
@@ -62,7 +82,8 @@ def _moved(near, size, of: list[int], factor: float, rng: random.Random) -> bool
         waiting[v] = False
         own = of[v]
         links: dict[int, float] = {own: 0.0}
-        for u, w in near[v]:
+        beside = near[v]
+        for u, w in beside:
             links[of[u]] = links.get(of[u], 0.0) + w
         mass[own] -= size[v]
         best, most = own, links[own] - factor * size[v] * mass[own]
@@ -83,7 +104,7 @@ def _moved(near, size, of: list[int], factor: float, rng: random.Random) -> bool
                 mass[own] = 0.0
                 empty.append(own)
             of[v], changed = best, True
-            for u, _ in near[v]:
+            for u, _ in beside:
                 if of[u] != best and not waiting[u]:
                     waiting[u] = True
                     queue.append(u)
@@ -146,17 +167,13 @@ def leiden(graph: Adjacency, gamma: float, objective: str = "CPM", iterations: i
     rng, n = random.Random(seed), graph.n
     if n == 0:
         return np.zeros(0, np.int32)
-    base = _neighbours(graph)
     if objective == "modularity":
-        degree = np.zeros(n)
-        np.add.at(degree, np.repeat(np.arange(n), np.diff(graph.start)), graph.weight)
-        total = float(degree.sum()) or 1.0
-        base_size, factor = degree.tolist(), gamma / total
+        base_size, factor = graph.degree.tolist(), gamma / (float(graph.degree.sum()) or 1.0)
     else:
         base_size, factor = [1.0] * n, gamma
     of = _numbered(initial.tolist()) if initial is not None else list(range(n))
     for _ in range(max(1, iterations)):
-        near, size, nodes, now = base, base_size, list(range(n)), list(of)
+        near, size, nodes, now = graph, base_size, list(range(n)), list(of)
         before = list(of)
         while True:
             moved = _moved(near, size, now, factor, rng)

@@ -20,6 +20,7 @@ from concord.operators.leiden import LABELS, TASKS, adjacency, run_probes, run_t
 from concord.operators.merge import merged
 from concord.plans import admission as A
 from concord.plans import results as R
+from concord.plans.memo import Heartbeat, Memo
 from concord.plans.params import Params, checked
 from concord.plans.search import Search
 from concord.sources.scratch import stored
@@ -38,6 +39,7 @@ class Study:
         self.n = graph.check()
         self.spark: SparkSession = graph.cells.sparkSession
         self.arrays = None if cluster_fn else adjacency(graph.edges, self.n)
+        self.memo, self.beat = Memo(), Heartbeat("consistency", params.heartbeat_seconds)
 
     def keep(self, df: DataFrame) -> DataFrame:
         """Written for several readers; what follows starts from the table and not from all steps before."""
@@ -49,7 +51,8 @@ class Study:
     def cluster(self, tasks: DataFrame, iterations: int, beta: float, initial: DataFrame | None = None) -> DataFrame:
         if self.cluster_fn is None:
             objective = "modularity" if self.p.objective == "modularity" else "CPM"
-            return self.keep(run_tasks(self.arrays, tasks, objective, iterations, beta, initial))
+            run = lambda rows: self.keep(run_tasks(self.arrays, rows, objective, iterations, beta, initial))
+            return run(tasks) if initial is not None else self.memo.cluster(tasks, (objective, iterations, beta), run)
         rows = [(r.task, r.trial, c, int(x)) for r in tasks.collect() for c, x in enumerate(self.cluster_fn(r.gamma, r.trial))]
         return self.keep(self.spark.createDataFrame(rows, LABELS))
 
@@ -73,6 +76,7 @@ class Study:
         iterations = 3 if self.n >= 200_000 else 5
         if self.arrays is not None:
             objective = "modularity" if self.p.objective == "modularity" else "CPM"
+            self.beat(lambda: f"probing {len(gammas)} resolutions")
             return run_probes(self.arrays, self.tasks(rows), objective, iterations, 0.01, self.p.min_cluster_size).drop("task")
         labels = self.cluster(self.tasks(rows), iterations, 0.01)
         named = self.spark.createDataFrame(list(enumerate(gammas)), "task int, gamma double")
@@ -161,6 +165,7 @@ def _optimised(study: Study, intervals: list, probes: DataFrame) -> tuple[list[d
             runs[k] += trials * counts[k][phase]
         if not tasks:
             break
+        study.beat(f"{len(tasks)} resolutions for {len(pending)} targets")
         rows = [(t, g, trial, derived_seed(p.seed + 1000 * k, "gamma", gamma=g) + trial) for t, (k, g) in tasks.items() for trial in range(1, trials + 1)]
         labels = study.cluster(study.tasks(rows), p.n_iterations, p.beta)
         scored = study.keep(A.evaluated(study.medians(labels, tasks, trials), p.min_cluster_size))
@@ -206,6 +211,7 @@ def _optimised(study: Study, intervals: list, probes: DataFrame) -> tuple[list[d
                 tasks[next_task], source[next_task] = (k, r["gamma"]), r["task"]
                 next_task += 1
         spare = {k: state[k].rounds for k in active}
+        study.beat(f"refining {len(tasks)} resolutions of {len(active)} targets")
         rows = [(t, g, trial, derived_seed(p.seed + 1000 * k, "refine", round=spare[k], i=trial) + t) for t, (k, g) in tasks.items() for trial in range(1, trials + 1)]
         links = spark.createDataFrame([(t, trial, source[t], 1 + derived_seed(p.seed, "refine", round=spare[tasks[t][0]], i=trial * 31 + t) % trials) for t in tasks for trial in range(1, trials + 1)], "new_task int, new_trial int, task int, trial int")
         initial = all_labels.join(F.broadcast(links), ["task", "trial"]).select(F.col("new_task").alias("task"), F.col("new_trial").alias("trial"), "cell_idx", "label")

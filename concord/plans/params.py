@@ -49,6 +49,7 @@ class Params:
     min_cluster_size: int = 2
     resolution_tolerance: float = 1e-8
     probe_parallelism: int = 4
+    heartbeat_seconds: float = 60.0
 
 
 def checked(**given) -> Params:
