@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of an entry in the arrays, with the room to receive them.
 ENTRY = 24
+#: Entries of rows that a run keeps as lists (about 130 bytes each); the rest are made anew whenever asked for.
+KEPT = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -39,12 +41,27 @@ class Adjacency:
         order = np.argsort(src, kind="stable")
         return cls(n, np.searchsorted(src[order], np.arange(n + 1)), dst[order].astype(np.int32), weight[order].astype(np.float64), degree)
 
+
+class Rows:
+    """The neighbours of each node as lists, made from the arrays when asked for; the first ``KEPT`` entries are kept."""
+
+    def __init__(self, graph: Adjacency):
+        self.start, self.other, self.weight = graph.start.tolist(), memoryview(graph.other), memoryview(graph.weight)
+        self.made: list[list[tuple[int, float]] | None] = [None] * graph.n
+        self.room = KEPT
+
     def __len__(self) -> int:
-        return self.n
+        return len(self.start) - 1
 
     def __getitem__(self, v: int) -> list[tuple[int, float]]:
-        low, high = self.start[v], self.start[v + 1]
-        return list(zip(self.other[low:high].tolist(), self.weight[low:high].tolist(), strict=True))
+        row = self.made[v]
+        if row is None:
+            low, high = self.start[v], self.start[v + 1]
+            row = list(zip(self.other[low:high].tolist(), self.weight[low:high].tolist(), strict=True))
+            if self.room >= high - low:
+                self.made[v] = row
+                self.room -= high - low
+        return row
 
 
 def most_entries(spark: SparkSession) -> int:
@@ -167,13 +184,14 @@ def leiden(graph: Adjacency, gamma: float, objective: str = "CPM", iterations: i
     rng, n = random.Random(seed), graph.n
     if n == 0:
         return np.zeros(0, np.int32)
+    rows = Rows(graph)
     if objective == "modularity":
         base_size, factor = graph.degree.tolist(), gamma / (float(graph.degree.sum()) or 1.0)
     else:
         base_size, factor = [1.0] * n, gamma
     of = _numbered(initial.tolist()) if initial is not None else list(range(n))
     for _ in range(max(1, iterations)):
-        near, size, nodes, now = graph, base_size, list(range(n)), list(of)
+        near, size, nodes, now = rows, base_size, list(range(n)), list(of)
         before = list(of)
         while True:
             moved = _moved(near, size, now, factor, rng)

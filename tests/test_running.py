@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from concord.__main__ import integers, main, numbers, parser
-from concord.operators.leiden import Adjacency, adjacency, leiden, most_entries, run_tasks
+from concord.operators.leiden import Adjacency, Rows, adjacency, leiden, most_entries, run_tasks
 from concord.plans.memo import Heartbeat, Memo
 
 from .test_core import planted
@@ -78,5 +78,15 @@ def test_the_graph_of_a_worker_is_bounded(spark):
 def test_self_loops_count_for_degrees_only():
     src, dst = np.array([0, 0, 1, 2, 2]), np.array([0, 1, 0, 2, 2])
     graph = Adjacency.of(3, src, dst, np.array([5.0, 1.0, 1.0, 2.0, 2.0]))
-    assert graph.degree.tolist() == [6, 1, 4] and [graph[v] for v in range(3)] == [[(1, 1.0)], [(0, 1.0)], []]
+    assert graph.degree.tolist() == [6, 1, 4] and [Rows(graph)[v] for v in range(3)] == [[(1, 1.0)], [(0, 1.0)], []]
     assert leiden(graph, 0.5).tolist() == [0, 0, 1]
+
+
+def test_runs_do_not_depend_on_kept_rows(monkeypatch):
+    from concord.operators import leiden as module
+
+    from .test_core import arrays
+
+    kept = leiden(arrays(), 0.3, seed=4)
+    monkeypatch.setattr(module, "KEPT", 100)
+    assert leiden(arrays(), 0.3, seed=4).tolist() == kept.tolist()
