@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.llm import ann, bpe, exact_dedup, jaccard, packing, quality, secrets, suffix_dedup, token_counts, token_files
+from concord.llm import ann, bpe, exact_dedup, jaccard, packing, quality, secrets, sql, suffix_dedup, token_counts, token_files
 from concord.llm.shared import documents, shared_dir
 
 
@@ -69,13 +69,8 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op6_exact_dedup": """
-            SELECT doc_id,
-                   max(doc_id) OVER same AS keep_id,
-                   count(*) OVER same AS group_size,
-                   doc_id = max(doc_id) OVER same AS kept,
-                   sha256(coalesce(text, '')) AS text_sha256
-            FROM documents
-            WINDOW same AS (PARTITION BY coalesce(text, ''))
-        """,
+        "op1_suffix_dedup": sql.SUFFIX_DEDUP,
+        "op2_nearest_neighbours": sql.NEAREST_NEIGHBOURS,
+        "op5_ngram_jaccard": sql.NGRAM_JACCARD,
+        "op6_exact_dedup": sql.EXACT_DEDUP,
     }

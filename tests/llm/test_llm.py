@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
-from concord.llm import ann, bpe, components, exact_dedup, jaccard, packing, quality, secrets, suffix_dedup, token_counts, token_files
+from concord.llm import ann, bpe, components, entries, exact_dedup, jaccard, packing, quality, secrets, suffix_dedup, token_counts, token_files
 from concord.llm.encoders import Library, encoder, vocabulary
 
 DOCS = "doc_id long, text string, kept int, score string"
@@ -455,16 +455,17 @@ def test_pipeline_stages(spark):
     assert ran.select("doc_id").distinct().count() == docs.count()
 
 
-def test_exact_query_equals_sql(spark):
+@pytest.mark.parametrize("name", sorted(entries.oracle_sql()))
+def test_query_equals_sql(spark, name):
     import duckdb
 
-    from concord.llm import entries
-
     folder = "/root/testdata/sf0.001"
-    duckdb.sql(f"create or replace view documents as select * from '{folder}/documents.parquet'")
-    said = duckdb.sql(entries.oracle_sql()["op6_exact_dedup"])
-    found = entries.queries()["op6_exact_dedup"](spark, folder).select(said.columns)
-    assert sorted(map(tuple, found.collect())) == sorted(said.fetchall())
+    for table in ("documents", "embeddings"):
+        duckdb.sql(f"create or replace view {table} as select * from '{folder}/{table}.parquet'")
+    said = duckdb.sql(entries.oracle_sql()[name])
+    found = entries.queries()[name](spark, folder)
+    assert sorted(found.columns) == sorted(said.columns)
+    assert sorted(map(tuple, found.select(said.columns).collect())) == sorted(said.fetchall())
 
 
 def test_copies_go_by_smaller_id(spark):
