@@ -605,13 +605,20 @@ def readiness_check(spark, sf):
     return T.readiness(spark, {"normalized": _parts(spark, sf), "features": T.read(spark, sf, "supplier"), "scaled": None, "pca": T.read(spark, sf, "embeddings"), "graph": T.read(spark, sf, "lineitem")})
 
 
-@query()
+@query(f"""WITH RECURSIVE {PROBES}, apart AS (SELECT DISTINCT gamma FROM probes WHERE gamma > 0 AND abs(ln(gamma) - ln(0.1::DOUBLE)) >= 0.08),
+kept AS (SELECT min(gamma) AS gamma FROM apart UNION ALL SELECT min(a.gamma) FROM kept k JOIN apart a ON ln(a.gamma) - ln(k.gamma) >= 0.08 GROUP BY k.gamma)
+SELECT gamma FROM kept WHERE gamma IS NOT NULL""")
 def thin_gamma(spark, sf):
     values = [r.gamma for r in _probes(spark, sf).select("gamma").collect()]  # fifty sizes
     return spark.createDataFrame([(v,) for v in G.thinned(values, [0.1], "CPM")], "gamma double")
 
 
-@query()
+@query("""WITH RECURSIVE steps AS (
+    SELECT 0 AS step, NULL::DOUBLE AS middle, [ln(0.01::DOUBLE), ln(0.02::DOUBLE), ln(0.2::DOUBLE), ln(0.5::DOUBLE)] AS places
+    UNION ALL SELECT step + 1, (places[k] + places[k + 1]) / 2, list_sort(list_append(places, (places[k] + places[k + 1]) / 2))
+    FROM (SELECT step, places, list_position(gaps, list_max(gaps)) AS k
+        FROM (SELECT step, places, list_transform(range(1, len(places)), lambda i: places[i + 1] - places[i]) AS gaps FROM steps WHERE step < 4)))
+SELECT exp(middle) AS gamma FROM steps WHERE step > 0""")
 def secondary_gamma(spark, sf):
     return spark.createDataFrame([(v,) for v in G.secondary([0.01, 0.02, 0.2], 0.01, 0.5, "CPM", 4)], "gamma double")
 
@@ -624,6 +631,26 @@ def leiden_trials(spark, sf):
     return run_tasks(arrays, spark.createDataFrame(rows, TASKS), "CPM", 10, 0.1)
 
 
+@query("""SELECT t.trial, p.p_partkey AS cell_idx, min(p.p_partkey) OVER (PARTITION BY t.trial, p.p_partkey // 200, p.p_partkey % 10) AS least
+FROM part p, (SELECT unnest(range(1, 5))::INT AS trial) t""")
+def leiden_planted(spark, sf):
+    """At a resolution between those of the two kinds of pairs, every run finds the planted groups; each is named by its least cell."""
+    parts = _parts(spark, sf)
+    tasks = spark.createDataFrame([(0, 0.2, t, t) for t in range(1, 5)], TASKS)
+    found = run_tasks(adjacency(T.planted_blocks(parts).edges, parts.count()), tasks, "CPM", 10, 0.1)
+    least = found.groupBy("trial", "label").agg(F.min("cell_idx").alias("least"))
+    return found.join(least, ["trial", "label"]).select(F.col("trial").cast("int").alias("trial"), "cell_idx", "least")
+
+
+@query("""SELECT count(DISTINCT (p_partkey // 200, p_partkey % 10))::INT AS n_cluster, 0.2::DOUBLE AS gamma, 1.0::DOUBLE AS ic, true AS consistent,
+count(*)::BIGINT AS n_stable FROM part""")
+def consistency_of_planted(spark, sf):
+    """The whole evaluation of that resolution: as many clusters as groups, and no cell inconsistent."""
+    found = evaluate_consistency(T.planted_blocks(_parts(spark, sf)), resolution=[0.2], n_trials=6, n_bootstrap=20, seed=1)
+    stable = found.mei.where("mei = 1").groupBy("n_cluster").agg(F.count(F.lit(1)).alias("n_stable"))
+    return found.main.select("n_cluster", "gamma", "ic", "consistent").join(stable, "n_cluster")
+
+
 @query()
 def consistency_by_resolution(spark, sf):
     found = evaluate_consistency(T.planted_blocks(_parts(spark, sf)), resolution=[0.05, 0.2, 0.3], n_trials=6, n_bootstrap=20, seed=1)
