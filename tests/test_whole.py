@@ -1,5 +1,7 @@
 """Inputs beyond the sizes and shapes of the given tables."""
 
+import re
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -38,3 +40,17 @@ def test_csc_columns_of_any_size(spark, tmp_path):
 def test_leiden_runs_on_all_parts(spark):
     out = QUERIES["leiden_trials"](spark, "/root/testdata/sf0.01").groupBy("cell_idx").count().agg(F.count("count"), F.max("cell_idx")).first()
     assert tuple(out) == (2000, 1999)
+
+
+def test_qualities_broadcast_no_labels(spark):
+    for name in ("modularity_quality", "cpm_quality"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        joins = re.findall(r"BroadcastHashJoin (\[[^]]*\])", plan)
+        assert not [keys for keys in joins if re.match(r"\[(src|dst|cell_idx|vector|va|vb|l)#", keys)], (name, joins)
+
+
+def test_modularity_with_cells_without_labels(spark):
+    edges = spark.createDataFrame([(0, 1, 2.0), (1, 0, 2.0), (1, 2, 1.0), (2, 1, 1.0), (2, 9, 3.0), (9, 2, 3.0)], "src long, dst long, weight double")
+    labels = spark.createDataFrame([(1, 0, 5), (1, 1, 5), (1, 2, 6), (2, 0, 5), (2, 1, 6), (2, 2, 6)], "trial int, cell_idx long, label int")
+    out = {r.trial: r.quality for r in N.modularity_quality(edges, labels, 1.0, ["trial"]).collect()}
+    assert abs(out[1] - (4 / 12 - (5 / 12) ** 2 - (4 / 12) ** 2)) < 1e-12 and abs(out[2] - (2 / 12 - (2 / 12) ** 2 - (7 / 12) ** 2)) < 1e-12
