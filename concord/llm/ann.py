@@ -250,17 +250,25 @@ class NeighbourGraph:
         """(center, member, small, scale, floor) sorted by center: neighbours, and a sample of those whose neighbour it is."""
 
         def turn(batches):
-            for batch in bounded(batches, ROWS):
-                counts = np.diff(np.asarray(batch.column(1).offsets))
-                member = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), counts)
-                center = _lists(batch, 1)
-                luck = ((member * 2654435761 + center * 40503) % 1000003).astype(np.float64)
-                yield _list_batch(*best(center, member, luck, reverse))
-
-        back = _best_lists(lists.mapInArrow(turn, LISTS), reverse, partitions)
-        pairs = lists.select(F.col("u").alias("center"), F.explode(F.array_append("vs", F.col("u"))).alias("member")).unionByName(
-            back.select(F.col("u").alias("center"), F.explode("vs").alias("member"))
-        )
+            """The ``reverse`` luckiest members of each center, from all rows of a partition: no batch's part of them is sent on."""
+            owner, values, luck, most = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), 1 << 19
+            held = [(owner, values, luck)]
+            size = 0
+            for batch in bounded(batches, 1 << 16, 64 << 20):
+                center, member = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+                held.append((center, member, ((member * 2654435761 + center * 40503) % 1000003).astype(np.float64)))
+                size += len(center)
+                if size > most:
+                    held = [best(*(np.concatenate(x) for x in zip(*held, strict=True)), reverse)]
+                    size = len(held[0][0])
+                    most = max(most, 2 * size)
+            owner, values, _ = best(*(np.concatenate(x) for x in zip(*held, strict=True)), reverse)
+            yield pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), pa.array(values, pa.int64())], ["center", "member"])
+
+        # pairs move as rows of two numbers, as many as there are list entries at every size
+        turned = lists.select(F.explode("vs").alias("center"), F.col("u").alias("member")).repartition(partitions, "center")
+        back = turned.mapInArrow(turn, "center long, member long")
+        pairs = lists.select(F.col("u").alias("center"), F.explode(F.array_append("vs", F.col("u"))).alias("member")).unionByName(back)
         floor = F.when(F.size("vs") >= self.degree, F.array_min("sims")).otherwise(F.lit(float("-inf")))
         known = vectors.select("id", "small", "scale").join(lists.select(F.col("u").alias("id"), floor.alias("floor")), "id", "left")
         joined = pairs.distinct().join(known.hint("merge"), pairs["member"] == known["id"]).select("center", "member", "small", "scale", F.coalesce("floor", F.lit(float("-inf"))).alias("floor"))

@@ -219,3 +219,17 @@ def test_files_and_packing_of_long_texts(spark):
     assert counts == {k + 1: int(x) + 1 for k, x in enumerate(n)}
     assert suffix_dedup.remove_repeats(docs).where("doc_id = 2").first().n_removed == 99_999
     assert token_files.BLOCK_TOKENS > 0 and len(ids) == n.sum()
+
+
+def test_members_of_a_center_are_chosen_once(spark):
+    """All who have a center as neighbour meet before any is left out, so no more rows are made than lists have entries."""
+    lists = spark.createDataFrame([(u, [0, u % 7 + 1], [1.0, 0.5]) for u in range(10, 60)], ann.LISTS)
+    vectors = spark.createDataFrame([(u, bytes([1, 2]), 1.0) for u in range(60)], "id long, small binary, scale double")
+    near = ann.NeighbourGraph()._neighbourhoods(lists, vectors, 5, 4)
+    assert near._jdf.queryExecution().executedPlan().toString().count("MapInArrow turn") == 1 == near._jdf.queryExecution().executedPlan().toString().count("MapInArrow ")
+    found = {}
+    for r in near.collect():
+        found.setdefault(r.center, set()).add(r.member)
+    luck = {u: u * 2654435761 % 1000003 for u in range(10, 60)}
+    assert found[0] == set(sorted(luck, key=lambda u: (-luck[u], u))[:5])
+    assert found[10] == {10, 0, 4} and len(found) == 50 + 8
