@@ -13,7 +13,9 @@
    union of its members' shingles. A query opens a token group only if the union holds enough
    of the query's shingles; opened members are compared exactly. Members known to be connected
    with the query are passed over: that changes no component.
-3. Groups over ``GROUP_DOCS`` documents or ``GROUP_SHINGLES`` shingles are split. Their splits
+3. Groups over ``GROUP_DOCS`` documents or ``GROUP_SHINGLES`` shingles are first taken apart: a document
+   with more shingles of its own than a linked one may lack leaves, and the rest are connected anew by
+   the shingles that linked ones must share. Groups that are still over a task are split. Their splits
    are joined each by itself and with the group's least document; documents that are then not
    connected with the group's largest component are queries against every split.
 
@@ -41,12 +43,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from concord.llm.blobs import delta, packed, unpacked
 from concord.llm.components import components
-from concord.llm.shared import bounded, column_values, stored, texts
+from concord.llm.shared import bounded, column_values, forget, release, stored, texts
 from concord.llm.words import Ranges, mixed
 
 CELL_BITS = 21
@@ -513,18 +515,60 @@ class ShingleJoin:
 
         return rows.repartition("comp", "part").sortWithinPartitions("comp", "part", "doc_id").mapInArrow(run, schema)
 
+    def _members(self, groups: DataFrame, info: DataFrame) -> DataFrame:
+        """(doc_id, comp, n_shingles, parts) of all members of groups; ``parts``: the tasks that a group is for."""
+        members = groups.select(F.col("a").alias("doc_id"), F.col("b").alias("comp"))
+        members = members.unionByName(members.select(F.col("comp").alias("doc_id"), "comp").distinct()).join(info, "doc_id")
+        sizes = members.groupBy("comp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / GROUP_DOCS), F.ceil(F.sum("n_shingles") / GROUP_SHINGLES)).cast("int").alias("parts"))
+        members = _salted_join(members, sizes.where("parts > 1"), "comp")
+        return stored(members.select("doc_id", "comp", "n_shingles", F.coalesce("parts", F.lit(1)).alias("parts")), "groups")
+
+    def _apart(self, large: DataFrame) -> DataFrame:
+        """(a, b), as of ``components``: the members of large groups, connected by shingles that linked ones must share.
+
+        Of n shingles, at most d = n - ceil(n * num / den) are not in a linked document. One with more that no other of its group
+        holds links with nothing. Of the rest, in order of the number of documents that hold a shingle, the first one that two linked
+        documents share is among the first d + 1 of both.
+        """
+        words, num, den = self.words, self.num, self.den
+        most = F.col("n_shingles") - F.ceil(F.col("n_shingles") * num / den)
+
+        def hold(batches):
+            for batch in bounded(batches):
+                docs, comps = (np.asarray(batch.column(k).to_numpy(zero_copy_only=False), np.int64) for k in (0, 1))
+                sets = hashed_sets(column_values(batch, "text"), words)
+                keys = [np.unique(mixed(s + own)) for s, own in zip(sets, mixed(comps.astype(np.uint64)), strict=True)]  # chance agreement leaves one more in
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(docs, list(map(len, keys)))), pa.array(np.concatenate(keys).view(np.int64))], ["doc_id", "key"])
+
+        def held(docs: DataFrame) -> DataFrame:
+            return docs.select("doc_id", "comp", "text").mapInArrow(hold, "doc_id long, key long")
+
+        once = held(large).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("doc_id")).where("n = 1")
+        once = once.groupBy("doc_id").agg(F.count(F.lit(1)).alias("once"))
+        left = stored(large.join(once.hint("merge"), "doc_id", "left").where(F.coalesce("once", F.lit(0)) <= most).select("doc_id", "comp", "text", most.alias("most")), "left")
+        keys = stored(held(left), "keys")
+        counts = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+        first = F.row_number().over(Window.partitionBy("doc_id").orderBy("n", "key"))
+        placed = keys.join(counts.hint("merge"), "key").withColumn("place", first).join(left.select("doc_id", "most").hint("merge"), "doc_id")
+        shared = stored(placed.where("n > 1 and place <= most + 1").select("doc_id", "key"), "shared")
+        least = shared.groupBy("key").agg(F.min("doc_id").alias("b"))
+        found = components(shared.withColumnRenamed("doc_id", "a").join(least.hint("merge"), "key").select("a", "b"))
+        for table in (left, keys, shared):
+            forget(table)
+        return found
+
     def _verified(self, rows: DataFrame, groups: DataFrame, info: DataFrame) -> DataFrame:
         """(doc_id, component_id) of all members of candidate groups. ``groups``: (a, b) as of ``components``; ids are unique."""
         words, num, den = self.words, self.num, self.den
-        members = groups.select(F.col("a").alias("doc_id"), F.col("b").alias("comp"))
-        members = members.unionByName(members.select(F.col("comp").alias("doc_id"), "comp").distinct())
-        sizes = members.join(info, "doc_id").groupBy("comp").agg(
-            F.greatest(F.ceil(F.count(F.lit(1)) / GROUP_DOCS), F.ceil(F.sum("n_shingles") / GROUP_SHINGLES)).cast("int").alias("parts")
-        )
-        members = _salted_join(members, sizes.where("parts > 1"), "comp").select("doc_id", "comp", F.coalesce("parts", F.lit(1)).alias("parts"))
-        members = stored(members, "groups")
+        members = self._members(groups, info)
+        found, held = rows.join(members.hint("merge"), "doc_id"), None  # one plan at every size
+        if not members.where("parts > 1").isEmpty():
+            held = stored(found, "members")
+            release(rows.sparkSession)
+            large = held.where("parts > 1")
+            again = self._members(self._apart(large), info)
+            found = held.where("parts = 1").unionByName(large.select("doc_id", "text").join(again.hint("merge"), "doc_id"))
         own_part = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")
-        found = rows.join(members.hint("merge"), "doc_id")  # one plan at every size
 
         def join_group(group: dict) -> pa.RecordBatch:
             ids, roots = group["doc_id"], connect(exact_sets(group["text"], words), num, den)
@@ -537,6 +581,9 @@ class ShingleJoin:
         where = F.when(F.col("doc_id") == F.col("comp"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(own_part))
         split = found.select("comp", F.explode(where).alias("part"), "doc_id", "text", "parts")
         joined = stored(self._grouped(split, join_group, "doc_id long, root long, parts int, comp long, text string"), "joined")
+        if held is not None:
+            forget(held)
+        release(rows.sparkSession)
         done = joined.where("parts = 1").select("doc_id", F.col("root").alias("component_id"))
         if joined.where("parts > 1").isEmpty():
             return done
@@ -576,6 +623,7 @@ class ShingleJoin:
         """(doc_id, component_id) of the rows whose component is another's, and (doc_id, n_shingles); ids are unique and not null."""
         frequent, info, hidden = self._frequent(rows)
         groups = components(self._candidates(rows, frequent, hidden))
+        release(rows.sparkSession)  # signatures come to almost the size of the texts, which are dealt next
         return self._verified(rows, groups, info).where("doc_id <> component_id"), info
 
     def components(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -153,6 +153,21 @@ def test_jaccard_of_a_large_group_of_unlike_texts(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == brute_components(rows, 4, 85, 100)
 
 
+def test_unlike_texts_of_a_candidate_group_meet_no_other_part(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "GROUP_DOCS", 4)
+    rng = random.Random(5)
+    rows = [(k, prose(rng, 40)) for k in range(60)]
+    rows += [(100 + k, rows[k][1] + " more") for k in range(20)] + [(200, rows[3][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    groups = spark.createDataFrame([(i, 0) for i, _ in rows if i], "a long, b long")  # as if frequent shingles had put all together
+    info = spark.createDataFrame([(i, n) for i, (n, _) in brute_components(rows, 4, 85, 100).items()], "doc_id long, n_shingles long")
+    dealt, plain = [], jaccard.ShingleJoin._grouped
+    monkeypatch.setattr(jaccard.ShingleJoin, "_grouped", lambda self, rows, *rest: dealt.append(rows.count()) or plain(self, rows, *rest))
+    found = {r.doc_id: r.component_id for r in jaccard.ShingleJoin(4, 85, 100)._verified(docs, groups, info).collect()}
+    assert {i: found.get(i, i) for i, _ in rows} == {i: c for i, (_, c) in brute_components(rows, 4, 85, 100).items()}
+    assert sum(dealt) <= len(rows)
+
+
 def test_suffix_query_equals_brute_force(spark, tmp_path):
     rng = random.Random(3)
     shared_ = [prose(rng, 40) for _ in range(3)]
