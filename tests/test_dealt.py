@@ -1,5 +1,7 @@
 """Graphs that never come to the driver: dealt to pieces by connected components."""
 
+import re
+
 import numpy as np
 import pytest
 
@@ -122,3 +124,19 @@ def test_pieces_keep_their_tasks(spark, small):
     tasks = spark.createDataFrame([(0, 0.3, t, t) for t in range(3)], L.TASKS)
     found = L._in_pieces(dealt, tasks, lambda cells, piece, number, runs: L.pd.DataFrame({"piece": [number], "runs": [len(runs)]}), "piece int, runs int")
     assert found.rdd.getNumPartitions() >= dealt.count and found.agg({"runs": "sum"}).first()[0] == 3 * dealt.count
+
+
+def test_tables_of_the_graphs_size_are_not_broadcast(spark):
+    """They look small to Spark, by the size of files and of what is not exploded yet; only a row for each run may go to the driver."""
+    from concord.operators import similarity as S
+    from concord.operators.counts import reindexed
+    from concord.operators.merge import merged
+
+    keys = ["task", "trial"]
+    rows = [(0, t, c, (c + (c * t) % 7 % 2) % 5) for t in range(1, 4) for c in range(30)]
+    labels = spark.createDataFrame([(task, t, c, label) for task, t, c, label in rows], L.LABELS)
+    mei = S.element_consistency(labels, S.patterns(labels, ["task"]), ["task"])
+    plans = {name: df._jdf.queryExecution().executedPlan().toString() for name, df in (("mei", mei), ("reindexed", reindexed(labels, keys)), ("merged", merged(block(spark), labels, 6, keys)))}
+    joins = {name: [line.split("BroadcastHashJoin")[1] for line in plan.split("\n") if "BroadcastHashJoin" in line] for name, plan in plans.items()}
+    assert joins["mei"] == joins["reindexed"] == [] and all(re.match(r" \[task#\d+, trial#\d+\], ", line) for line in joins["merged"]), joins
+    assert mei.count() == 30 and merged(block(spark), labels, 6, keys).count() == 90
