@@ -140,3 +140,35 @@ def test_tables_of_the_graphs_size_are_not_broadcast(spark):
     joins = {name: [line.split("BroadcastHashJoin")[1] for line in plan.split("\n") if "BroadcastHashJoin" in line] for name, plan in plans.items()}
     assert joins["mei"] == joins["reindexed"] == [] and all(re.match(r" \[task#\d+, trial#\d+\], ", line) for line in joins["merged"]), joins
     assert mei.count() == 30 and merged(block(spark), labels, 6, keys).count() == 90
+
+
+@pytest.mark.parametrize("least", [1, 2, 7, 40])
+def test_counts_need_no_merging(spark, least):
+    """The counts of the merged clusters, without the graph: a plan of merging for each reader grows the driver's memory."""
+    from concord.operators.counts import cluster_counts
+    from concord.operators.merge import merged
+    from concord.plans.api import Study
+    from concord.plans.params import checked
+
+    rows = [(0, t, c, (c * c + t * c) % 17 // (t + 1)) for t in range(1, 4) for c in range(63)]
+    labels, keys = spark.createDataFrame(rows, L.LABELS), ["task", "trial"]
+    study = Study(graph(spark), checked(min_cluster_size=least), lambda gamma, trial: [])
+    found = study.counted(labels)
+    said = cluster_counts(merged(study.graph.edges, labels, least, keys), keys, 1)
+    assert {(r.trial, r.final_clusters) for r in found.collect()} == {(r.trial, r.raw_clusters) for r in said.collect()}
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_plans_of_an_evaluation_stay_small(spark, monkeypatch):
+    """One plan had 151 stages: its readers each planned all the steps to the same small table again."""
+    from concord.plans.api import Study
+
+    keep, sizes = Study.keep, []
+
+    def kept(self, df):
+        sizes.append(len(re.findall(r"\bExchange ", df._jdf.queryExecution().executedPlan().toString())))
+        return keep(self, df)
+
+    monkeypatch.setattr(Study, "keep", kept)
+    out = evaluate_consistency(graph(spark), cluster_range=[5], n_trials=3, n_bootstrap=5, seed=1, min_cluster_size=2)
+    assert [r.n_cluster for r in out.main.collect()] == [5] and max(sizes) <= 40, sizes
