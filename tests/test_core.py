@@ -237,3 +237,37 @@ def test_graph_checks(spark):
     assert GraphCatalog({"RNA_snn": graph}).get() is graph
     with pytest.raises(ValueError, match="square"):
         GraphData(graph.cells, spark.createDataFrame([(0, 99, 1.0)], "src long, dst long, weight double")).check()
+
+
+def test_a_large_graph_is_searched_as_a_small_one(spark, monkeypatch):
+    """From 200,000 cells on the search had ended after 30 sweeps, and its probes had made three iterations."""
+    from concord.plans import api, search
+    from concord.plans.params import checked
+
+    plan = spark.createDataFrame([(9, 1.0, 1, 0.5)], "target int, width double, points int, gamma double")
+    monkeypatch.setattr(search, "refinement_plan", lambda *_: plan)
+    intervals = spark.createDataFrame([(9, False, False)], "target int, optimization_ready boolean, bracketed boolean")
+
+    class Climbing(search.Search):
+        """Each sweep finds one more cluster, and never enough."""
+
+        def placed(self, targets, upper):
+            return intervals
+
+        def _run(self, gammas, stage, sweep, discovery=None, plan=None):
+            self.rows.append({"gamma": float(sweep), "final_clusters": sweep, "sweep_round": sweep, "plateau_round": 0})
+            return self.rows[-1:]
+
+    sweeps = []
+    for n in (100, 199_999, 200_000, 5_000_000):
+        one = Climbing(spark, None, n, "modularity", -13.0, 20.0)
+        one.run([9])
+        sweeps.append(len(one.rows))
+    assert set(sweeps) == {51}, sweeps
+
+    iterations = []
+    monkeypatch.setattr(api, "run_probes", lambda graph, tasks, objective, made, *_: (iterations.append(made), tasks)[1])
+    study = api.Study(planted(spark), checked(cluster_range=[2]))
+    for study.n in (60, 199_999, 200_000, 5_000_000):
+        study.probe([0.1])
+    assert set(iterations) == {5}, iterations

@@ -172,3 +172,36 @@ def test_plans_of_an_evaluation_stay_small(spark, monkeypatch):
     monkeypatch.setattr(Study, "keep", kept)
     out = evaluate_consistency(graph(spark), cluster_range=[5], n_trials=3, n_bootstrap=5, seed=1, min_cluster_size=2)
     assert [r.n_cluster for r in out.main.collect()] == [5] and max(sizes) <= 40, sizes
+
+
+@pytest.mark.parametrize("objective, gammas", [("CPM", (0.05, 0.2, 0.5)), ("modularity", (1.0, 4.0, 12.0))])
+def test_runs_are_the_same_in_pieces_and_whole(spark, monkeypatch, objective, gammas):
+    """What was drawn had depended on the piece, and a component's levels on the others: results changed with the size of the graph."""
+    rng, half = np.random.default_rng(6), []
+    for g, size in enumerate((40, 25, 25, 12, 7, 2, 2)):
+        half += [(100 * g + a, 100 * g + b, float(rng.integers(1, 9)) / 8) for a in range(size) for b in range(a) if rng.random() < 0.3 or b == a - 1]
+    edges = spark.createDataFrame([e for a, b, w in half for e in ((a, b, w), (b, a, w))], "src long, dst long, weight double").repartition(3)
+    tasks = spark.createDataFrame([(k, gamma, t, 7 * t) for k, gamma in enumerate(gammas) for t in range(1, 4)], L.TASKS)
+
+    def results():
+        arrays = L.adjacency(edges, 700)
+        cold = L.run_tasks(arrays, tasks, objective, 3, 0.1)
+        warm = L.run_tasks(arrays, tasks, objective, 2, 0.1, cold)
+        probes = L.run_probes(arrays, tasks, objective, 3, 0.01, 4)
+        return type(arrays), *(sorted(tuple(r[c] for c in sorted(df.columns)) for r in df.collect()) for df in (cold, warm, probes))
+
+    whole, *said = results()
+    monkeypatch.setattr(L, "COLLECTED", 0)
+    monkeypatch.setattr(L, "PIECE", 150)
+    dealt, *found = results()
+    assert (whole, dealt) == (L.Adjacency, L.Dealt) and found == said
+    assert len({r[0::2] for r in said[2]}) > 3  # runs differ
+
+
+def test_refinement_singly_is_the_same(spark, monkeypatch):
+    whole, of = L.adjacency(block(spark), 200), np.arange(200) % 10 // 2
+    found = []
+    for step in (0, 10**9):
+        monkeypatch.setattr(L, "STEP", step)
+        found.append(L._refined(whole, np.ones(200), of, 0.2, 0.05, L.random.Random(3)).tolist())
+    assert found[0] == found[1] and len(set(found[0])) > 5
